@@ -18,6 +18,12 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``fn``;
+    nesting the expression itself would multiply the plan."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def strip(c: Column | str) -> Column:
     return F.btrim(as_col(c), F.lit(fv.WHITESPACE))
 
