@@ -212,7 +212,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     hints = F.array(*[F.lit(h) for h in NAME_HINTS])
     name = F.concat(
         F.element_at(hints, (F.col("doc_id") % len(NAME_HINTS) + 1).cast("int")),
-        F.lit("_"), F.col("doc_id"), F.lit(".md"),
+        F.lit("_"), F.col("doc_id"), F.when(F.col("lang") == "en", ".md").otherwise(".txt"),
     )
     headed = F.regexp_replace("text", r"\n(\p{L}+)", "\n# $1\n$1")
     return read(spark, sf_dir, "documents").select(
@@ -240,7 +240,7 @@ REPLIES = _phrase_sql("replies", REPLY_PHRASES, "assistant", "conv_id * 3 + turn
 CORPUS = (
     "hints AS (SELECT * FROM (VALUES "
     + ", ".join(f"({i}, {q(h)})" for i, h in enumerate(NAME_HINTS))
-    + ") AS v(no, hint)), corpus AS (SELECT doc_id, hint || '_' || doc_id || '.md' AS source_name, "
+    + ") AS v(no, hint)), corpus AS (SELECT doc_id, hint || '_' || doc_id || CASE WHEN lang = 'en' THEN '.md' ELSE '.txt' END AS source_name, "
     "0 AS page_number, regexp_replace(text, '\\n(\\p{L}+)', chr(10) || '# \\1' || chr(10) || '\\1', 'g') AS text "
     f"FROM documents JOIN hints ON no = doc_id % {len(NAME_HINTS)})"
 )

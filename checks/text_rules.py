@@ -103,10 +103,11 @@ SQL_TOKENS = f"regexp_extract_all(text, '[{fv.ARABIC_BLOCK}]+|[a-zA-Z0-9]+')"
 
 
 def sql_ngrams(tokens: str, n: int) -> str:
-    return (
-        f"list_transform(range(1, greatest(len({tokens}) - {n} + 2, 1)), "
-        f"lambda i: array_to_string({tokens}[i:i + {n - 1}], ' '))"
-    )
+    shifted = ", ".join(f"{tokens}[{i + 1}:]" for i in range(1, n))
+    if n == 1:
+        return tokens
+    joined = " || ' ' || ".join(f"p[{i + 1}]" for i in range(n))
+    return f"list_transform(list_zip({tokens}, {shifted}, true), lambda p: {joined})"
 
 
 def symptom_windows(spark, sf):
