@@ -16,7 +16,6 @@ from symptia.operators import emergency, guardrails
 from symptia.operators import replies as rep
 
 QUERIES, SQL = {}, {}
-T = F.col("text")
 
 
 def register(name, query, sql):
@@ -28,7 +27,7 @@ def register(name, query, sql):
 def per_message(name, column, spark_expr, sql_expr):
     register(
         name,
-        lambda spark, sf: messages(spark, sf).select("conv_id", "turn", spark_expr.alias(column)),
+        lambda spark, sf: messages(spark, sf).select("conv_id", "turn", spark_expr().alias(column)),
         f"WITH {MESSAGES} SELECT conv_id, turn, {sql_expr} AS {column} FROM messages",
     )
 
@@ -36,35 +35,50 @@ def per_message(name, column, spark_expr, sql_expr):
 def per_reply(name, column, spark_expr, sql_expr):
     register(
         name,
-        lambda spark, sf: replies(spark, sf).select("conv_id", "turn", spark_expr.alias(column)),
+        lambda spark, sf: replies(spark, sf).select("conv_id", "turn", spark_expr().alias(column)),
         f"WITH {REPLIES} SELECT conv_id, turn, {sql_expr} AS {column} FROM replies",
     )
 
 
 def per_document(name, select, sql):
-    register(name, lambda spark, sf: read(spark, sf, "documents").select(*select), sql)
+    register(name, lambda spark, sf: read(spark, sf, "documents").select(*select()), sql)
 
 
 # ------------------------------------------------------------ text functions
-per_message("normalize_arabic", "normalized", text.normalize("text"), sql_normalize("text"))
-per_message("fold_alef_doubling", "searched", text.with_folded("text"), sql_doubled("text"))
+per_message("normalize_arabic", "normalized", lambda: text.normalize("text"), sql_normalize("text"))
+per_message("fold_alef_doubling", "searched", lambda: text.with_folded("text"), sql_doubled("text"))
 per_message(
-    "arabic_digits_to_ascii", "digits", text.ascii_digits("text"),
+    "arabic_digits_to_ascii", "digits", lambda: text.ascii_digits("text"),
     f"translate(text, {q(fv.ARABIC_DIGITS)}, {q(fv.ASCII_DIGITS)})",
 )
-per_message("language_identification", "language", text.detect_language("text"), sql_language("text"))
-per_message("script_identification", "script", text.detect_script("text"), sql_script("text"))
+per_message("language_identification", "language", lambda: text.detect_language("text"), sql_language("text"))
+per_message("script_identification", "script", lambda: text.detect_script("text"), sql_script("text"))
+
+
+
+def preference():
+    return F.element_at(F.array(F.lit("auto"), F.lit("english"), F.lit("arabic")), (F.col("turn") % 3 + 1).cast("int"))
+
+
+
+
+def response():
+    return F.when(F.col("conv_id") % 2 == 0, "arabic").otherwise("franco")
+
 
-PREFERENCE = F.element_at(F.array(F.lit("auto"), F.lit("english"), F.lit("arabic")), (F.col("turn") % 3 + 1).cast("int"))
-RESPONSE = F.when(F.col("conv_id") % 2 == 0, "arabic").otherwise("franco")
 SQL_PREFERENCE = "CASE turn % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'english' ELSE 'arabic' END"
 SQL_RESPONSE = "CASE WHEN conv_id % 2 = 0 THEN 'arabic' ELSE 'franco' END"
 SQL_OUTPUT_SCRIPT = (
     f"CASE WHEN {SQL_PREFERENCE} = 'english' THEN 'english' WHEN {SQL_RESPONSE} = 'franco' THEN 'franco' "
     f"WHEN {SQL_PREFERENCE} = 'auto' THEN {sql_script('text')} ELSE 'arabic' END"
 )
-OUTPUT_SCRIPT = text.output_script(PREFERENCE, RESPONSE, T)
-per_message("output_script_choice", "script", OUTPUT_SCRIPT, SQL_OUTPUT_SCRIPT)
+
+
+def output_script():
+    return text.output_script(preference(), response(), F.col("text"))
+
+
+per_message("output_script_choice", "script", lambda: output_script(), SQL_OUTPUT_SCRIPT)
 
 
 def sql_transliterate(col: str) -> str:
@@ -82,7 +96,7 @@ def sql_transliterate(col: str) -> str:
 
 per_document(
     "transliterate_latin",
-    ["doc_id", text.transliterate("text").alias("arabic")],
+    lambda: ["doc_id", text.transliterate("text").alias("arabic")],
     f"SELECT doc_id, {sql_transliterate('text')} AS arabic FROM documents",
 )
 
@@ -93,7 +107,7 @@ SQL_KEYWORDS = (
 )
 per_document(
     "retrieval_tokens",
-    ["doc_id", F.size(text.keyword_tokens("text")).alias("n_tokens"),
+    lambda: ["doc_id", F.size(text.keyword_tokens("text")).alias("n_tokens"),
      F.md5(F.array_join(text.keyword_tokens("text"), " ")).alias("tokens_md5")],
     f"SELECT doc_id, len({SQL_KEYWORDS.format('text')}) AS n_tokens, "
     f"md5(coalesce(array_to_string({SQL_KEYWORDS.format('text')}, ' '), '')) AS tokens_md5 FROM documents",
@@ -130,19 +144,24 @@ register(
 )
 
 # --------------------------------------------------------------- projections
-SYMPTOMS = F.element_at(F.array(F.lit("headache"), F.lit(""), F.lit("fever, cough")), (F.col("turn") % 3 + 1).cast("int"))
+
+
+def symptoms():
+    return F.element_at(F.array(F.lit("headache"), F.lit(""), F.lit("fever, cough")), (F.col("turn") % 3 + 1).cast("int"))
+
+
 
 
 def prompts(spark, sf):
-    symptoms = F.when(SYMPTOMS == "", T).otherwise(SYMPTOMS)
+    symptoms = F.when(symptoms() == "", F.col("text")).otherwise(symptoms())
     rendered = {
-        "rerank": text.fill(copy.PROMPTS["rerank"], query=SYMPTOMS, chunk=text.truncate("text", fv.RERANK_CHARS)),
+        "rerank": text.fill(copy.PROMPTS["rerank"], query=symptoms(), chunk=text.truncate("text", fv.RERANK_CHARS)),
         "triage": text.fill(copy.PROMPTS["triage"], symptoms_text=symptoms, context=F.lit(copy.NO_CONTEXT),
-                            output_script=copy.output_script_name(OUTPUT_SCRIPT)),
+                            output_script=copy.output_script_name(output_script())),
         "response": text.fill(copy.PROMPTS["response"], symptoms_text=symptoms, triage_level=F.lit("GREEN"),
                               conditions=F.lit("unspecified"), actions=F.lit("follow up with doctor")),
-        "clarification": text.fill(copy.PROMPTS["clarification"], query=T, symptoms_text=F.lit("nothing specific")),
-        "quality": text.fill(copy.PROMPTS["quality"], input_text=T, expected_level=F.lit("RED"),
+        "clarification": text.fill(copy.PROMPTS["clarification"], query=F.col("text"), symptoms_text=F.lit("nothing specific")),
+        "quality": text.fill(copy.PROMPTS["quality"], input_text=F.col("text"), expected_level=F.lit("RED"),
                              actual_level=F.lit("unknown"), response_text=text.truncate("text", fv.JUDGED_CHARS)),
     }
     return messages(spark, sf).select("conv_id", "turn", *[F.sha2(v, 256).alias(k) for k, v in rendered.items()])
@@ -175,7 +194,7 @@ register(
 )
 per_document(
     "prefix_truncation",
-    ["doc_id", text.truncate("text", fv.TITLE_CHARS).alias("title"),
+    lambda: ["doc_id", text.truncate("text", fv.TITLE_CHARS).alias("title"),
      F.md5(text.truncate("text", fv.CONTEXT_CHARS)).alias("context_md5"),
      F.md5(text.truncate("text", fv.RERANK_CHARS)).alias("rerank_md5"),
      text.ellipsis("text").alias("shown")],
@@ -185,17 +204,27 @@ per_document(
 )
 
 KINDS = ["GREEN", "YELLOW", "RED", "CLARIFY"]
-KIND = F.element_at(F.array(*[F.lit(k) for k in KINDS]), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+
+
+def kind():
+    return F.element_at(F.array(*[F.lit(k) for k in KINDS]), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+
+
 SQL_KIND = "CASE (conv_id + turn) % 4 " + " ".join(f"WHEN {i} THEN {q(k)}" for i, k in enumerate(KINDS)) + " END"
-SOME_SCRIPT = F.element_at(F.array(*[F.lit(s) for s in [*copy.SCRIPTS, "klingon"]]), (F.col("conv_id") % 4 + 1).cast("int"))
+
+
+def some_script():
+    return F.element_at(F.array(*[F.lit(s) for s in [*copy.SCRIPTS, "klingon"]]), (F.col("conv_id") % 4 + 1).cast("int"))
+
+
 SQL_SOME_SCRIPT = "CASE conv_id % 4 WHEN 0 THEN 'arabic' WHEN 1 THEN 'franco' WHEN 2 THEN 'english' ELSE 'klingon' END"
 
 
 def fallback_copy(spark, sf):
     return messages(spark, sf).select(
-        "conv_id", "turn", copy.fallback(SOME_SCRIPT, KIND).alias("reply"),
-        F.array_join(copy.fallback_actions(SOME_SCRIPT, KIND), "; ").alias("actions"),
-        copy.result_notice(SOME_SCRIPT, KIND == "RED").alias("notice"),
+        "conv_id", "turn", copy.fallback(some_script(), kind()).alias("reply"),
+        F.array_join(copy.fallback_actions(some_script(), kind()), "; ").alias("actions"),
+        copy.result_notice(some_script(), kind() == "RED").alias("notice"),
     )
 
 
@@ -211,20 +240,40 @@ register(
     "JOIN nt ON nt.script = k.script AND nt.severity = CASE WHEN k.kind = 'RED' THEN 'emergency' ELSE 'routine' END",
 )
 
-LEVEL = F.element_at(F.array(*[F.lit(k) for k in fv.LEVELS]), ((F.col("conv_id") + F.col("turn")) % 3 + 1).cast("int"))
+
+
+def level():
+    return F.element_at(F.array(*[F.lit(k) for k in fv.LEVELS]), ((F.col("conv_id") + F.col("turn")) % 3 + 1).cast("int"))
+
+
 SQL_LEVEL = "CASE (conv_id + turn) % 3 WHEN 0 THEN 'GREEN' WHEN 1 THEN 'YELLOW' ELSE 'RED' END"
-NO_STRINGS = F.array().cast("array<string>")
-CONDITIONS = F.when(F.col("turn") % 4 < 2, F.array(F.lit("flu"), F.col("role"))).otherwise(NO_STRINGS)
-ACTION_LIST = F.when(F.col("conv_id") % 3 > 0, F.array(F.lit("rest"), F.lit("drink"))).otherwise(NO_STRINGS)
+
+
+def no_strings():
+    return F.array().cast("array<string>")
+
+
+
+
+def conditions():
+    return F.when(F.col("turn") % 4 < 2, F.array(F.lit("flu"), F.col("role"))).otherwise(no_strings())
+
+
+
+
+def action_list():
+    return F.when(F.col("conv_id") % 3 > 0, F.array(F.lit("rest"), F.lit("drink"))).otherwise(no_strings())
+
+
 SQL_PARTS = (
-    "CASE WHEN turn % 4 < 2 THEN (SELECT text FROM fb WHERE kind = 'CONDITIONS' AND fb.script = k.script) || 'flu' || "
+    "CASE WHEN turn % 4 < 2 THEN (SELECT text FROM fb WHERE kind = 'conditions()' AND fb.script = k.script) || 'flu' || "
     "CASE WHEN k.script = 'arabic' THEN '، ' ELSE ', ' END || role END",
     "CASE WHEN conv_id % 3 > 0 THEN (SELECT text FROM fb WHERE kind = 'ACTIONS' AND fb.script = k.script) || 'rest; drink' END",
 )
 register(
     "reply_from_classification",
     lambda spark, sf: messages(spark, sf).select(
-        "conv_id", "turn", rep.reply_from_classification(OUTPUT_SCRIPT, LEVEL, CONDITIONS, ACTION_LIST).alias("reply")),
+        "conv_id", "turn", rep.reply_from_classification(output_script(), level(), conditions(), action_list()).alias("reply")),
     f"WITH {MESSAGES}, {values('fb', ['script', 'kind', 'text'], copy.FALLBACKS)}, "
     f"k AS (SELECT conv_id, turn, role, {SQL_LEVEL} AS level, {SQL_OUTPUT_SCRIPT} AS script FROM messages) "
     f"SELECT conv_id, turn, CASE WHEN level = 'RED' OR (turn % 4 >= 2 AND conv_id % 3 = 0) "
@@ -241,9 +290,8 @@ register(
 )
 
 # --------------------------------------------------------------- input rules
-Q2 = text.with_folded("text")
 D2 = f"({sql_doubled('text')})"
-per_message("literal_set_predicate", "hit", has_literal(T, fv.EMERGENCY_LITERALS), sql_literals("text", fv.EMERGENCY_LITERALS))
+per_message("literal_set_predicate", "hit", lambda: has_literal(F.col("text"), fv.EMERGENCY_LITERALS), sql_literals("text", fv.EMERGENCY_LITERALS))
 SQL_RULES = {
     "suicidal": sql_literals(D2, fv.SUICIDAL_LITERALS),
     "overdose": sql_any(D2, fv.OVERDOSE_PATTERNS),
@@ -268,8 +316,9 @@ for rule_name, label in [
     ("suicidal", "suicidal_predicate"), ("overdose", "overdose_predicate"), ("infant", "infant_predicate"),
     ("pregnancy", "pregnancy_predicate"), ("lab", "lab_result_predicate"), ("medication", "medication_request_predicate"),
 ]:
-    per_message(label, "hit", dict((r[0], r[3]) for r in guardrails.CASCADE)[rule_name](Q2), SQL_RULES[rule_name])
-per_message("compound_red_flags", "flag", guardrails.compound_flag(Q2), SQL_COMPOUND)
+    predicate = dict((r[0], r[3]) for r in guardrails.CASCADE)[rule_name]
+    per_message(label, "hit", lambda p=predicate: p(text.with_folded("text")), SQL_RULES[rule_name])
+per_message("compound_red_flags", "flag", lambda: guardrails.compound_flag(text.with_folded("text")), SQL_COMPOUND)
 
 SQL_VERDICT = (
     "checked AS (SELECT *, CASE " + " ".join(f"WHEN {SQL_RULES[r[0]]} THEN {q(r[0])}" for r in guardrails.CASCADE)
@@ -307,7 +356,7 @@ register(
     "rejection_rendering",
     lambda spark, sf: guardrails.check_messages(messages(spark, sf)).filter(~F.col("is_safe")).select(
         "conv_id", "turn", "violation_type",
-        guardrails.refusal_text(F.col("violation_type"), F.col("is_emergency"), OUTPUT_SCRIPT).alias("message")),
+        guardrails.refusal_text(F.col("violation_type"), F.col("is_emergency"), output_script()).alias("message")),
     f"WITH {VERDICT}, {NOTICES}, {REFUSALS}, {SQL_REJECTION} SELECT conv_id, turn, violation_type, "
     f"CASE WHEN violation_type = 'suicidal_ideation' THEN message ELSE {sql_notice('message', 'rejection.script', 'is_emergency')} END AS message FROM rejection",
 )
@@ -322,19 +371,19 @@ SQL_READINGS = (
 )
 SQL_GLUCOSE = f"len(list_filter({SQL_READINGS}, lambda v: v >= {fv.GLUCOSE_HIGH} OR v <= {fv.GLUCOSE_LOW})) > 0"
 SQL_EMERGENCY = f"({SQL_KEYWORD_EMERGENCY} OR {SQL_GLUCOSE})"
-per_message("keyword_emergency", "emergency", emergency.keyword_emergency(T), SQL_KEYWORD_EMERGENCY)
+per_message("keyword_emergency", "emergency", lambda: emergency.keyword_emergency(F.col("text")), SQL_KEYWORD_EMERGENCY)
 register(
     "glucose_extremes",
     lambda spark, sf: messages(spark, sf).select(
-        "conv_id", "turn", F.array_join(emergency.glucose_readings(T).cast("array<string>"), ",").alias("readings"),
-        emergency.extreme_glucose(T).alias("emergency")),
+        "conv_id", "turn", F.array_join(emergency.glucose_readings(F.col("text")).cast("array<string>"), ",").alias("readings"),
+        emergency.extreme_glucose(F.col("text")).alias("emergency")),
     f"WITH {MESSAGES} SELECT conv_id, turn, coalesce(array_to_string({SQL_READINGS}, ','), '') AS readings, {SQL_GLUCOSE} AS emergency FROM messages",
 )
 register(
     "refusal_predicate",
     lambda spark, sf: messages(spark, sf).select(
-        "conv_id", "turn", guardrails.is_refusal(T).alias("refused"),
-        F.when(guardrails.is_refusal(T), copy.REFUSAL_TEXT).alias("reply")),
+        "conv_id", "turn", guardrails.is_refusal(F.col("text")).alias("refused"),
+        F.when(guardrails.is_refusal(F.col("text")), copy.REFUSAL_TEXT).alias("reply")),
     f"WITH {MESSAGES} SELECT conv_id, turn, {sql_literals('text', fv.REFUSAL_LITERALS)} AS refused, "
     f"CASE WHEN {sql_literals('text', fv.REFUSAL_LITERALS)} THEN {q(copy.REFUSAL_TEXT)} END AS reply FROM messages",
 )
@@ -342,8 +391,8 @@ register(
 # -------------------------------------------------------------- output rules
 per_reply(
     "disclaimer_append", "reply",
-    guardrails.ensure_notice(
-        guardrails.ensure_notice(T, F.col("turn") % 2 == 0, F.when(F.col("conv_id") % 2 == 0, "arabic").otherwise("franco")),
+    lambda: guardrails.ensure_notice(
+        guardrails.ensure_notice(F.col("text"), F.col("turn") % 2 == 0, F.when(F.col("conv_id") % 2 == 0, "arabic").otherwise("franco")),
         F.col("turn") % 2 == 0, F.lit("arabic")),
     "(" + sql_notice("first", "'arabic'", "turn % 2 = 0") + ")",
 )
@@ -359,7 +408,7 @@ HEDGE_RE2 = r"(?:^|[^\p{L}\p{N}_])" + re2(fv.HEDGING_PATTERN)[2:-2] + r"(?:$|[^\
 register(
     "response_check",
     lambda spark, sf: replies(spark, sf).select(
-        "conv_id", "turn", rep.response_violation(T).alias("violation_type"), rep.has_diagnosis(T).alias("add_uncertainty")),
+        "conv_id", "turn", rep.response_violation(F.col("text")).alias("violation_type"), rep.has_diagnosis(F.col("text")).alias("add_uncertainty")),
     f"WITH {REPLIES} SELECT conv_id, turn, CASE WHEN {SQL_DIAGNOSIS} THEN 'diagnosis_language' "
     f"WHEN {sql_any('text', [fv.DOSAGE_PATTERN, fv.DRUG_PATTERN, TAKE_RE2])} THEN 'medication_reference' END AS violation_type, "
     f"{SQL_DIAGNOSIS} AS add_uncertainty FROM replies",
@@ -375,48 +424,68 @@ def sql_redact(col: str) -> str:
     return col
 
 
-per_reply("response_redaction", "reply", rep.redact(T), sql_redact("text"))
+per_reply("response_redaction", "reply", lambda: rep.redact(F.col("text")), sql_redact("text"))
 SQL_NEEDS_HEDGE = f"({SQL_DIAGNOSIS} AND NOT regexp_matches(text, {q('(?i)' + HEDGE_RE2)}))"
 register(
     "uncertainty_notice",
     lambda spark, sf: replies(spark, sf).select(
-        "conv_id", "turn", rep.needs_hedge(T).alias("needs_hedge"), rep.with_hedge(T).alias("reply")),
+        "conv_id", "turn", rep.needs_hedge(F.col("text")).alias("needs_hedge"), rep.with_hedge(F.col("text")).alias("reply")),
     f"WITH {REPLIES} SELECT conv_id, turn, {SQL_NEEDS_HEDGE} AS needs_hedge, CASE WHEN {SQL_NEEDS_HEDGE} "
     f"THEN {q(copy.HEDGE_NOTICE)} || chr(10) || chr(10) || text ELSE text END AS reply FROM replies",
 )
 
 # ------------------------------------------------------------------- parsing
-SCORE_TEXT = F.element_at(
+
+
+def score_text():
+    return F.element_at(
     F.array(F.concat(F.col("value") / 100, F.lit(" ok")), F.concat(F.lit("-"), F.col("value")), F.lit("none"),
             F.concat(F.col("value"), F.lit("f")), F.lit(" ")), (F.col("event_id") % 5 + 1).cast("int"))
+
+
 register(
     "score_parse",
-    lambda spark, sf: read(spark, sf, "events").select("event_id", parsing.parse_score(SCORE_TEXT).alias("score")),
+    lambda spark, sf: read(spark, sf, "events").select("event_id", parsing.parse_score(score_text()).alias("score")),
     "SELECT event_id, CASE event_id % 5 WHEN 0 THEN least(greatest(value / 100, 0), 1) WHEN 1 THEN "
     "CASE WHEN value >= 0 THEN 0.0 ELSE least(-value, 1.0) END ELSE -1.0 END AS score FROM events",
 )
-RATING_TEXT = F.element_at(
+
+
+def rating_text():
+    return F.element_at(
     F.array(F.concat(F.lit(" "), F.floor(F.col("value")), F.lit("/5")), F.lit("great"), F.lit("0"), F.lit("")),
     (F.col("event_id") % 4 + 1).cast("int"))
+
+
 register(
     "rating_parse",
-    lambda spark, sf: read(spark, sf, "events").select("event_id", parsing.parse_rating(RATING_TEXT).alias("rating")),
+    lambda spark, sf: read(spark, sf, "events").select("event_id", parsing.parse_rating(rating_text()).alias("rating")),
     "WITH d AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN try_cast(substr(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), 1, 1) AS DOUBLE) END AS r FROM events) "
     "SELECT event_id, CASE WHEN r BETWEEN 1 AND 5 THEN r END AS rating FROM d",
 )
-WELL_FORMED = F.to_json(F.struct(
-    LEVEL.alias("triage_level"),
+
+
+def well_formed():
+    return F.to_json(F.struct(
+    level().alias("triage_level"),
     F.slice(text.words("text"), 1, 7).alias("possible_conditions"),
     F.array(F.lit("rest")).alias("recommended_actions")))
-JSON_TEXT = F.element_at(
-    F.array(WELL_FORMED, F.concat(F.lit("```json\n"), WELL_FORMED, F.lit("\n```")),
-            F.concat(F.lit("Sure: "), WELL_FORMED.substr(F.lit(1), F.length(WELL_FORMED) - 1), F.lit(",")),
-            F.concat(WELL_FORMED, F.lit(" hope this helps")), F.lit("no object")),
+
+
+
+
+def json_text():
+    return F.element_at(
+    F.array(well_formed(), F.concat(F.lit("```json\n"), well_formed(), F.lit("\n```")),
+            F.concat(F.lit("Sure: "), well_formed().substr(F.lit(1), F.length(well_formed()) - 1), F.lit(",")),
+            F.concat(well_formed(), F.lit(" hope this helps")), F.lit("no object")),
     ((F.col("conv_id") + 2 * F.col("turn")) % 5 + 1).cast("int"))
 
 
+
+
 def structured_output(spark, sf):
-    parsed = messages(spark, sf).select("conv_id", "turn", parsing.parse_verdict(JSON_TEXT).alias("v"))
+    parsed = messages(spark, sf).select("conv_id", "turn", parsing.parse_verdict(json_text()).alias("v"))
     return parsed.select(
         "conv_id", "turn", "v.level", F.array_join("v.conditions", "|").alias("conditions"),
         F.array_join("v.actions", "|").alias("actions"))
@@ -439,7 +508,7 @@ register(
     "ordered_distinct_queries",
     lambda spark, sf: messages(spark, sf).select(
         "conv_id", "turn",
-        F.array_join(text.ordered_distinct(text.strip("text"), text.strip(SYMPTOMS), text.strip("text")), "|").alias("queries"),
+        F.array_join(text.ordered_distinct(text.strip("text"), text.strip(symptoms()), text.strip("text")), "|").alias("queries"),
         F.array_join(F.array_distinct(text.keyword_tokens("text")), " ").alias("terms")),
     f"WITH {MESSAGES}, k AS (SELECT conv_id, turn, text, {SQL_SYM} AS sym, {SQL_KEYWORDS.format('text')} AS terms FROM messages) "
     f"SELECT conv_id, turn, concat_ws('|', {sql_strip('text')}, nullif(sym, '')) AS queries, "

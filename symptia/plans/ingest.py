@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symptia.functions import fixed_values as fv
+from symptia.functions import text
 from symptia.operators import chunking
 from symptia.sources import corpus
 
@@ -23,14 +24,12 @@ def totals(pages: DataFrame, chunk_tokens: int = fv.CHUNK_TOKENS, overlap_tokens
     The rejected list itself is the second output of :func:`ingest`; folding
     it into one cell would grow with the data.
     """
-    valid, rejected = corpus.split_readable(pages)
-    chunks = chunking.chunk_pages(valid, chunk_tokens, overlap_tokens)
-    parts = (
-        valid.select(F.lit("file").alias("what"))
-        .unionByName(chunks.select(F.lit("chunk").alias("what")))
-        .unionByName(rejected.select(F.lit("error").alias("what")))
+    readable = corpus.unreadable_reason().isNull()
+    spans = chunking.chunk_spans(text.pieces("text"), chunk_tokens, overlap_tokens)
+    kept = F.size(F.filter(spans, lambda w: ~text.is_blank(w["raw"])))
+    # one pass: what a page contributes is known within its row
+    return pages.agg(
+        F.count_if(readable).alias("files_processed"),
+        F.coalesce(F.sum(F.when(readable, kept)), F.lit(0)).alias("total_chunks"),
+        F.count_if(~readable).alias("n_errors"),
     )
-    return parts.agg(*[
-        F.count_if(F.col("what") == w).alias(name)
-        for w, name in [("file", "files_processed"), ("chunk", "total_chunks"), ("error", "n_errors")]
-    ])

@@ -48,13 +48,17 @@ def non_blank_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(~text.is_blank("text"))
 
 
+def unreadable_reason() -> Column:
+    """Why a page cannot be prepared, NULL when it can."""
+    return F.when(~F.lower("source_name").rlike(r"\.(txt|md)$"), "unsupported file type").when(
+        F.col("text").isNull(), "unreadable"
+    )
+
+
 def split_readable(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected with a reason): a file that cannot be read becomes an
     error row and the run goes on."""
-    reason = F.when(~F.lower("source_name").rlike(r"\.(txt|md)$"), "unsupported file type").when(
-        F.col("text").isNull(), "unreadable"
-    )
-    marked = pages.withColumn("reason", reason)
+    marked = pages.withColumn("reason", unreadable_reason())
     valid = marked.filter(F.col("reason").isNull()).drop("reason")
     rejected = marked.filter(F.col("reason").isNotNull()).select(
         "source_name", F.concat_ws(": ", "source_name", "reason").alias("error")
