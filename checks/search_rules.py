@@ -99,7 +99,7 @@ SQL["collection_upsert"] = f"WITH {UPSERTED} SELECT id, md5(text) AS text_md5, s
 QUERIES["collection_info"] = lambda spark, sf: coll.info(upserted(spark, sf), "documents").unionByName(
     coll.info(coll.reset(upserted(spark, sf)), "after reset"))
 SQL["collection_info"] = (
-    f"WITH {UPSERTED} SELECT 'documents' AS name, count(*) AS count, 0.7 AS alpha FROM merged UNION ALL SELECT 'after reset', 0, 0.7"
+    f"WITH {UPSERTED} SELECT 'documents' AS name, count(*) AS count, CAST(0.7 AS DOUBLE) AS alpha FROM merged UNION ALL SELECT 'after reset', 0, CAST(0.7 AS DOUBLE)"
 )
 
 # ------------------------------------------------------------------- vectors

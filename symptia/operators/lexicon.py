@@ -13,6 +13,8 @@ in the joined tokens starts.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,14 @@ def _small_rows(index: DataFrame) -> list | None:
     return rows if len(rows) <= LITERAL_ENTRIES else None
 
 
+def _literal(rows: list) -> Column:
+    """Index rows as one array literal; the optimizer folds the JSON away."""
+    columns = ["key", "place", "entry_no", *FIELDS]
+    schema = "key:string,place:int,entry_no:int," + ",".join(f"{c}:string" for c in FIELDS)
+    content = json.dumps([{c: r[c] for c in columns} for r in rows], ensure_ascii=False)
+    return F.from_json(F.lit(content), f"array<struct<{schema}>>")
+
+
 # ------------------------------------------------------------------- windows
 def window_tokens(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("_tokens", text.symptom_tokens(text_col))
@@ -78,7 +88,8 @@ def window_tokens(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _arabic_windows(tokens: Column, whole: Column) -> Column:
     """Structs (pass_no, n, pos, w) of the windows that may hold Arabic terms.
-    A text without an Arabic character has none, which spares it the work."""
+    A text without an Arabic character has none (NULL), which spares it the
+    work."""
 
     def of(n: int) -> Column:
         built = F.transform(
@@ -94,7 +105,7 @@ def _arabic_windows(tokens: Column, whole: Column) -> Column:
     )
     every = F.concat(*[of(n) for n in range(1, MAX_WINDOW + 1)], last)
     readable = F.filter(every, lambda s: text.detect_language(s["w"]).isin("arabic", "franco_arab"))
-    return F.when(whole.rlike(f"[{fv.ARABIC_BLOCK}]"), readable).otherwise(F.slice(readable, 1, 0))
+    return F.when(whole.rlike(f"[{fv.ARABIC_BLOCK}]"), readable)
 
 
 def arabic_hits(df: DataFrame, lexicon: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
@@ -160,9 +171,7 @@ def latin_hits(
     )
     rows = _small_rows(index) if literal_entries else None
     if rows is not None and len(rows) <= literal_entries:
-        entries = F.array(
-            *[F.struct(*[F.lit(r[c]).alias(c) for c in ["key", "place", "entry_no", *FIELDS]]) for r in rows]
-        )
+        entries = _literal(rows)
         hits = F.filter(
             entries, lambda e: F.contains(F.col("_lowered"), e["key"]) | F.contains(F.col("_joined"), e["key"])
         )
@@ -213,11 +222,6 @@ def symptom_array(lexicon: DataFrame, text_col: Column) -> Column | None:
     latin, arabic = (_small_rows(key_index(lexicon, k)) for k in ("latin", "arabic"))
     if latin is None or arabic is None:
         return None
-    columns = ["key", "place", "entry_no", *FIELDS]
-
-    def literal(rows) -> Column:
-        return F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in columns]) for r in rows])
-
     def found(e: Column, kind: int, pass_no: Column, n: Column, pos: Column, candidate: Column, label: str) -> Column:
         return F.struct(
             pass_no.cast("int").alias("pass_no"), n.cast("int").alias("n"), pos.cast("int").alias("pos"),
@@ -233,7 +237,7 @@ def symptom_array(lexicon: DataFrame, text_col: Column) -> Column | None:
             return text.bind(p, lambda v: F.when(
                 v.isNotNull(), found(e, 1, v["pass_no"], v["n"], v["pos"], e["place"], "latin")))
 
-        return F.filter(F.transform(literal(latin), hit), lambda m: m.isNotNull())
+        return F.filter(F.transform(_literal(latin), hit), lambda m: m.isNotNull())
 
     def arabic_found(tokens: Column) -> Column:
         windows = F.transform(
@@ -250,11 +254,11 @@ def symptom_array(lexicon: DataFrame, text_col: Column) -> Column | None:
 
         rows = [r for r in arabic if any("؀" <= ch <= "ۿ" for ch in r["key"])]
         return text.bind(windows, lambda ws: F.filter(
-            F.transform(literal(rows), lambda e: hit(e, ws)), lambda m: m.isNotNull()))
+            F.transform(_literal(rows), lambda e: hit(e, ws)), lambda m: m.isNotNull()))
 
     tokens = text.symptom_tokens(text_col)
     every = text.bind(tokens, lambda t: F.array_sort(F.concat(
-        F.when(text_col.rlike(f"[{fv.ARABIC_BLOCK}]"), arabic_found(t)).otherwise(F.slice(arabic_found(t), 1, 0)),
+        arabic_found(t),
         text.bind(F.lower(F.array_join(t, " ")), latin_found))))
     return text.bind(every, lambda ms: F.filter(ms, lambda m, i: ~F.exists(
         F.slice(ms, F.lit(1), i), lambda o: o["dialect_term_latin"] == m["dialect_term_latin"])))
