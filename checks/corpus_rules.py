@@ -109,7 +109,7 @@ def sink(spark, sf):
 QUERIES["chunk_sink_manifest"] = sink
 SQL["chunk_sink_manifest"] = (
     f"WITH {CORPUS}, {sql_chunks(500, 50)} SELECT 'documents' AS source_dir, (SELECT count(DISTINCT source_name) FROM corpus) AS files_processed, "
-    f"(SELECT count(*) FROM chunks) AS total_chunks, 500 AS chunk_tokens, 50 AS overlap_tokens, {q(fv.ENCODING_NAME)} AS encoding"
+    f"(SELECT count(*) FROM chunks) AS total_chunks, CAST(500 AS BIGINT) AS chunk_tokens, CAST(50 AS BIGINT) AS overlap_tokens, {q(fv.ENCODING_NAME)} AS encoding"
 )
 QUERIES["ingest_totals"] = lambda spark, sf: ingest.totals(_faulty(spark, sf))
 SQL["ingest_totals"] = (

@@ -239,7 +239,7 @@ WORDS = (
 )
 TERM = "[.!?؟،\\n]"
 SEGMENTS = (
-    f"{WORDS}, wn AS (SELECT *, regexp_matches(content, '{TERM}') AS ends, coalesce(sum(CASE WHEN regexp_matches(content, '{TERM}') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY seq), 0) AS cuts, "
+    f"{WORDS}, wn AS (SELECT *, regexp_matches(content, '{TERM}') AS ends, count(*) FILTER (regexp_matches(content, '{TERM}')) OVER (PARTITION BY conv_id, turn ORDER BY seq) AS cuts, "
     f"regexp_extract(content, '(?s)^(.*{TERM})', 1) AS head FROM wc), "
     "pc AS (SELECT conv_id, turn, cuts AS segment, seq * 2 AS ord, content AS piece FROM wn WHERE NOT ends UNION ALL SELECT conv_id, turn, cuts - 1, seq * 2, head FROM wn WHERE ends "
     "UNION ALL SELECT conv_id, turn, cuts, seq * 2 + 1, substr(content, length(head) + 1) FROM wn WHERE ends), "
@@ -304,10 +304,10 @@ def calls(spark, sf):
 
 
 QUERIES["call_log_projection"] = lambda spark, sf: events.call_log(calls(spark, sf)).select(
-    "call_id", "trace_id", "name", F.length("system_prompt").alias("n_system"), F.sha2("prompt", 256).alias("prompt"), F.sha2("response", 256).alias("response"), "latency_ms")
+    "call_id", "trace_id", "name", F.coalesce(F.length("system_prompt"), F.lit(-1)).alias("n_system"), F.sha2("prompt", 256).alias("prompt"), F.sha2("response", 256).alias("response"), "latency_ms")
 SQL["call_log_projection"] = (
     "SELECT event_id AS call_id, user_id AS trace_id, CASE WHEN event_type = 'click' THEN 'classification' ELSE 'response' END || ':' || CASE WHEN event_id % 2 = 0 THEN 'primary' ELSE 'backup' END || "
-    "CASE WHEN event_type = 'view' THEN '(stream)' ELSE '' END AS name, CASE WHEN event_type <> 'view' AND event_id % 3 > 0 THEN least(2000, 700 * length(event_type)) END AS n_system, "
+    "CASE WHEN event_type = 'view' THEN '(stream)' ELSE '' END AS name, CASE WHEN event_type <> 'view' AND event_id % 3 > 0 THEN least(2000, 700 * length(event_type)) ELSE -1 END AS n_system, "
     "sha256(substr(repeat('p', 2990) || event_type || props, 1, 3000)) AS prompt, sha256(substr(repeat('r', 3990) || props || props, 1, 4000)) AS response, round_even(value * 1.371313, 1) AS latency_ms FROM events"
 )
 QUERIES["tokens_per_trace"] = lambda spark, sf: events.tokens_per_trace(calls(spark, sf))
@@ -466,7 +466,7 @@ QUERIES["outcome_gate"] = gate
 LENIENT = BY_TYPE.replace(f"> {fv.MAX_ERROR_RATE} THEN", "> 0.9 THEN")
 SQL["outcome_gate"] = (
     f"WITH {LENIENT} SELECT input_type, CASE WHEN error_count / scenarios > {fv.MAX_ERROR_RATE} THEN 'inconclusive' ELSE outcome END AS outcome, outcome AS lenient, "
-    "CASE outcome WHEN 'pass' THEN 0 WHEN 'inconclusive' THEN 1 ELSE 2 END AS exit_code FROM g"
+    "CAST(CASE outcome WHEN 'pass' THEN 0 WHEN 'inconclusive' THEN 1 ELSE 2 END AS BIGINT) AS exit_code FROM g"
 )
 QUERIES["level_breakdown"] = lambda spark, sf: evaluation.level_breakdown(scored(spark, sf))
 SQL["level_breakdown"] = (

@@ -108,7 +108,9 @@ def q(value) -> str:
         return "NULL"
     if isinstance(value, bool):
         return "TRUE" if value else "FALSE"
-    if isinstance(value, (int, float)):
+    if isinstance(value, int):
+        return f"CAST({value} AS BIGINT)"
+    if isinstance(value, float):
         return repr(value)
     return "'" + value.replace("'", "''") + "'"
 
@@ -241,7 +243,7 @@ CORPUS = (
     "hints AS (SELECT * FROM (VALUES "
     + ", ".join(f"({i}, {q(h)})" for i, h in enumerate(NAME_HINTS))
     + ") AS v(no, hint)), corpus AS (SELECT doc_id, hint || '_' || doc_id || CASE WHEN lang = 'en' THEN '.md' ELSE '.txt' END AS source_name, "
-    "0 AS page_number, regexp_replace(text, '\\n(\\p{L}+)', chr(10) || '# \\1' || chr(10) || '\\1', 'g') AS text "
+    "CAST(0 AS BIGINT) AS page_number, regexp_replace(text, '\\n(\\p{L}+)', chr(10) || '# \\1' || chr(10) || '\\1', 'g') AS text "
     f"FROM documents JOIN hints ON no = doc_id % {len(NAME_HINTS)})"
 )
 LEXICON = values(

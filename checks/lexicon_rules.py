@@ -28,7 +28,7 @@ TOKENS = f"regexp_extract_all(text, '[{fv.ARABIC_BLOCK}]+|[a-zA-Z0-9]+')"
 def sql_windows(source: str, ids: str) -> str:
     """Every window of every text, then the text itself."""
     grams = " UNION ALL ".join(
-        f"SELECT {ids}, 1 AS pass_no, {n} AS n, unnest(range(0, len(g{n}))) AS pos, unnest(g{n}) AS w FROM grams" for n in (1, 2, 3)
+        f"SELECT {ids}, CAST(1 AS BIGINT) AS pass_no, CAST({n} AS BIGINT) AS n, unnest(range(0, len(g{n}))) AS pos, unnest(g{n}) AS w FROM grams" for n in (1, 2, 3)
     )
     return (
         f"toks AS (SELECT {ids}, text, {TOKENS} AS t FROM {source}), "

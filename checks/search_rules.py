@@ -95,7 +95,7 @@ UPSERTED = (
     "merged AS (SELECT id, text, source_name, medical_category FROM batch UNION ALL SELECT 'c' || doc_id, text, source, 'general' FROM documents "
     "WHERE 'c' || doc_id NOT IN (SELECT id FROM batch))"
 )
-SQL["collection_upsert"] = f"WITH {UPSERTED} SELECT id, md5(text) AS text_md5, source_name, medical_category, 0 AS token_count FROM merged"
+SQL["collection_upsert"] = f"WITH {UPSERTED} SELECT id, md5(text) AS text_md5, source_name, medical_category, CAST(0 AS BIGINT) AS token_count FROM merged"
 QUERIES["collection_info"] = lambda spark, sf: coll.info(upserted(spark, sf), "documents").unionByName(
     coll.info(coll.reset(upserted(spark, sf)), "after reset"))
 SQL["collection_info"] = (
@@ -198,7 +198,7 @@ def variant_hits(spark, sf):
 
 
 VARIANT_HITS = (
-    "hits AS (SELECT user_id AS query_id, event_id % 11 AS id, CAST(event_id % 3 AS INTEGER) AS variant_no, value / 100 AS vector_score, round(value / 10, 0) AS score FROM events), "
+    "hits AS (SELECT user_id AS query_id, event_id % 11 AS id, event_id % 3 AS variant_no, value / 100 AS vector_score, round(value / 10, 0) AS score FROM events), "
     "merged AS (SELECT query_id, id, max(score) AS score, arg_max(variant_no, [score, -variant_no]) AS variant_no, "
     "string_agg(DISTINCT variant_no, ',' ORDER BY variant_no) AS variants FROM hits GROUP BY 1, 2)"
 )
@@ -252,7 +252,7 @@ VARIANTS = (
     f"bundle AS (SELECT item_id AS query_id, {sql_strip('text')} AS o, CASE WHEN item_id % 3 > 0 THEN {SQL_W}[-1] ELSE {sql_strip('text')} END AS m, "
     f"CASE WHEN item_id % 3 > 0 THEN {SQL_W}[1] ELSE {sql_strip('text')} END AS e FROM benchmark), "
     "variants0 AS (SELECT query_id, 0 AS p, o AS query_text FROM bundle UNION ALL SELECT query_id, 1, m FROM bundle WHERE m <> o UNION ALL SELECT query_id, 2, e FROM bundle WHERE e <> o AND e <> m), "
-    "variants AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p) - 1 AS INTEGER) AS variant_no, query_text FROM variants0)"
+    "variants AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p) - 1 AS BIGINT) AS variant_no, query_text FROM variants0)"
 )
 QUERIES["query_variants"] = lambda spark, sf: search.query_variants(items(spark, sf), _terms(spark, sf))
 SQL["query_variants"] = f"WITH {VARIANTS} SELECT query_id, variant_no, query_text FROM variants"

@@ -153,12 +153,12 @@ def symptoms():
 
 
 def prompts(spark, sf):
-    symptoms = F.when(symptoms() == "", F.col("text")).otherwise(symptoms())
+    known = F.when(symptoms() == "", F.col("text")).otherwise(symptoms())
     rendered = {
         "rerank": text.fill(copy.PROMPTS["rerank"], query=symptoms(), chunk=text.truncate("text", fv.RERANK_CHARS)),
-        "triage": text.fill(copy.PROMPTS["triage"], symptoms_text=symptoms, context=F.lit(copy.NO_CONTEXT),
+        "triage": text.fill(copy.PROMPTS["triage"], symptoms_text=known, context=F.lit(copy.NO_CONTEXT),
                             output_script=copy.output_script_name(output_script())),
-        "response": text.fill(copy.PROMPTS["response"], symptoms_text=symptoms, triage_level=F.lit("GREEN"),
+        "response": text.fill(copy.PROMPTS["response"], symptoms_text=known, triage_level=F.lit("GREEN"),
                               conditions=F.lit("unspecified"), actions=F.lit("follow up with doctor")),
         "clarification": text.fill(copy.PROMPTS["clarification"], query=F.col("text"), symptoms_text=F.lit("nothing specific")),
         "quality": text.fill(copy.PROMPTS["quality"], input_text=F.col("text"), expected_level=F.lit("RED"),
@@ -266,7 +266,7 @@ def action_list():
 
 
 SQL_PARTS = (
-    "CASE WHEN turn % 4 < 2 THEN (SELECT text FROM fb WHERE kind = 'conditions()' AND fb.script = k.script) || 'flu' || "
+    "CASE WHEN turn % 4 < 2 THEN (SELECT text FROM fb WHERE kind = 'CONDITIONS' AND fb.script = k.script) || 'flu' || "
     "CASE WHEN k.script = 'arabic' THEN '، ' ELSE ', ' END || role END",
     "CASE WHEN conv_id % 3 > 0 THEN (SELECT text FROM fb WHERE kind = 'ACTIONS' AND fb.script = k.script) || 'rest; drink' END",
 )
