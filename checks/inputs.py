@@ -209,7 +209,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_phrase(df, REPLY_PHRASES, F.col("conv_id") * 3 + F.col("turn"))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_of(documents: DataFrame) -> DataFrame:
     """Documents as named files; the first word of a paragraph is its heading."""
     hints = F.array(*[F.lit(h) for h in NAME_HINTS])
     name = F.concat(
@@ -217,9 +217,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("_"), F.col("doc_id"), F.when(F.col("lang") == "en", ".md").otherwise(".txt"),
     )
     headed = F.regexp_replace("text", r"\n(\p{L}+)", "\n# $1\n$1")
-    return read(spark, sf_dir, "documents").select(
-        "doc_id", name.alias("source_name"), F.lit(0).alias("page_number"), headed.alias("text")
-    )
+    return documents.select("doc_id", name.alias("source_name"), F.lit(0).alias("page_number"), headed.alias("text"))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_of(read(spark, sf_dir, "documents"))
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
