@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from symptia.functions import fixed_values as fv
 from symptia.functions.regexes import any_literal
+from symptia.session import spread
 
 USER_PHRASES = [
     "my throat feels sore since monday",
@@ -186,8 +187,12 @@ def sql_script(col: str) -> str:
 
 
 # ------------------------------------------------------------ derived inputs
+TEXT_TABLES = ["documents", "conversations", "pages"]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in TEXT_TABLES else df
 
 
 def _with_phrase(df: DataFrame, phrases: list[str], number) -> DataFrame:

@@ -181,7 +181,7 @@ QUERIES["hybrid_search"] = lambda spark, sf: search.hybrid_search(item_queries(s
     "query_id", "id", "rank", F.round("score", R).alias("score"))
 SQL["hybrid_search"] = (
     f"WITH {POOL} SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * vector_score + 0.3 * keyword_score, 9) DESC, id) AS rank, "
-    f"round(0.7 * vector_score + 0.3 * keyword_score, {R}) AS score FROM kw) WHERE rank <= 5"
+    f"round(round(0.7 * vector_score + 0.3 * keyword_score, 9), {R}) AS score FROM kw) WHERE rank <= 5"
 )
 QUERIES["top_k_per_query"] = lambda spark, sf: retrieval.top_k(
     read(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", 5, "n_chars", "doc_id").select("source", "doc_id", "rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,10 +108,9 @@ def table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFra
 def pick(rows: list[tuple[str, str, str]], first: Column, second: Column, default_first: str) -> Column:
     """The text for a key pair, falling back to ``default_first`` for an
     unknown first key. A literal map, so no join and no shuffle."""
-    known = {}
-    for a, b, text in rows:
-        known[f"{a}|{b}"] = text
-    mapping = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    known = {f"{a}|{b}": text for a, b, text in rows}
+    # folded to a map literal by the optimizer
+    mapping = F.from_json(F.lit(json.dumps(known, ensure_ascii=False)), "map<string,string>")
     return F.coalesce(
         mapping[F.concat_ws("|", first, second)],
         mapping[F.concat(F.lit(default_first + "|"), second)],

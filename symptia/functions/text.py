@@ -108,7 +108,12 @@ def transliterate(c: Column | str) -> Column:
         share = _arabic_chars(t) / F.greatest(F.length(t), F.lit(1))
         return F.when(share > fv.ARABIC_SHARE, t).otherwise(_letters(t))
 
-    return F.array_join(F.transform(words(c), one), " ")
+    tokens = words(c)
+    # white space is not part of the mapping, so a text without Arabic
+    # characters is mapped in one go instead of token by token
+    return F.when(
+        as_col(c).rlike(f"[{fv.ARABIC_BLOCK}]"), F.array_join(F.transform(tokens, one), " ")
+    ).otherwise(_letters(F.array_join(tokens, " ")))
 
 
 # -------------------------------------------------------------------- tokens

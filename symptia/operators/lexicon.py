@@ -219,9 +219,12 @@ def symptom_array(lexicon: DataFrame, text_col: Column) -> Column | None:
     """The matches of :func:`extract_symptoms` as an array column, computed
     within the row: no join and no shuffle. None when the dictionary is too
     large to be a literal."""
-    latin, arabic = (_small_rows(key_index(lexicon, k)) for k in ("latin", "arabic"))
-    if latin is None or arabic is None:
+    both = key_index(lexicon, "latin").withColumn("side", F.lit("latin")).unionByName(
+        key_index(lexicon, "arabic").withColumn("side", F.lit("arabic")))
+    rows = _small_rows(both)
+    if rows is None:
         return None
+    latin, arabic = ([r for r in rows if r["side"] == s] for s in ("latin", "arabic"))
     def found(e: Column, kind: int, pass_no: Column, n: Column, pos: Column, candidate: Column, label: str) -> Column:
         return F.struct(
             pass_no.cast("int").alias("pass_no"), n.cast("int").alias("n"), pos.cast("int").alias("pos"),

@@ -45,6 +45,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores, such as one
+    small file with a single row group. A large input has splits enough and
+    passes through untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing to the shared folder and reading back."""
     path = shared_dir(df.sparkSession, name)
