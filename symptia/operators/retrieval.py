@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from symptia.functions import fixed_values as fv
 from symptia.functions import messages, parsing, text
@@ -47,8 +48,29 @@ def _similarity(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.round(np.maximum(0.0, (1.0 + queries @ rows.T) / 2.0), DIGITS)
 
 
-# Cells of one similarity block: 4 million doubles are 32 MB.
-BLOCK_CELLS = 4_000_000
+# One similarity block: 1,024 queries by 4,096 rows of doubles are 32 MB.
+TILE_QUERIES, TILE_ROWS = 1024, 4096
+
+
+class _Tiles:
+    """Top lists of any number of queries, worked on in bounded tiles."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.tops = [_Top(queries[at : at + TILE_QUERIES], k) for at in range(0, len(queries), TILE_QUERIES)]
+
+    def add(self, rows: np.ndarray, ids: np.ndarray) -> None:
+        by_id = np.argsort(ids, kind="stable")
+        for at in range(0, len(by_id), TILE_ROWS):
+            part = by_id[at : at + TILE_ROWS]
+            for top in self.tops:
+                top.add(rows[part], ids[part])
+
+    def columns(self, query_ids: list) -> tuple[list, list, list]:
+        out: tuple[list, list, list] = ([], [], [])
+        for i, top in enumerate(self.tops):
+            for column, values in zip(out, top.columns(query_ids[i * TILE_QUERIES : (i + 1) * TILE_QUERIES])):
+                column.extend(values)
+        return out
 
 
 class _Top:
@@ -60,11 +82,8 @@ class _Top:
         self.scores, self.ids = None, None
 
     def add(self, rows: np.ndarray, ids: np.ndarray) -> None:
-        by_id = np.argsort(ids, kind="stable")
-        step = max(1, BLOCK_CELLS // max(1, len(self.queries)))
-        for at in range(0, len(by_id), step):
-            part = by_id[at : at + step]
-            self._merge(*self._first_k(_similarity(self.queries, rows[part]), ids[part]))
+        """Rows come in the order of their ids."""
+        self._merge(*self._first_k(_similarity(self.queries, rows), ids))
 
     def _first_k(self, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k best columns of every row; equal scores by column order."""
@@ -97,22 +116,22 @@ def _candidates_schema(queries: DataFrame, collection: DataFrame) -> str:
     return f"query_id {q}, id {c}, vector_score double"
 
 
-def _broadcast_top(collection: DataFrame, rows: list, k: int, schema: str) -> DataFrame:
+def _broadcast_top(collection: DataFrame, queries: pa.Table, k: int, schema: str) -> DataFrame:
     spark = collection.sparkSession
-    query_ids = [r["query_id"] for r in rows]
-    dim = len(rows[0]["embedding"])
-    block = _matrix(pa.array([list(r["embedding"]) for r in rows], pa.list_(pa.float64())), dim)
+    query_ids, vectors = queries["query_id"].to_pylist(), queries["embedding"].combine_chunks()
+    block = _matrix(vectors, len(vectors[0]))
+    query_type, id_type = queries.schema.field("query_id").type, to_arrow_type(collection.schema["id"].dataType)
     shared = spark.sparkContext.broadcast((query_ids, block))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        top = _Top(matrix, k)
+        top = _Tiles(matrix, k)
         for b in batches:
             if b.num_rows:
                 top.add(_matrix(b.column("embedding"), matrix.shape[1]), np.asarray(b.column("id").to_pylist()))
         q, i, s = top.columns(ids)
         if q:
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s, pa.float64())],
+            yield pa.RecordBatch.from_arrays([pa.array(q, query_type), pa.array(i, id_type), pa.array(s, pa.float64())],
                                              names=["query_id", "id", "vector_score"])
 
     return collection.select("id", "embedding").mapInArrow(task, schema)
@@ -135,7 +154,7 @@ def _grid_top(collection: DataFrame, queries: DataFrame, k: int, schema: str, n_
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": q["query_id"][:0], "id": c["id"][:0], "vector_score": pd.Series(dtype="float64")})
         dim = len(q["embedding"].iloc[0])
-        top = _Top(_matrix(pa.array(list(q["embedding"])), dim), k)
+        top = _Tiles(_matrix(pa.array(list(q["embedding"])), dim), k)
         top.add(_matrix(pa.array(list(c["embedding"])), dim), np.asarray(c["id"].tolist()))
         return pd.DataFrame(dict(zip(["query_id", "id", "vector_score"], top.columns(list(q["query_id"])))))
 
@@ -154,11 +173,12 @@ def nearest(
     collection = metadata_filter(collection, filters)
     schema = _candidates_schema(queries, collection)
     queries = queries.select("query_id", "embedding")
-    rows = queries.limit(broadcast_queries + 1).collect()
-    if not rows:
+    # the size check reads at most one query more than may be broadcast
+    first = queries.limit(broadcast_queries + 1).toArrow()
+    if not first.num_rows:
         return collection.sparkSession.createDataFrame([], schema + ", rank int")
-    if len(rows) <= broadcast_queries:
-        partial = _broadcast_top(collection, rows, k, schema)
+    if first.num_rows <= broadcast_queries:
+        partial = _broadcast_top(collection, first, k, schema)
     else:
         partial = _grid_top(collection, queries, k, schema, collection.count(), queries.count())
     return top_k(partial, "query_id", k, "vector_score", "id")

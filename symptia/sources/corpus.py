@@ -69,9 +69,11 @@ def split_readable(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def manifest(pages: DataFrame, chunks: DataFrame, source_dir: str,
              chunk_tokens: int = fv.CHUNK_TOKENS, overlap_tokens: int = fv.OVERLAP_TOKENS) -> DataFrame:
     """One row on an ingest run."""
-    files = pages.agg(F.countDistinct("source_name").alias("files_processed"))
-    total = chunks.agg(F.count("*").alias("total_chunks"))
-    return files.join(total, F.lit(True)).select(
+    # both counts in one aggregate over a union, so nothing is joined
+    both = pages.select("source_name", F.lit(0).alias("chunk")).unionByName(
+        chunks.select(F.lit(None).cast("string").alias("source_name"), F.lit(1).alias("chunk")))
+    counts = both.agg(F.countDistinct("source_name").alias("files_processed"), F.sum("chunk").alias("total_chunks"))
+    return counts.select(
         F.lit(source_dir).alias("source_dir"), "files_processed", "total_chunks",
         F.lit(chunk_tokens).alias("chunk_tokens"), F.lit(overlap_tokens).alias("overlap_tokens"),
         F.lit(fv.ENCODING_NAME).alias("encoding"),
