@@ -12,6 +12,7 @@ from symptia.functions import text
 from symptia.operators import collection as coll
 from symptia.operators import hooks, retrieval
 from symptia.plans import search
+from symptia.session import materialise
 
 QUERIES, SQL = {}, {}
 R = 6  # digits compared
@@ -135,7 +136,7 @@ SQL["term_frequency"] = (
 def candidate_pool(spark, sf):
     """The 20 nearest documents of every benchmark passage."""
     near = retrieval.nearest(item_queries(spark, sf), texts(spark, sf), 20).select("query_id", "id", "vector_score")
-    return near.join(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return materialise(near.join(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id"), "pool")
 
 
 POOL = (
@@ -165,8 +166,9 @@ SQL["keyword_score"] = f"WITH {POOL} SELECT query_id, id, round(keyword_score, {
 
 
 def fusion(spark, sf):
-    keyword = retrieval.keyword_scores(items(spark, sf), candidate_pool(spark, sf))
-    both = candidate_pool(spark, sf).drop("text").join(keyword, ["query_id", "id"])
+    pool = candidate_pool(spark, sf)
+    keyword = retrieval.keyword_scores(items(spark, sf), pool)
+    both = pool.drop("text").join(keyword, ["query_id", "id"])
     return both.select(
         "query_id", "id", F.round(retrieval.fuse(F.col("vector_score"), F.col("keyword_score")), R).alias("score"),
         F.round(retrieval.fuse(F.col("vector_score"), F.col("keyword_score"), 0.2), R).alias("keyword_heavy"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from symptia.functions import fixed_values as fv
 from symptia.functions import text
+from symptia.functions.rows import explode_rows
 
 # Headings are recognised line by line.
 _HEADING = r"(?:#{1,6}[ \t]+(\S.*)|([A-Z][A-Z \t]{3,}[A-Z])[ \t]*(?:\n|\z))"
@@ -87,10 +88,13 @@ def chunk_pages(
     windows are dropped but keep their number, so ids may skip.
     """
     stem = F.regexp_replace("source_name", r"\.[^.]*$", "")
+    # a blank page has no windows left after the last filter, so it needs none
+    # of its own
     windows = (
-        pages.filter(~text.is_blank("text"))
-        .withColumn("_headings", section_headings(F.col("text")))
-        .withColumn("_w", F.explode(chunk_spans(tokenise(F.col("text")), chunk_tokens, overlap_tokens)))
+        explode_rows(
+            pages, ["source_name", "page_number", section_headings(F.col("text")).alias("_headings")],
+            chunk_spans(tokenise(F.col("text")), chunk_tokens, overlap_tokens), "_w",
+        )
         .withColumn("_chunk", text.strip("_w.raw"))
         .filter(F.col("_chunk") != "")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symptia.functions import fixed_values as fv
 from symptia.functions import text
+from symptia.functions.rows import explode_rows
 from symptia.operators.ordering import running_totals
 from symptia.operators.replies import redact
 
@@ -30,7 +31,7 @@ def to_frame(event: Column) -> Column:
 def read_frames(logs: DataFrame, id_cols: list[str], raw: str = "raw") -> DataFrame:
     """Events of each log: lines with the prefix, up to the terminator.
     Frames that are not JSON disappear silently."""
-    lines = logs.select(*id_cols, F.posexplode(F.split(F.col(raw), "\n")).alias("line_no", "line")).filter(
+    lines = explode_rows(logs, id_cols, F.split(F.col(raw), "\n"), "line", "line_no").filter(
         F.startswith("line", F.lit(FRAME_PREFIX))
     )
     payload = text.strip(F.substring("line", len(FRAME_PREFIX) + 1, 2**31 - 1))
@@ -61,7 +62,7 @@ def read_frames_in_row(logs: DataFrame, id_cols: list[str], raw: str = "raw") ->
         lambda at: F.when(at > 0, F.slice(ps, F.lit(1), at.cast("int") - 1)).otherwise(ps)))
     parsed = F.from_json("_p.payload", EVENT_FIELDS + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     return (
-        logs.select(*id_cols, F.explode(until).alias("_p"))
+        explode_rows(logs, id_cols, until, "_p")
         .select(*id_cols, "_p.line_no", parsed.alias("event"))
         .filter(F.col("event").isNotNull() & F.col("event._bad").isNull())
         .select(*id_cols, "line_no", "event.*")

@@ -111,8 +111,12 @@ def is_emergency_violation(force_red: Column, violation: Column) -> Column:
 
 def ensure_notice(reply: Column, emergency: Column, script: Column) -> Column:
     """Append the notice for script and severity unless already contained."""
-    n = messages.notice(script, emergency)
-    return F.when(F.contains(reply, n), reply).otherwise(F.concat(reply, F.lit("\n\n"), n))
+    return text.bind(
+        F.struct(reply.alias("reply"), messages.notice(script, emergency).alias("notice")),
+        lambda s: F.when(F.contains(s["reply"], s["notice"]), s["reply"]).otherwise(
+            F.concat(s["reply"], F.lit("\n\n"), s["notice"])
+        ),
+    )
 
 
 def refusal_text(violation: Column, emergency: Column, script: Column) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from symptia.functions import fixed_values as fv
 from symptia.functions import text
+from symptia.functions.rows import explode_rows
 from symptia.session import broadcast_if_small
 
 # Dictionaries up to this many entries become a literal in the plan.
@@ -119,12 +120,12 @@ def arabic_hits(df: DataFrame, lexicon: DataFrame, id_cols: list[str], text_col:
     windows = (
         df.filter(F.col(text_col).rlike(f"[{fv.ARABIC_BLOCK}]"))
         .select(*id_cols, F.col(text_col).alias("_text"), text.symptom_tokens(text_col).alias("_tokens"))
-        .select(*id_cols, F.explode(_arabic_windows(F.col("_tokens"), F.col("_text"))).alias("s"))
-        .select(*id_cols, "s.pass_no", "s.n", "s.pos", text.normalize("s.w").alias("_norm"))
     )
-    candidates = windows.select(
-        *id_cols, "pass_no", "n", "pos",
-        F.posexplode(F.concat(F.array("_norm"), text.words("_norm"))).alias("candidate", "key"),
+    windows = explode_rows(windows, id_cols, _arabic_windows(F.col("_tokens"), F.col("_text")), "s").select(
+        *id_cols, "s.pass_no", "s.n", "s.pos", text.normalize("s.w").alias("_norm")
+    )
+    candidates = explode_rows(
+        windows, [*id_cols, "pass_no", "n", "pos"], F.concat(F.array("_norm"), text.words("_norm")), "key", "candidate"
     )
     return (
         candidates.join(broadcast_if_small(index), "key")
@@ -175,7 +176,9 @@ def latin_hits(
         hits = F.filter(
             entries, lambda e: F.contains(F.col("_lowered"), e["key"]) | F.contains(F.col("_joined"), e["key"])
         )
-        joined = base.withColumn("_e", F.explode(hits)).select(*id_cols, "_lowered", "_joined", "_e.*")
+        joined = explode_rows(base, [*id_cols, "_lowered", "_joined"], hits, "_e").select(
+            *id_cols, "_lowered", "_joined", "_e.*"
+        )
     else:
         keyed = index.withColumn("_gram", F.substring("key", 1, GRAM))
         lengths = range(1, GRAM + 1)
@@ -183,7 +186,7 @@ def latin_hits(
         grams = F.array_distinct(
             F.concat(*[F.regexp_extract_all(both, F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1)) for g in lengths])
         )
-        gram_rows = base.select(*id_cols, "_lowered", "_joined", F.explode(grams).alias("_gram"))
+        gram_rows = explode_rows(base, [*id_cols, "_lowered", "_joined"], grams, "_gram")
         joined = gram_rows.join(broadcast_if_small(keyed), "_gram").drop("_gram")
     return (
         joined.withColumn("_p", _latin_position(F.col("key"), _blanks(F.col("key")), F.col("_joined"), F.col("_lowered")))

@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from symptia.functions import fixed_values as fv
 from symptia.functions import messages, parsing, text
+from symptia.functions.rows import explode_rows
 
 # Queries sent to every task: 20,000 vectors of 768 doubles are about 120 MB.
 BROADCAST_QUERIES = 20_000
@@ -196,7 +197,7 @@ def term_frequencies(docs: DataFrame, id_col: str) -> DataFrame:
     """Count of each keyword over the number of keywords of its document."""
     tokens = docs.select(id_col, text.keyword_tokens("text").alias("_t"))
     return (
-        tokens.select(id_col, F.greatest(F.size("_t"), F.lit(1)).alias("_len"), F.explode("_t").alias("term"))
+        explode_rows(tokens, [id_col, F.greatest(F.size("_t"), F.lit(1)).alias("_len")], F.col("_t"), "term")
         .groupBy(id_col, "term")
         .agg((F.count("*") / F.first("_len")).alias("tf"))
     )
@@ -225,9 +226,8 @@ def keyword_scores(queries: DataFrame, pool: DataFrame) -> DataFrame:
     joined = pool.join(terms, "query_id").withColumn("_l", F.lower("text"))
     distinct_terms = F.array_distinct("_terms")
     # documents of the pool per term, as one array aligned with the terms
-    contained = joined.select(
-        "query_id",
-        F.posexplode(F.transform(distinct_terms, lambda t: F.contains(F.col("_l"), t).cast("int"))).alias("_pos", "_in"),
+    contained = explode_rows(
+        joined, ["query_id"], F.transform(distinct_terms, lambda t: F.contains(F.col("_l"), t).cast("int")), "_in", "_pos"
     )
     weights = (
         contained.groupBy("query_id", "_pos")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from symptia.functions import fixed_values as fv
 from symptia.functions import messages as copy
 from symptia.functions import parsing, text
+from symptia.functions.rows import explode_rows
 from symptia.operators import conversation, emergency, guardrails, lexicon, replies
 
 NONE = "array<string>"
@@ -162,5 +163,5 @@ def triage_events(triaged: DataFrame, id_cols: list[str]) -> DataFrame:
     )
     blocked = F.array(event("start"), event(
         "blocked", reason=F.col("violation_type"), message=F.col("reply"), force_red=F.col("force_red")))
-    every = F.when(F.col("step") == "blocked", blocked).otherwise(answered)
-    return triaged.filter(F.col("step") != "invalid").select(*id_cols, F.posexplode(every).alias("seq", "e")).select(*id_cols, "seq", "e.*")
+    every = F.when(F.col("step") == "blocked", blocked).when(F.col("step") != "invalid", answered)
+    return explode_rows(triaged, id_cols, every, "e", "seq").select(*id_cols, "seq", "e.*")
