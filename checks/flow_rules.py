@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.inputs import (
-    MESSAGES, REPLIES, USER_PHRASES, lexicon, messages, q, read, replies, sql_literals, sql_script, sql_strip, sql_words, values,
+    CORPUS, MESSAGES, REPLIES, USER_PHRASES, corpus, lexicon, messages, q, read, replies, sql_literals, sql_script, sql_strip, sql_words, values,
 )
 from checks.lexicon_rules import EXTRACT_CTES, SYMPTOM_LISTS
 from checks.text_rules import (
@@ -13,8 +13,8 @@ from checks.text_rules import (
 )
 from symptia.functions import fixed_values as fv
 from symptia.functions import messages as copy
-from symptia.functions import text
-from symptia.operators import admission, conversation, evaluation, events, guardrails, ordering
+from symptia.functions import parsing, text
+from symptia.operators import admission, chunking, conversation, evaluation, events, guardrails, hooks, ordering
 from symptia.plans import evaluate, triage
 from symptia.session import shared_dir
 from symptia.sources import corpus as src
@@ -528,3 +528,67 @@ def scenario_scan(spark, sf):
 
 QUERIES["scenario_scan"] = scenario_scan
 SQL["scenario_scan"] = f"WITH {SCORED} SELECT CAST(id AS VARCHAR) AS id, input_type, expected_level AS expected_triage_level, should_escalate, should_ask_followup, input_type AS conditions FROM sc"
+
+
+# ------------------------------------------------- history, judging, tokenisers
+def triage_with_history(spark, sf):
+    """Symptoms from the message with its history; emergencies from the
+    message alone."""
+    framed = conversation.history_frames(messages(spark, sf))
+    return triage.triage_rules(framed, lexicon(spark), ID, script(), "context_text").select(*ID, *TRIAGE_OUT)
+
+
+HISTORY_CTES = EXTRACT_CTES.replace("toks AS (SELECT conv_id, turn, text,", "toks AS (SELECT conv_id, turn, context_text AS text,").replace(
+    "FROM messages)", "FROM framed)", 1).replace("2, 0, 0, text FROM messages", "2, 0, 0, context_text FROM framed")
+HISTORY_CTES = HISTORY_CTES.replace(MESSAGES, MESSAGES + ", framed AS (SELECT * FROM " + "(SELECT conv_id, turn, role, text, string_agg(text, chr(10)) OVER "
+                                    "(PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS context_text FROM messages))", 1)
+QUERIES["triage_with_history"] = triage_with_history
+SQL["triage_with_history"] = "WITH " + RULED.replace(EXTRACT_CTES, HISTORY_CTES).replace(
+    f"len({sql_words('text')}) < 2 THEN 'vague'", f"len({sql_words('context_text')}) < 2 THEN 'vague'").replace(
+    "FROM verdict v JOIN sym s USING (conv_id, turn))", "FROM verdict v JOIN sym s USING (conv_id, turn) JOIN framed f USING (conv_id, turn))").replace(
+    "AS step0 FROM verdict", "AS step0, f.context_text FROM verdict") + f" SELECT conv_id, turn, {', '.join(TRIAGE_OUT)} FROM ruled"
+
+
+def _judge(prompts: list[str]) -> list[str]:
+    return [f"{len(p) % 7}" for p in prompts]
+
+
+def quality_ratings(spark, sf):
+    prompt = text.fill(copy.PROMPTS["quality"], input_text=F.col("role"), expected_level=F.lit("RED"), actual_level=F.lit("unknown"),
+                       response_text=text.truncate("text", fv.JUDGED_CHARS))
+    judged = hooks.score(replies(spark, sf).select(*ID, prompt.alias("prompt")), "prompt", _judge)
+    return judged.select(*ID, parsing.parse_rating(F.col("answer")).alias("quality"))
+
+
+QUERIES["quality_ratings"] = quality_ratings
+QUALITY_LENGTH = len(copy.PROMPTS["quality"].format(input_text="assistant", expected_level="RED", actual_level="unknown", response_text=""))
+SQL["quality_ratings"] = (
+    f"WITH {REPLIES}, r AS (SELECT conv_id, turn, ({QUALITY_LENGTH} + length(substr(text, 1, {fv.JUDGED_CHARS}))) % 7 AS r FROM replies) "
+    "SELECT conv_id, turn, CAST(CASE WHEN r BETWEEN 1 AND 5 THEN r END AS DOUBLE) AS quality FROM r"
+)
+
+
+def paragraphs(c):
+    """A tokeniser that takes each line with its line end as one token."""
+    return F.split(c, "(?<=\n)")
+
+
+QUERIES["custom_tokeniser_chunks"] = lambda spark, sf: chunking.chunk_pages(corpus(spark, sf), 3, 1, paragraphs).select(
+    "chunk_id", "token_count", "char_start", "char_end")
+SQL["custom_tokeniser_chunks"] = (
+    f"WITH {CORPUS}, pieces AS (SELECT source_name, page_number, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i < len(l) THEN l[i] || chr(10) ELSE l[i] END), lambda s: TRUE) AS p "
+    "FROM (SELECT *, string_split(text, chr(10)) AS l FROM corpus)), w AS (SELECT *, unnest(range(0, CAST(ceil(len(p) / 2.0) AS BIGINT))) AS j FROM pieces), "
+    "r AS (SELECT *, length(coalesce(array_to_string(p[1:j * 2], ''), '')) AS char_start, array_to_string(p[j * 2 + 1:j * 2 + 3], '') AS raw FROM w) "
+    "SELECT regexp_replace(source_name, '\\.[^.]*$', '') || '_' || page_number || '_' || j AS chunk_id, "
+    f"1 + length({sql_strip('raw')}) - length(replace({sql_strip('raw')}, chr(10), '')) AS token_count, char_start, char_start + length(raw) AS char_end FROM r WHERE {sql_strip('raw')} <> ''"
+)
+
+ASKED = (
+    "messages_phrases AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(p)})" for i, p in enumerate(USER_PHRASES)) + ") AS v(no, phrase)), "
+    "messages AS (SELECT doc_id AS conv_id, CAST(0 AS BIGINT) AS turn, 'user' AS role, phrase AS text FROM labels JOIN documents USING (doc_id) "
+    f"JOIN messages_phrases ON no = doc_id % {len(USER_PHRASES)})"
+)
+SQL["evaluate_rules"] = (
+    f"WITH {RULED.replace(MESSAGES, ASKED, 1)}, {SCORED.split(', pr AS')[0]}, out AS (SELECT sc.expected_level, CASE WHEN step = 'blocked' THEN CASE WHEN is_emergency THEN 'RED' ELSE 'YELLOW' END ELSE level END AS actual "
+    "FROM sc JOIN ruled ON ruled.conv_id = sc.id) SELECT expected_level, count(*) AS rows, count(*) FILTER (actual = expected_level) AS correct, count(*) FILTER (actual IS DISTINCT FROM expected_level) AS failures FROM out GROUP BY 1"
+)
