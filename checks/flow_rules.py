@@ -516,12 +516,12 @@ QUERIES["evaluate_rules"] = evaluated_rules
 
 
 def scenario_scan(spark, sf):
-    """Scenarios packed into nested documents per language and length, then
-    read back."""
+    """Scenarios packed into nested documents of at most 500, then read
+    back."""
     s = scenarios(spark, sf).select(
         F.col("id").cast("string").alias("id"), "input_type", F.col("expected_level").alias("expected_triage_level"),
         F.array(F.col("input_type")).alias("expected_conditions"), "should_escalate", "should_ask_followup")
-    packed = s.groupBy("input_type", F.pmod(F.xxhash64("id"), F.lit(64)).alias("file")).agg(F.collect_list(F.struct(*s.columns)).alias("scenarios"))
+    packed = s.groupBy("input_type", F.floor(F.col("id").cast("bigint") / 500).alias("file")).agg(F.collect_list(F.struct(*s.columns)).alias("scenarios"))
     back = src.explode_scenarios(packed.select(F.to_json(F.struct("scenarios")).alias("value")))
     return back.select("id", "input_type", "expected_triage_level", "should_escalate", "should_ask_followup", F.array_join("expected_conditions", ",").alias("conditions"))
 

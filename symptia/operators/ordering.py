@@ -8,10 +8,12 @@ third of all rows thus spreads over as many tasks as it has buckets.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+VALUE_BUCKETS = 256
 
 
 def running_totals(df: DataFrame, keys: list[str], bucket: str, order: list, values: dict[str, Column]) -> DataFrame:
@@ -61,15 +63,23 @@ def streaks(df: DataFrame, keys: list[str], bucket: str, order: list, failed: Co
     ).drop("_fails", "_at_ok", "_open")
 
 
-def order_statistic(df: DataFrame, keys: list[str], value: str, rank: Column, bucket: Column | None = None, out: str = "value") -> DataFrame:
+def order_statistic(df: DataFrame, keys: list[str], value: str, rank: Column, out: str = "value") -> DataFrame:
     """The value at a 1-based position of each group in ascending order.
 
     ``rank`` is an expression over ``n``, the group size. Equal values are
-    counted first, so only distinct values are ordered, and the order is
-    built from buckets.
+    counted first, so only distinct values are ordered; buckets cut at
+    approximate quantiles of all values keep their share of rows level
+    whatever the distribution. The result itself is exact.
     """
-    bucket = F.floor(F.col(value)) if bucket is None else bucket
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_bucket", bucket)
+    df = df.filter(F.col(value).isNotNull())
+    probes = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
+    cuts = sorted(set(df.approxQuantile(value, probes, 0.25 / VALUE_BUCKETS)))
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    if cuts:
+        splits = [float("-inf"), *cuts, float("inf")]
+        counts = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket", handleInvalid="keep").transform(counts)
+    else:
+        counts = counts.withColumn("_bucket", F.lit(0.0))
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n")).select(*keys, rank.alias("_rank"))
     ranked = running_totals(counts, keys, "_bucket", [value], {"_upto": F.col("_c")})
     hit = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_c") < F.col("_rank"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symptia.operators import evaluation
+from symptia.session import materialise
 
 
 def predictions_from(triaged: DataFrame, id_col: str) -> DataFrame:
@@ -18,7 +19,8 @@ def predictions_from(triaged: DataFrame, id_col: str) -> DataFrame:
 
 def evaluate(scenarios: DataFrame, predictions: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(summary, scored rows)."""
-    scored = evaluation.score(scenarios, predictions)
+    # written once: the summary reads it several times, the report once more
+    scored = materialise(evaluation.score(scenarios, predictions), "scored")
     return evaluation.summary(scored, by), scored
 
 
