@@ -13,5 +13,10 @@ def explode_rows(df: DataFrame, keep: list, array: Column, out: str, pos: str |
     below it, which computes a computed array twice. The outer form has no
     such filter; its one empty row per empty array is dropped above it.
     """
-    generated = F.posexplode_outer(array).alias(pos, out) if pos else F.explode_outer(array).alias(out)
-    return df.select(*keep, generated).filter(F.col(out).isNotNull())
+    # kept columns are computed below the generator, once per input row; next
+    # to it they would be computed for every element
+    staged = df.select(*keep, array.alias("_array"))
+    names = [c for c in staged.columns if c != "_array"]
+    item = F.col("_array")
+    generated = F.posexplode_outer(item).alias(pos, out) if pos else F.explode_outer(item).alias(out)
+    return staged.select(*names, generated).filter(F.col(out).isNotNull())
