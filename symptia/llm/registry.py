@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symptia.llm import byte_bpe, exact_dedup, packing
+from symptia.llm import byte_bpe, exact_dedup, langid, packing, pii, simhash
 from symptia.llm.common import read
 
 
@@ -26,13 +26,25 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_groups(docs).select(
         F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_byte_bpe, op8_exact_dedup)}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_byte_bpe, op3_pii, op7_simhash, op8_exact_dedup, op10_langid)}
 
 SQL = {
     "op8_exact_dedup": """
