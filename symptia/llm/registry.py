@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symptia.llm import byte_bpe, exact_dedup, langid, packing, pii, simhash
+from symptia.llm import byte_bpe, chat, exact_dedup, langid, packing, pii, simhash
 from symptia.llm.common import read
 
 
@@ -30,6 +30,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.windows(chat.with_control(read(spark, sf_dir, "conversations"))))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_byte_bpe, op3_pii, op7_simhash, op8_exact_dedup, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_byte_bpe, op3_pii, op6_chat, op7_simhash, op8_exact_dedup, op10_langid)}
 
 SQL = {
     "op8_exact_dedup": """
@@ -54,3 +58,15 @@ SQL = {
               FROM documents)
         WINDOW g AS (PARTITION BY t)""",
 }
+
+# All that op6_chat returns but the length of the windows: the tests compare it.
+CHAT_SQL = """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+             c AS (SELECT conv_id, count(*) AS n_turns,
+                          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+                          coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                                   FILTER (WHERE role = 'assistant'), '') AS lost
+                   FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(lost) AS loss_chars, sha256(lost) AS loss_sha256
+        FROM c"""
