@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symptia.llm import byte_bpe, chat, exact_dedup, langid, neighbours, packing, pii, simhash
+from symptia.llm import byte_bpe, chat, exact_dedup, langid, neighbours, ngram_lm, packing, pii, simhash
 from symptia.llm.common import read
 
 
@@ -48,11 +48,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_byte_bpe, op3_pii, op5_neighbours, op6_chat, op7_simhash, op8_exact_dedup, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_byte_bpe, op3_pii, op5_neighbours, op6_chat, op7_simhash, op8_exact_dedup, op9_kneser_ney, op10_langid)}
 
 SQL = {
     "op8_exact_dedup": """
