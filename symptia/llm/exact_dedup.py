@@ -7,30 +7,23 @@ second pass only the possibly repeated rows are shuffled and grouped by digest;
 the rest pass straight through with a group of their own.
 
 Wrong suspicions cost a shuffled row, never a wrong answer: groups are formed
-on the whole SHA-256 digest. The filter has 16 bits a row, at most ``MOST_BITS``
-(128 MB of the "more than once" half is what the driver and the executors ever
-hold); beyond about 500 million rows it fills up and more rows take the shuffle.
+on the whole SHA-256 digest. The filter has 16 bits a row and is at most 128 MB;
+beyond about 500 million rows it fills up and more rows take the shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symptia.llm.bloom import filter_bits, holds, repeated_bits
 from symptia.llm.common import byte_values, documents, materialise
 
 PROBES = 4
-BITS_PER_ROW = 16
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 30
-SEGMENT_BITS = 1 << 16
-# Partial merges per segment, so that no task merges one bitmap per partition.
-MERGE_SALT = 64
 
 
 def digest(text: bytes) -> bytes:
@@ -44,86 +37,12 @@ def probes(digests: list[bytes], bits: int) -> np.ndarray:
     return (words[:, :PROBES] & np.uint64(bits - 1)).astype(np.int64)
 
 
-def filter_bits(rows: int) -> int:
-    wanted = 1 << max(1, (rows * BITS_PER_ROW - 1)).bit_length()
-    return min(MOST_BITS, max(LEAST_BITS, wanted))
-
-
-def _packed(positions: np.ndarray) -> bytes:
-    """Sorted positions of a segment, or its bitmap where that is smaller."""
-    if len(positions) * 16 < SEGMENT_BITS:
-        return positions.astype("<u2").tobytes()
-    flags = np.zeros(SEGMENT_BITS, np.uint8)
-    flags[positions] = 1
-    return np.packbits(flags).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    if len(data) * 8 == SEGMENT_BITS:
-        return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
-    return np.frombuffer(data, "<u2").astype(np.int64)
-
-
-def _counted(seen: list[np.ndarray], more: list[np.ndarray]) -> tuple[bytes, bytes]:
-    positions, counts = np.unique(np.concatenate(seen), return_counts=True)
-    repeated = np.union1d(positions[counts > 1], np.concatenate(more)).astype(np.int64)
-    return _packed(positions), _packed(repeated)
-
-
-def _marks(bits: int):
-    """Per partition: for each segment of the filter the bits seen, and those
-    seen more than once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.zeros(0, np.int64)]
-        for batch in batches:
-            if batch.num_rows:
-                # a row counts once for a bit, however many of its probes hit it
-                own = np.sort(probes([digest(t) for t in byte_values(batch.column(0))], bits), axis=1)
-                first = np.ones(own.shape, bool)
-                first[:, 1:] = own[:, 1:] != own[:, :-1]
-                found.append(own[first])
-        positions, counts = np.unique(np.concatenate(found), return_counts=True)
-        segments, starts = np.unique(positions // SEGMENT_BITS, return_index=True)
-        ends = np.append(starts[1:], len(positions))
-        rows = [(int(s), positions[a:b] % SEGMENT_BITS, counts[a:b] > 1) for s, a, b in zip(segments, starts, ends)]
-        yield pa.RecordBatch.from_pydict(
-            {"segment": [r[0] for r in rows], "seen": [_packed(r[1]) for r in rows],
-             "more": [_packed(r[1][r[2]]) for r in rows]},
-            pa.schema([("segment", pa.int32()), ("seen", pa.binary()), ("more", pa.binary())]))
-
-    return run
-
-
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    seen, more = _counted([_unpacked(x) for x in rows["seen"]], [_unpacked(x) for x in rows["more"]])
-    return pd.DataFrame({"segment": [rows["segment"].iloc[0]], "seen": [seen], "more": [more]})
-
-
-def repeated_bits(texts: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of bits seen more than once over a one-column table of texts."""
-    schema = "segment int, seen binary, more binary"
-    marks = texts.mapInArrow(_marks(bits), schema)
-    merged = (
-        marks.withColumn("salt", F.spark_partition_id() % MERGE_SALT)
-        .groupBy("segment", "salt").applyInPandas(lambda rows: _merge(rows), schema)
-        .groupBy("segment").applyInPandas(lambda rows: _merge(rows), schema)
-    )
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for row in merged.select("segment", "more").toLocalIterator():
-        flags = np.zeros(SEGMENT_BITS, np.uint8)
-        flags[_unpacked(bytes(row.more))] = 1
-        at = row.segment * SEGMENT_BITS // 8
-        bitmap[at : at + SEGMENT_BITS // 8] = np.packbits(flags)
-    return bitmap
-
-
 def _checker(bitmap, bits: int):
     def check(texts: pa.Array) -> pa.Array:
         digests = [digest(t) for t in byte_values(texts)]
         at = probes(digests, bits)
-        maybe = ((bitmap.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(maybe)], ["sha", "maybe"])
+        maybe = pa.array(holds(bitmap.value, at))
+        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), maybe], ["sha", "maybe"])
 
     return F.arrow_udf(check, "sha binary, maybe boolean")
 
@@ -140,7 +59,10 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     bits = filter_bits(docs.count())
-    bitmap = spark.sparkContext.broadcast(repeated_bits(documents(docs, doc_id, text).select("text"), bits))
+    marked = repeated_bits(
+        documents(docs, doc_id, text).select("text"), bits,
+        lambda batch: probes([digest(t) for t in byte_values(batch.column(0))], bits))
+    bitmap = spark.sparkContext.broadcast(marked)
     keyed = docs.select(
         F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"),
         _checker(bitmap, bits)(F.col(text).cast("string")).alias("mark"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symptia.llm import byte_bpe, chat, exact_dedup, langid, neighbours, ngram_lm, packing, pii, simhash
+from symptia.llm import byte_bpe, chat, exact_dedup, langid, neighbours, ngram_lm, packing, pii, repeats, simhash
 from symptia.llm.common import read
 
 
@@ -30,6 +30,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digests(read(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"))
 
@@ -56,7 +60,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_byte_bpe, op3_pii, op5_neighbours, op6_chat, op7_simhash, op8_exact_dedup, op9_kneser_ney, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_byte_bpe, op3_pii, op4_repeats, op5_neighbours, op6_chat, op7_simhash, op8_exact_dedup, op9_kneser_ney, op10_langid)}
 
 SQL = {
     "op8_exact_dedup": """
