@@ -308,8 +308,12 @@ def redacted(text: str) -> str:
     return "".join([*out, text[done:]])
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
     """The rows with personal data replaced in ``text``; a null text stays
-    null. All columns stay."""
+    null. All columns stay; ``n_chars`` names one that holds the length of the
+    text, which is then counted anew (0 for null)."""
     run = F.arrow_udf(lambda texts: pa.array([None if t is None else redacted(t) for t in texts.to_pylist()], pa.string()), "string")
-    return docs.withColumn(text, run(F.col(text).cast("string")))
+    out = docs.withColumn(text, run(F.col(text).cast("string")))
+    if n_chars is None:
+        return out
+    return out.withColumn(n_chars, F.coalesce(F.length(text), F.lit(0)).cast(docs.schema[n_chars].dataType))

@@ -41,13 +41,14 @@ BATCH_BYTES = 8 << 20
 ROWS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64 bits, each the majority over the hashes of all word shingles."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle as eight big-endian bytes, a row each; a text
+    of fewer words is one shingle, one without words none."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))
@@ -58,8 +59,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         starts, last = starts[:1], last[-1:]
     hashed = xxhash.xxh64_digest
     hashes = b"".join([hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist())])
+    return np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64 bits, each the majority over the hashes of all word shingles."""
+    rows = shingle_hashes(text, shingle)
     counts = np.zeros(64, np.int64)
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
     for at in range(0, len(rows), 1 << 14):
         counts += np.unpackbits(rows[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(rows)).tobytes(), "big")
