@@ -44,7 +44,7 @@ USER_PHRASES = [
     "ضغط كبير على صدري",
     "his lips are turning blue now",
     "لسان اخي عم يتورم",
-    "3andi waja3 ras w dawkha",
+    "3andi waj3it ras w dawkha",
     "عندي دوخة ووجع ضهر",
     "7arara w so3al men mbere7",
     "dizzy and tired, mild fever",
@@ -53,6 +53,11 @@ USER_PHRASES = [
     "no breakfast today, just coffee",
     "عندي كحة خفيفة وبلغم",
     "رضيع عندو حرارة",
+    "السكر ۴۵ ومش منيح",
+    "السكري صار ۱۲۰ بعد الغدا",
+    "عمرها ۴ أشهر وعم تبكي",
+    "عمرو ۳۰ شهر وعندو كحة",
+    "3andi sodaa3 w ta3ab men youmein",
     "ok",
 ]
 REPLY_PHRASES = [
@@ -76,10 +81,13 @@ REPLY_PHRASES = [
 ]
 LEXICON_ROWS = [
     # dialect_term, latin, msa, english, category, body_system, severity
-    ("وجع", "waja3", "ألم", "pain", "pain_descriptions", "general", "moderate"),
-    ("وجع راس", "waja3 ras", "صداع", "headache", "common_symptoms", "neurological", "mild_to_moderate"),
-    ("دوخة", "dawkha", "دوار", "dizziness", "common_symptoms", "neurological", "mild_to_moderate"),
-    ("حرارة", "7arara", "حمى", "fever", "common_symptoms", "general", "moderate"),
+    ("وجع", "waj3a", "ألم", "ache", "pain_descriptions", "general", "moderate"),
+    ("وجع راس", "waj3it ras", "صداع", "head ache", "common_symptoms", "neurological", "mild_to_moderate"),
+    ("دوخة", "dawkh", "دوار", "vertigo", "common_symptoms", "neurological", "mild_to_moderate"),
+    ("حرارة", "7arar", "حمى", "raised temperature", "common_symptoms", "general", "moderate"),
+    # terms that are themselves in Latin letters
+    ("sodaa3", "", "صداع", "head ache", "common_symptoms", "neurological", "mild_to_moderate"),
+    ("ta3ab", "ta3ab", "تعب", "fatigue", "common_symptoms", "general", "mild_to_moderate"),
     ("كحة", "ko7a", "سعال", "cough", "respiratory", "respiratory", "mild_to_moderate"),
     ("وجع ضهر", "waja3 daher", "ألم الظهر", "back pain", "pain_descriptions", "musculoskeletal", "moderate"),
     ("ضغط", "daght", "ضغط الدم", "blood pressure", "chronic_conditions", "cardiovascular", "moderate"),
@@ -88,7 +96,7 @@ LEXICON_ROWS = [
     ("بلغم", "balgham", "بلغم", "phlegm", "respiratory", "respiratory", "mild_to_moderate"),
     ("راس", "ras", "رأس", "head", "body_parts", "neurological", "mild_to_moderate"),
     ("صدر", "sadr", "صدر", "chest", "body_parts", "cardiovascular", "moderate_to_critical"),
-    ("حرارة عالية", "7arara", "حمى شديدة", "high fever", "common_symptoms", "general", "severe"),
+    ("حرارة عالية", "7arar", "حمى شديدة", "high fever", "common_symptoms", "general", "severe"),
     ("تعب", "tired", "تعب", "", "common_symptoms", "general", "mild_to_moderate"),
     ("", "fever", "حمى", "fever", "common_symptoms", "general", "moderate"),
     ("قهوة", "coffee,", "قهوة", "", "common_symptoms", "digestive", "mild_to_moderate"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import corpus_rules, flow_rules, inputs
 from symptia.functions import text
 from symptia.operators import admission
+from symptia.session import shared_dir
 from symptia.streaming import jobs, runner
 
 QUERIES, SQL = {}, {}
@@ -25,8 +26,7 @@ def replies(spark, sf):
 
 def stream_triage(spark, sf):
     out = jobs.triage_stream(messages(spark, sf), inputs.lexicon(spark), ID, text.detect_script(F.col("text")))
-    flat = out.select(*ID, *flow_rules.TRIAGE_OUT, F.array_join("actions", "; ").alias("actions"))
-    return runner.append(flat, "stream_triage")
+    return out.select(*ID, *flow_rules.TRIAGE_OUT, F.array_join("actions", "; ").alias("actions"))
 
 
 QUERIES["stream_triage"] = stream_triage
@@ -69,21 +69,31 @@ def stream_fold(spark, sf):
 
 QUERIES["stream_event_fold"] = stream_fold
 SQL["stream_event_fold"] = flow_rules.SQL["event_fold"]
-QUERIES["stream_admission"] = lambda spark, sf: runner.append(
-    jobs.admission_stream(runner.read_table(spark, sf, "events"), "user_id", "ts", "event_id", 3, 86400), "stream_admission")
+
+
+def _with_beat(spark, name, job):
+    """A stream that ends with a beat, so that its last rows come out too."""
+    folder = shared_dir(spark, name)
+    return runner.append(job(runner.beats(spark, f"{folder}/beats")), name, folder, lambda: runner.beat(spark, f"{folder}/beats"))
+
+
+QUERIES["stream_admission"] = lambda spark, sf: _with_beat(spark, "stream_admission", lambda beats: jobs.admission_stream(
+    runner.read_table(spark, sf, "events"), "user_id", "ts", "event_id", 3, 86400, beats=beats))
 SQL["stream_admission"] = flow_rules.SQL["sliding_window_admission"]
 
 
 def stream_repeats(spark, sf):
-    e = runner.read_table(spark, sf, "events").filter(F.col("event_id") % 4 != 0)
+    e = runner.read_table(spark, sf, "events")
     step = F.when(F.col("event_type") == "click", "classification").otherwise("response")
-    key = admission.prompt_key(F.lit("sys"), F.concat_ws(" ", step, (F.col("user_id") % 20).cast("string")), F.lit(0.1), F.lit(8))
-    calls = e.select(F.col("event_id").alias("call_id"), "ts", key.alias("prompt_key"))
-    return runner.append(jobs.repeat_stream(calls, "prompt_key", "ts", "call_id", 7200), "stream_repeats")
+    temperature = F.when(F.col("event_id") % 4 == 0, 0.4).otherwise(0.1)
+    key = admission.prompt_key(F.lit("sys"), F.concat_ws(" ", step, (F.col("user_id") % 20).cast("string")), temperature, F.lit(8))
+    calls = e.select(F.col("event_id").alias("call_id"), "ts", key.alias("prompt_key"), temperature.alias("temperature"))
+    return _with_beat(spark, "stream_repeats", lambda beats: jobs.repeat_stream(
+        calls, "prompt_key", "ts", "call_id", "temperature", 7200, beats=beats))
 
 
 QUERIES["stream_repeat_suppression"] = stream_repeats
-SQL["stream_repeat_suppression"] = flow_rules.SQL["repeat_prompt_suppression"].split(" UNION ALL SELECT event_id, prompt_key, FALSE")[0]
+SQL["stream_repeat_suppression"] = flow_rules.SQL["repeat_prompt_suppression"]
 
 
 def stream_ingest(spark, sf):

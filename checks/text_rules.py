@@ -290,6 +290,7 @@ register(
 )
 
 # --------------------------------------------------------------- input rules
+PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 D2 = f"({sql_doubled('text')})"
 per_message("literal_set_predicate", "hit", lambda: has_literal(F.col("text"), fv.EMERGENCY_LITERALS), sql_literals("text", fv.EMERGENCY_LITERALS))
 SQL_RULES = {
@@ -298,7 +299,7 @@ SQL_RULES = {
     "infant": "(" + sql_literals(D2, fv.INFANT_LITERALS) + " OR " + sql_any(D2, fv.INFANT_AGE_PATTERNS)
     + " OR len(list_filter(list_concat("
     + ", ".join(
-        f"regexp_extract_all(translate({D2}, {q(fv.ARABIC_DIGITS)}, {q(fv.ASCII_DIGITS)}), {q('(?i)' + re2(p))}, 1)"
+        f"regexp_extract_all(translate({D2}, {q(fv.ARABIC_DIGITS + PERSIAN_DIGITS)}, {q(fv.ASCII_DIGITS * 2)}), {q('(?i)' + re2(p))}, 1)"
         for p in fv.AGE_IN_MONTHS_PATTERNS)
     + f"), lambda m: coalesce(m, '') = '' OR try_cast(m AS INTEGER) < {fv.INFANT_MONTHS})) > 0)",
     "pregnancy": sql_any(D2, fv.PREGNANCY_PATTERNS),
@@ -367,7 +368,7 @@ SQL_KEYWORD_EMERGENCY = "(" + " OR ".join(
     f"{sql_literals(t, fv.EMERGENCY_LITERALS)} OR {sql_any(t, fv.RED_FLAG_PATTERNS)}" for t in ("text", FOLDED)) + ")"
 SQL_READINGS = (
     f"list_transform(regexp_extract_all(text, {q('(?i)' + re2(fv.GLUCOSE_PATTERN)[:-2] + '(?:$|[^\\p{L}\\p{N}_])')}, 1), "
-    f"lambda m: CAST(translate(m, {q(fv.ARABIC_DIGITS)}, {q(fv.ASCII_DIGITS)}) AS INTEGER))"
+    f"lambda m: CAST(translate(m, {q(fv.ARABIC_DIGITS + PERSIAN_DIGITS)}, {q(fv.ASCII_DIGITS * 2)}) AS INTEGER))"
 )
 SQL_GLUCOSE = f"len(list_filter({SQL_READINGS}, lambda v: v >= {fv.GLUCOSE_HIGH} OR v <= {fv.GLUCOSE_LOW})) > 0"
 SQL_EMERGENCY = f"({SQL_KEYWORD_EMERGENCY} OR {SQL_GLUCOSE})"

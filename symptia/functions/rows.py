@@ -20,3 +20,10 @@ def explode_rows(df: DataFrame, keep: list, array: Column, out: str, pos: str |
     item = F.col("_array")
     generated = F.posexplode_outer(item).alias(pos, out) if pos else F.explode_outer(item).alias(out)
     return staged.select(*names, generated).filter(F.col(out).isNotNull())
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equality join in which null keys are equal too; the keys appear once."""
+    renamed = right.select(*[F.col(c).alias(f"_on_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_on_{k}" for k in keys])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from symptia.functions import fixed_values as fv
 
 SPACE_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in fv.WHITESPACE) + "]"
 ALNUM_RUN = f"[{fv.ARABIC_BLOCK}]+|[a-zA-Z0-9]+"
+ANY_DIGITS = "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Nd")
 # Pieces that concatenate back to the text: an optional blank with a word or
 # with a run of signs, else a run of blanks.
 PIECE = r"[ \t\r\n]?[\p{L}\p{N}]+|[ \t\r\n]?[^ \t\r\n\p{L}\p{N}]+|[ \t\r\n]+"
@@ -58,6 +61,11 @@ def ascii_digits(c: Column | str) -> Column:
     return F.translate(as_col(c), fv.ARABIC_DIGITS, fv.ASCII_DIGITS)
 
 
+def plain_digits(c: Column | str) -> Column:
+    """Decimal digits of any script as ASCII digits."""
+    return F.translate(as_col(c), ANY_DIGITS, "".join(str(unicodedata.digit(d)) for d in ANY_DIGITS))
+
+
 def _arabic_chars(c: Column) -> Column:
     return F.length(F.regexp_replace(c, f"[^{fv.ARABIC_BLOCK}]", ""))
 

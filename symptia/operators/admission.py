@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symptia.functions import fixed_values as fv
+from symptia.functions.rows import join_on
 
 MIN_SLICE_SECONDS = 3600
 
@@ -43,7 +44,18 @@ def step(window: deque, now: int, limit: int, micros: int) -> tuple[bool, int]:
 
 def admit(requests: DataFrame, key: str, ts: str, id_col: str, limit: int = fv.ADMIT_MAX,
           seconds: int = fv.ADMIT_SECONDS) -> DataFrame:
-    """Adds ``admitted`` and ``retry_after``; order is ``ts``, then ``id_col``."""
+    """Adds ``admitted`` and ``retry_after``; order is ``ts``, then ``id_col``.
+
+    Requests with a NULL key share one. A request without a time belongs to no
+    window: both columns are NULL, and it does not count for others.
+    """
+    timed = requests.filter(F.col(ts).isNotNull())
+    untimed = requests.filter(F.col(ts).isNull()).withColumns(
+        {"admitted": F.lit(None).cast("boolean"), "retry_after": F.lit(None).cast("bigint")})
+    return _admit(timed, key, ts, id_col, limit, seconds).unionByName(untimed)
+
+
+def _admit(requests: DataFrame, key: str, ts: str, id_col: str, limit: int, seconds: int) -> DataFrame:
     micros = seconds * 1_000_000
     slice_micros = max(MIN_SLICE_SECONDS * 1_000_000, 4 * micros)
     rows = requests.withColumn("_t", _micros(F.col(ts))).withColumn("_slice", F.floor(F.col("_t") / slice_micros))
@@ -66,7 +78,7 @@ def admit(requests: DataFrame, key: str, ts: str, id_col: str, limit: int = fv.A
                             F.struct((F.col("_slice") + 1).alias("s"), F.lit(True).alias("seed")))
     ).otherwise(F.array(F.struct(F.col("_slice").alias("s"), F.lit(False).alias("seed"))))))
     placed = placed.withColumn("_slice", F.col("_s.s")).withColumn("_seed", F.col("_s.seed")).drop("_s")
-    joined = placed.join(stretches, [key, "_slice"]).filter(
+    joined = join_on(placed, stretches, [key, "_slice"]).filter(
         ~F.col("_seed") | (F.col("_stretch") == F.col("_slice"))
     )
     ordered = joined.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", "_t", id_col)
@@ -80,6 +92,7 @@ def admit(requests: DataFrame, key: str, ts: str, id_col: str, limit: int = fv.A
         for pdf in batches:
             admitted, retry = [], []
             for k, s, t, seed in zip(pdf[key], pdf["_stretch"], pdf["_t"], pdf["_seed"]):
+                k = None if pd.isna(k) else k
                 if (k, s) != current:
                     current, window = (k, s), deque()
                 if seed:
@@ -101,11 +114,13 @@ def prompt_key(system: Column, prompt: Column, temperature: Column, max_tokens:
 def suppress_repeats(calls: DataFrame, key: str, ts: str, id_col: str, temperature: str,
                      seconds: int = fv.REPEAT_SECONDS, warmest: float = fv.REPEAT_MAX_TEMPERATURE) -> DataFrame:
     """Adds ``cached``: an equal call was made within ``seconds``, counted from
-    the call that filled the entry. Warm calls are never stored.
+    the call that filled the entry. Warm calls are never stored, nor are those
+    without a temperature or a time; they are answered and not cached.
 
     It is admission with a limit of one: an admitted call fills the entry.
     """
-    cold = admit(calls.filter(F.col(temperature) <= warmest), key, ts, id_col, 1, seconds)
-    warm = calls.filter(F.col(temperature) > warmest)
-    return cold.withColumn("cached", ~F.col("admitted")).drop("admitted", "retry_after").unionByName(
+    stored = F.coalesce(F.col(temperature) <= warmest, F.lit(False))
+    cold = admit(calls.filter(stored), key, ts, id_col, 1, seconds)
+    warm = calls.filter(~stored)
+    return cold.withColumn("cached", ~F.coalesce("admitted", F.lit(True))).drop("admitted", "retry_after").unionByName(
         warm.withColumn("cached", F.lit(False)))

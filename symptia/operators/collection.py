@@ -30,12 +30,12 @@ def upsert(existing: DataFrame, batch: DataFrame, order: str | None = None) -> D
 
     Only the ids of the batch meet the existing rows. A small batch is
     broadcast, so the vectors of the collection are neither shuffled nor
-    sorted. ``order`` decides between repeated ids inside a batch.
+    sorted. Of repeated ids inside a batch one row is added: the one with the
+    largest ``order``, or any one without it.
     """
-    if order:
-        rest = [c for c in batch.columns if c != "id"]
-        batch = batch.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("_row")).select("id", "_row.*")
-        batch = batch.select(*existing.columns)
+    rest = F.struct(*[c for c in batch.columns if c != "id"])
+    one = F.max_by(rest, order) if order else F.any_value(rest)
+    batch = batch.groupBy("id").agg(one.alias("_row")).select("id", "_row.*").select(*existing.columns)
     ids = broadcast_if_small(batch.select("id"))
     return existing.join(ids, "id", "left_anti").unionByName(batch)
 

@@ -22,7 +22,7 @@ def keyword_emergency(q: Column) -> Column:
 
 def glucose_readings(q: Column) -> Column:
     found = extract_all(q, fv.GLUCOSE_PATTERN, 1)
-    return F.transform(found, lambda m: text.ascii_digits(m).cast("int"))
+    return F.filter(F.transform(found, lambda m: text.plain_digits(m).try_cast("int")), lambda v: v.isNotNull())
 
 
 def extreme_glucose(q: Column) -> Column:

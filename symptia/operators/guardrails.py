@@ -21,7 +21,7 @@ def is_overdose(q: Column) -> Column:
 
 def months_mentioned(q: Column) -> Column:
     """Ages in months stated in the text; an age without a number is ''."""
-    digits = text.ascii_digits(q)
+    digits = text.plain_digits(q)
     first, second = fv.AGE_IN_MONTHS_PATTERNS
     return F.concat(extract_all(digits, first, 1), extract_all(digits, second, 1))
 

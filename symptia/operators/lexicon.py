@@ -23,8 +23,9 @@ from symptia.functions import text
 from symptia.functions.rows import explode_rows
 from symptia.session import broadcast_if_small
 
-# Dictionaries up to this many entries become a literal in the plan.
-LITERAL_ENTRIES = 2_000
+# Dictionaries become a literal in the plan up to this many keys, those of both
+# sides counted; larger ones are joined. The rows are the same either way.
+LITERAL_KEYS = 2_000
 MAX_WINDOW = 3
 FIELDS = [
     "dialect_term", "dialect_term_latin", "msa_equivalent", "english_medical_term",
@@ -70,8 +71,8 @@ def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 def _small_rows(index: DataFrame) -> list | None:
     """The index as driver rows if it is small, else None."""
-    rows = index.orderBy("place").limit(LITERAL_ENTRIES + 1).collect()
-    return rows if len(rows) <= LITERAL_ENTRIES else None
+    rows = index.orderBy("place").limit(LITERAL_KEYS + 1).collect()
+    return rows if len(rows) <= LITERAL_KEYS else None
 
 
 def _literal(rows: list) -> Column:
@@ -88,37 +89,37 @@ def window_tokens(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _arabic_windows(tokens: Column, whole: Column) -> Column:
-    """Structs (pass_no, n, pos, w) of the windows that may hold Arabic terms.
-    A text without an Arabic character has none (NULL), which spares it the
-    work."""
+    """Structs (pass_no, n, pos, w) of the windows that read as Arabic or as
+    Latin-letter Arabic. A text with neither Arabic characters nor the digits
+    that stand for Arabic letters has none (NULL), which spares it the work."""
 
     def of(n: int) -> Column:
-        built = F.transform(
+        return F.transform(
             text.ngrams(tokens, n),
             lambda w, i: F.struct(
                 F.lit(1).alias("pass_no"), F.lit(n).alias("n"), i.alias("pos"), w.alias("w")
             ),
         )
-        return F.filter(built, lambda s: s["w"].rlike(f"[{fv.ARABIC_BLOCK}]"))
 
     last = F.array(
         F.struct(F.lit(2).alias("pass_no"), F.lit(0).alias("n"), F.lit(0).alias("pos"), whole.alias("w"))
     )
     every = F.concat(*[of(n) for n in range(1, MAX_WINDOW + 1)], last)
     readable = F.filter(every, lambda s: text.detect_language(s["w"]).isin("arabic", "franco_arab"))
-    return F.when(whole.rlike(f"[{fv.ARABIC_BLOCK}]"), readable)
+    return F.when(_may_be_arabic(whole), readable)
+
+
+def _may_be_arabic(whole: Column) -> Column:
+    return whole.rlike(f"[{fv.ARABIC_BLOCK}]") | (whole.rlike(fv.FRANCO_DIGITS) & whole.rlike("[a-zA-Z]"))
 
 
 def arabic_hits(df: DataFrame, lexicon: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Arabic-side hits: exploded candidates joined to the index on equality.
-
-    Terms without an Arabic character cannot be equal to a candidate taken
-    from windows that hold one unless the text does too, so only texts with
-    Arabic characters explode. The index is broadcast when small.
+    A term may be written in any letters. The index is broadcast when small.
     """
-    index = key_index(lexicon, "arabic").filter(F.col("key").rlike(f"[{fv.ARABIC_BLOCK}]"))
+    index = key_index(lexicon, "arabic")
     windows = (
-        df.filter(F.col(text_col).rlike(f"[{fv.ARABIC_BLOCK}]"))
+        df.filter(_may_be_arabic(F.col(text_col)))
         .select(*id_cols, F.col(text_col).alias("_text"), text.symptom_tokens(text_col).alias("_tokens"))
     )
     windows = explode_rows(windows, id_cols, _arabic_windows(F.col("_tokens"), F.col("_text")), "s").select(
@@ -155,7 +156,7 @@ def _blanks(key: Column) -> Column:
 
 def latin_hits(
     df: DataFrame, lexicon: DataFrame, id_cols: list[str], text_col: str = "text",
-    literal_entries: int = LITERAL_ENTRIES,
+    literal_entries: int = LITERAL_KEYS,
 ) -> DataFrame:
     """Latin-side hits.
 
@@ -200,7 +201,7 @@ def latin_hits(
 
 def extract_symptoms(
     df: DataFrame, lexicon: DataFrame, id_cols: list[str], text_col: str = "text",
-    literal_entries: int = LITERAL_ENTRIES,
+    literal_entries: int = LITERAL_KEYS,
 ) -> DataFrame:
     """One row per text and Latin name: its first hit.
 
@@ -258,9 +259,8 @@ def symptom_array(lexicon: DataFrame, text_col: Column) -> Column | None:
                 s.isNotNull(),
                 found(e, 0, s["pass_no"], s["n"], s["pos"], F.array_position(s["c"], e["key"]) - 1, "arabic")))
 
-        rows = [r for r in arabic if any("؀" <= ch <= "ۿ" for ch in r["key"])]
         return text.bind(windows, lambda ws: F.filter(
-            F.transform(_literal(rows), lambda e: hit(e, ws)), lambda m: m.isNotNull()))
+            F.transform(_literal(arabic), lambda e: hit(e, ws)), lambda m: m.isNotNull()))
 
     tokens = text.symptom_tokens(text_col)
     every = text.bind(tokens, lambda t: F.array_sort(F.concat(

@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symptia.functions.rows import join_on
+
 BLOCK = 1024
 VALUE_BUCKETS = 256
 
@@ -24,7 +26,7 @@ def running_totals(df: DataFrame, keys: list[str], bucket: str, order: list, val
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*parts, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in values])
     inside = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.join(carried, parts)
+    joined = join_on(df, carried, parts)
     for n, v in values.items():
         joined = joined.withColumn(n, F.col(f"_{n}") + F.sum(v).over(inside))
     return joined.drop(*[f"_{n}" for n in values])
@@ -35,11 +37,12 @@ def preceding(df: DataFrame, keys: list[str], index: str, n: int, value: str, ou
     first. ``index`` counts the rows of a key from 1 without gaps; blocks of
     it form the windows, and the last ``n`` rows of a block are repeated as
     context of the next."""
-    block = F.floor((F.col(index) - 1) / BLOCK)
+    size = max(BLOCK, n)  # a block reaches into no block but the next
+    block = F.floor((F.col(index) - 1) / size)
     own = F.struct(block.alias("b"), F.lit(False).alias("context"))
     repeated = F.struct((block + 1).alias("b"), F.lit(True).alias("context"))
     placed = df.withColumn("_p", F.explode(
-        F.when((F.col(index) - 1) % BLOCK >= BLOCK - n, F.array(own, repeated)).otherwise(F.array(own))
+        F.when((F.col(index) - 1) % size >= size - n, F.array(own, repeated)).otherwise(F.array(own))
     )).withColumn("_b", F.col("_p.b"))
     w = Window.partitionBy(*keys, "_b").orderBy(index).rowsBetween(-n, 0)
     return placed.withColumn(out, F.collect_list(value).over(w)).filter(~F.col("_p.context")).drop("_p", "_b")
@@ -58,7 +61,7 @@ def streaks(df: DataFrame, keys: list[str], bucket: str, order: list, failed: Co
     carried = summed.select(
         *parts, (F.col("_n_before") - F.coalesce(F.max(F.col("_n_before") + F.col("_ok")).over(before), F.lit(0))).alias("_open")
     )
-    return local.join(carried, parts).withColumn(
+    return join_on(local, carried, parts).withColumn(
         out, F.when(F.col("_at_ok").isNotNull(), F.col("_fails") - F.col("_at_ok")).otherwise(F.col("_open") + F.col("_fails"))
     ).drop("_fails", "_at_ok", "_open")
 
@@ -83,4 +86,4 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, rank: Column, ou
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n")).select(*keys, rank.alias("_rank"))
     ranked = running_totals(counts, keys, "_bucket", [value], {"_upto": F.col("_c")})
     hit = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_c") < F.col("_rank"))
-    return ranked.join(sizes, keys).filter(hit).select(*keys, F.col(value).alias(out))
+    return join_on(ranked, sizes, keys).filter(hit).select(*keys, F.col(value).alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symptia.functions import fixed_values as fv
 from symptia.functions import messages as copy
 from symptia.functions import parsing, text
-from symptia.functions.rows import explode_rows
+from symptia.functions.rows import explode_rows, join_on
 from symptia.operators import conversation, emergency, guardrails, lexicon, replies
 
 NONE = "array<string>"
@@ -25,7 +25,7 @@ def with_symptoms(df: DataFrame, entries: DataFrame, id_cols: list[str], text_co
     if inside is not None:
         return df.withColumn("symptoms", F.when(needed, inside))
     found = lexicon.gather(lexicon.extract_symptoms(df.filter(needed), entries, id_cols, text_col), id_cols)
-    joined = df.join(found, id_cols, "left")
+    joined = join_on(df, found, id_cols, "left")
     empty = F.from_json(F.lit("[]"), joined.schema["symptoms"].dataType.simpleString())
     return joined.withColumn("symptoms", F.when(needed, F.coalesce("symptoms", empty)))
 

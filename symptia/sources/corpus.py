@@ -27,10 +27,12 @@ SCENARIO_SCHEMA = (
 
 def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """One page per text or Markdown file of a folder, not its subfolders;
-    bytes that are not UTF-8 become replacement characters."""
+    bytes that are not UTF-8 become replacement characters. A folder without
+    such files has no pages."""
     return (
         spark.read.option("wholetext", True)
-        .text([f"{folder}/*.{s}" for s in SUFFIXES])
+        .option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}")
+        .text(folder)
         .select(
             F.col("_metadata.file_name").alias("source_name"),
             F.lit(0).alias("page_number"),

@@ -19,7 +19,9 @@ from symptia.operators.admission import step
 
 class InOrder(StatefulProcessor):
     """Hands the events of a key to :meth:`event` in ``seq`` order, starting
-    at ``first``. Events ahead of a gap wait in state until it closes."""
+    at ``first``. Events ahead of a gap wait in state until it closes.
+
+    The state of a key goes when its last event was handled."""
 
     first = 0
     payload: list[str] = []
@@ -43,7 +45,10 @@ class InOrder(StatefulProcessor):
             state, emitted = self.event(state, pending.pop(seq))
             out += emitted
             seq += 1
-        self.state.update((seq, *state))
+        if self.done(state) and not pending:
+            self.state.clear()
+        else:
+            self.state.update((seq, *state))
         if pending:
             self.waiting.put([pending[s] for s in sorted(pending)])
         elif self.waiting.exists():
@@ -58,6 +63,9 @@ class InOrder(StatefulProcessor):
     def event(self, state: tuple, event: tuple) -> tuple[tuple, list[tuple]]:
         raise NotImplementedError
 
+    def done(self, state: tuple) -> bool:
+        raise NotImplementedError
+
     def after(self, state: tuple, seq: int, handled: int) -> list[tuple]:
         return []
 
@@ -71,16 +79,19 @@ class SentenceBuffer(InOrder):
 
     payload = ["content", "last"]
     waiting_schema = "seq bigint, content string, last boolean"
-    state_schema = "held string, segment bigint"
+    state_schema = "held string, segment bigint, ended boolean"
 
     def __init__(self, columns: list[str]) -> None:
         self.columns = columns
 
     def start(self) -> tuple:
-        return "", 0
+        return "", 0, False
+
+    def done(self, state: tuple) -> bool:
+        return state[2]
 
     def event(self, state: tuple, event: tuple) -> tuple[tuple, list[tuple]]:
-        held, segment = state
+        held, segment, _ = state
         _, content, last = event
         held += content or ""
         out = []
@@ -91,7 +102,7 @@ class SentenceBuffer(InOrder):
         if last and held:
             out.append((segment, held))
             held, segment = "", segment + 1
-        return (held, segment), out
+        return (held, segment, bool(last)), out
 
 
 class MessageState(InOrder):
@@ -108,6 +119,9 @@ class MessageState(InOrder):
     def start(self) -> tuple:
         return "", None, False, False, False, 0
 
+    def done(self, state: tuple) -> bool:
+        return state[4]
+
     def event(self, state: tuple, event: tuple) -> tuple[tuple, list[tuple]]:
         content, level, blocked, error, finished, n = state
         _, kind, chunk, new_level, message, force_red = event
@@ -127,22 +141,62 @@ class MessageState(InOrder):
 
 
 class Admission(StatefulProcessor):
-    """Sliding-window admission; the state is the admitted times still in the
-    window, at most ``limit`` of them."""
+    """Sliding-window admission in event time.
+
+    A request waits until the watermark has passed its time, so requests are
+    decided in the order of their times however they arrive. State: the
+    waiting requests, and the admitted times still in the window, at most
+    ``limit`` of them; a timer lets both go. Requests that take no part
+    (``counts`` false, or no time) are answered at once and leave no trace.
+    """
 
-    def __init__(self, limit: int, seconds: int, columns: list[str]) -> None:
-        self.limit, self.micros, self.columns = limit, seconds * 1_000_000, columns
+    def __init__(self, limit: int, seconds: int, columns: list[str], id_type: str) -> None:
+        self.limit, self.micros, self.columns, self.id_type = limit, seconds * 1_000_000, columns, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.window = handle.getListState("admitted", "t bigint")
+        self.waiting = handle.getListState("waiting", f"t bigint, request {self.id_type}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = sorted((t, i) for pdf in rows for t, i in zip(pdf["at_micros"], pdf["request"]))
+        out, arrived = [], []
+        for pdf in rows:
+            for t, i, counts in zip(pdf["at_micros"], pdf["request"], pdf["counts"]):
+                if pd.isna(t):
+                    out.append((*key, i, None, None))
+                elif counts:
+                    arrived.append((int(t), i))
+                else:
+                    out.append((*key, i, True, 0))
+        yield self._frame(out + self._decide(key, arrived, timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._frame(self._decide(key, [], timerValues))
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=self.columns)
+        return frame.astype({"admitted": "boolean", "retry_after": "Int64"})
+
+    def _decide(self, key, arrived: list[tuple], timerValues) -> list[tuple]:
+        past = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted([*(tuple(r) for r in (self.waiting.get() if self.waiting.exists() else ())), *arrived])
+        ready = [w for w in waiting if w[0] < past]
         window = deque(r[0] for r in self.window.get()) if self.window.exists() else deque()
-        out = [(*key, i, *step(window, t, self.limit, self.micros)) for t, i in arrived]
-        if window:
-            self.window.put([(int(t),) for t in window])
-        yield pd.DataFrame(out, columns=self.columns)
+        out = [(*key, i, *step(window, t, self.limit, self.micros)) for t, i in ready]
+        left = waiting[len(ready) :]
+        if window and not left and past > window[-1] + self.micros:
+            window.clear()
+        for state, rows in ((self.window, [(int(t),) for t in window]), (self.waiting, left)):
+            if rows:
+                state.put(rows)
+            elif state.exists():
+                state.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if left or window:
+            due = left[0][0] if left else window[-1] + self.micros
+            self.handle.registerTimer(due // 1000 + 1)
+        return out
 
     def close(self) -> None:
         pass

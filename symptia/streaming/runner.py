@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +16,18 @@ FILES_PER_TRIGGER = 256
 
 
 def read_table(spark: SparkSession, folder: str, table: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """A Parquet table as a stream of its files."""
+    """A Parquet table as a stream of its files, be it a folder of part files
+    or a single file; a table that is not there is an error."""
     path = f"{folder}/{table}.parquet"
-    schema = spark.read.parquet(path).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .parquet(folder)
-    )
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    if _is_folder(spark, path):
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
 def read_corpus(spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
@@ -45,18 +50,52 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def append(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def append(df: DataFrame, name: str, folder: str | None = None, ending: Callable[[], None] | None = None) -> DataFrame:
     """Process all available input, append to Parquet, return the table. The
-    file sink commits each micro-batch once."""
+    file sink commits each micro-batch once. ``ending`` is called when the
+    input is used up, and what it adds is processed too: a last beat lets go
+    of rows that wait for the watermark."""
     spark = df.sparkSession
     folder = folder or shared_dir(spark, name)
+    for step in (None, ending) if ending else (None,):
+        if step:
+            step()
+        query = (
+            df.writeStream.format("parquet").outputMode("append")
+            .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True).queryName(name).start()
+        )
+        query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+def append_each(stream: DataFrame, job: Callable[[DataFrame], DataFrame], name: str, folder: str | None = None) -> DataFrame:
+    """Run a batch job over every micro-batch, append its rows to Parquet and
+    return the table. A replayed micro-batch overwrites its own folder."""
+    spark = stream.sparkSession
+    folder = folder or shared_dir(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        job(batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    schema = job(spark.createDataFrame([], stream.schema)).schema
     query = (
-        df.writeStream.format("parquet").outputMode("append")
-        .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True).queryName(name).start()
     )
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")
+    return spark.read.schema(schema).parquet(f"{folder}/rows/batch=*")
+
+
+def beats(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of bare times (``at``) from a folder; :func:`beat` adds one."""
+    spark.createDataFrame([], "at timestamp").write.mode("append").parquet(folder)
+    return spark.readStream.schema("at timestamp").parquet(folder)
+
+
+def beat(spark: SparkSession, folder: str, at: str = "9999-01-01") -> None:
+    spark.sql(f"SELECT TIMESTAMP '{at}' AS at").write.mode("append").parquet(folder)
 
 
 def latest(df: DataFrame, name: str, keys: list[str], version: str, folder: str | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
+import random
+
+import pytest
 from checks.inputs import USER_PHRASES, lexicon
 from pyspark.sql import functions as F
 from symptia.functions import messages, text
-from symptia.operators import events, lexicon as lex
+from symptia.operators import admission, events, lexicon as lex
 from symptia.plans import triage
 from symptia.streaming import jobs, runner
 
@@ -70,10 +73,56 @@ def test_admission_stream_over_several_batches(spark, tmp_path):
     rows = [(i, "k", 1_700_000_000 + 20 * i) for i in range(12)]
     schema = "id int, k string, s bigint"
     stream = stream_files(spark, tmp_path / "in", [rows[:5], rows[5:9], rows[9:]], schema).withColumn("ts", F.timestamp_seconds("s"))
-    got = runner.append(jobs.admission_stream(stream, "k", "ts", "id", 2, 60), "a", str(tmp_path / "out")).collect()
+    beats = str(tmp_path / "beats")
+    decided = jobs.admission_stream(stream, "k", "ts", "id", 2, 60, beats=runner.beats(spark, beats))
+    got = runner.append(decided, "a", str(tmp_path / "out"), lambda: runner.beat(spark, beats)).collect()
     assert {r.id for r in got if r.admitted} == {0, 1, 4, 5, 8, 9} and len(got) == 12
 
 
+def test_admission_stream_in_event_time_equals_its_batch_twin(spark, tmp_path):
+    """Five micro-batches, shuffled within the lateness; one late row and one
+    without a time; warm calls leave no trace."""
+    rng = random.Random(4)
+    start, schema = 1_700_000_000, "id int, k string, s bigint, temperature double"
+    rows = [(i, rng.choice(["a", "b", None]), start + 40 * i, rng.choice([0.1, 0.1, 0.9, None])) for i in range(150)]
+    parts = [sorted(rows[i : i + 30], key=lambda _: rng.random()) for i in range(0, 150, 30)]
+    late, untimed = (900, "a", start - 90_000, 0.1), (901, "a", None, 0.1)
+    parts[4] += [late, untimed]
+    stream = stream_files(spark, tmp_path / "in", parts, schema).withColumn("ts", F.timestamp_seconds("s"))
+    beats = str(tmp_path / "beats")
+    decided = jobs.repeat_stream(stream, "k", "ts", "id", "temperature", 300, beats=runner.beats(spark, beats))
+    got = runner.append(decided, "r", str(tmp_path / "out"), lambda: runner.beat(spark, beats)).collect()
+    batch = spark.createDataFrame([*rows, untimed], schema).withColumn("ts", F.timestamp_seconds("s"))
+    want = admission.suppress_repeats(batch, "k", "ts", "id", "temperature", 300).collect()
+    assert sorted((r.id, r.k or "", r.cached) for r in got) == sorted((r.id, r.k or "", r.cached) for r in want)
+    assert 0 < sum(r.cached for r in got) < len(got) == 151
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    spark.range(6).repartition(3).write.parquet(str(tmp_path / "parts.parquet"))
+    pa_file = tmp_path / "one.parquet"
+    spark.range(4).toPandas().to_parquet(pa_file)
+    for table, n in (("parts", 6), ("one", 4)):
+        assert runner.append(runner.read_table(spark, str(tmp_path), table), table, str(tmp_path / f"out-{table}")).count() == n
+    with pytest.raises(Exception):
+        runner.read_table(spark, str(tmp_path), "missing")
+
+
+@pytest.mark.parametrize("entries", [10, 1000, 1001, 2001, 100_000])
+def test_triage_of_any_dictionary_is_the_same_in_batch_and_stream(spark, texts, tmp_path, entries):
+    own = lexicon(spark)
+    more = spark.range(1000, 1000 + max(0, entries - own.count())).select(
+        F.col("id").cast("int").alias("entry_no"), F.concat(F.lit("كلمة"), "id").alias("dialect_term"), F.concat(F.lit("qq"), "id").alias("dialect_term_latin"),
+        *[F.lit("x").alias(c) for c in lex.FIELDS[2:]])
+    every = own.unionByName(more)
+    values = USER_PHRASES[::4]
+    texts(*values).write.parquet(str(tmp_path / "messages.parquet"))
+    stream = runner.read_table(spark, str(tmp_path), "messages")
+    got = jobs.triage_stream(stream, every, ["id"], F.lit("english"), "t", str(tmp_path / "out"))
+    want = triage.triage_rules(texts(*values), own, ["id"], F.lit("english"))
+    assert got.orderBy("id").collect() == want.orderBy("id").collect()
+
+
 def triaged(spark, texts, script, values):
     return triage.triage_rules(texts(*values), lexicon(spark), ["id"], F.lit(script))
 
@@ -87,7 +136,7 @@ def test_triage_steps(spark, texts):
 
 def test_large_dictionary_takes_the_join(spark, texts, monkeypatch):
     inside = triaged(spark, texts, "arabic", USER_PHRASES).orderBy("id").collect()
-    monkeypatch.setattr(lex, "LITERAL_ENTRIES", 3)
+    monkeypatch.setattr(lex, "LITERAL_KEYS", 3)
     assert lex.symptom_array(lexicon(spark), F.col("text")) is None
     assert triaged(spark, texts, "arabic", USER_PHRASES).orderBy("id").collect() == inside
 

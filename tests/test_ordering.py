@@ -110,3 +110,23 @@ def test_ordered_concat(spark):
     df = spark.range(5000).select(F.lit(1).alias("k"), "id", F.concat(F.col("id").cast("string"), F.lit(",")).alias("v"))
     got = events.concat_ordered(df.repartition(7), ["k"], "id", "v", "out", bucket=64).collect()[0].out
     assert got == "".join(f"{i}," for i in range(5000))
+
+
+def test_rows_without_a_key_or_time_stay(spark):
+    rows = [(1, None, 0, 0.1), (2, None, 10, None), (3, "k", None, 0.1), (4, "k", 5, 0.9), (5, None, 20, 0.1), (6, "k", 6, 0.1)]
+    calls = spark.createDataFrame(rows, "id int, k string, s bigint, temperature double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.id: r.cached for r in admission.suppress_repeats(calls, "k", "ts", "id", "temperature", 60).collect()}
+    assert got == {1: False, 2: False, 3: False, 4: False, 5: True, 6: False}
+    decided = {r.id: r.admitted for r in admission.admit(calls, "k", "ts", "id", 1, 60).collect()}
+    assert decided == {1: True, 2: False, 3: None, 4: True, 5: False, 6: False}
+    totals = ordering.running_totals(calls.fillna(0, ["s"]).withColumn("b", F.lit(None).cast("int")), ["k"], "b", ["id"], {"n": F.lit(1)})
+    assert {r.id: r.n for r in totals.collect()} == {1: 1, 2: 2, 5: 3, 3: 1, 4: 2, 6: 3}
+    median = ordering.order_statistic(calls, ["k"], "s", F.ceil(F.col("n") / 2))
+    assert {r.k: r.value for r in median.collect()} == {None: 10, "k": 5}
+
+
+def test_context_longer_than_a_block(spark):
+    n = ordering.BLOCK + 200
+    df = spark.range(1, 2 * n).select(F.lit("k").alias("k"), F.col("id").alias("i"))
+    got = {r.i: len(r.c) for r in ordering.preceding(df, ["k"], "i", n, "i", "c").collect()}
+    assert got == {i: min(i, n + 1) for i in range(1, 2 * n)}

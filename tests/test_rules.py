@@ -104,3 +104,10 @@ def test_reply_from_classification(spark):
     copy = {(s, k): t for s, k, t in messages.FALLBACKS}
     assert got == [copy["english", "CONDITIONS"] + "a, b.\n" + copy["english", "ACTIONS"] + "c.", copy["arabic", "CONDITIONS"] + "a، b.",
                    copy["english", "RED"], copy["franco", "GREEN"]]
+
+
+def test_digits_of_any_script(column):
+    readings = column(emergency.glucose_readings(F.col("text")), "السكر ۴۵", "sugar ٤٦٢", "glucose १२०", "sugar 99999")
+    assert readings == [[45], [462], [120], []]
+    assert column(emergency.extreme_glucose(F.col("text")), "السكر ۴۵", "السكري ۱۲۰") == [True, False]
+    assert column(guardrails.is_infant(F.col("text")), "عمرها ۴ أشهر", "عمرها ٤ أشهر", "عمرو ۳۰ شهر") == [True, True, False]
