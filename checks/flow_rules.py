@@ -35,14 +35,14 @@ SQL["history_frames"] = f"WITH {FRAMES.format('conversations')} SELECT conv_id,
 def _dated(spark, sf):
     """Turns with the time of the event of the same number."""
     starts = read(spark, sf, "events").select(F.col("event_id").alias("conv_id"), "ts")
-    return read(spark, sf, "conversations").join(starts, "conv_id")
+    return read(spark, sf, "conversations").join(starts, "conv_id", "left")
 
 
 QUERIES["conversation_list"] = lambda spark, sf: conversation.conversation_list(_dated(spark, sf), "ts").select(
     "conv_id", "title", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "created").alias("created"), "n_messages")
 SQL["conversation_list"] = (
     "SELECT conv_id, substr(arg_min(text, turn), 1, 50) AS title, epoch_us(min(ts)) AS created, count(*) AS n_messages "
-    "FROM conversations JOIN events ON event_id = conv_id GROUP BY conv_id"
+    "FROM conversations LEFT JOIN events ON event_id = conv_id GROUP BY conv_id"
 )
 
 
@@ -68,9 +68,9 @@ SQL["vague_input"] = f"SELECT conv_id, turn, length(text) % 2 = 0 AND len({sql_w
 
 
 def requests(spark, sf):
-    """Documents as requests; the history is their first words."""
+    """Documents as requests; the history is their words, of some only four."""
     docs = read(spark, sf, "documents")
-    history = F.transform(F.slice(text.words("text"), 1, 24), lambda w, i: F.struct(
+    history = F.transform(text.words("text"), lambda w, i: F.struct(
         F.when(i % 9 == 8, "system").when(i % 2 == 0, "user").otherwise("assistant").alias("role"), w.alias("content")))
     history = F.when(F.col("n_chars") % 3 == 0, F.slice(history, 1, 4)).otherwise(history)
     problem = conversation.request_problem(
@@ -82,7 +82,7 @@ def requests(spark, sf):
 
 QUERIES["request_validity"] = requests
 SQL["request_validity"] = (
-    f"WITH w AS (SELECT *, least(len({sql_words('text')}), CASE WHEN n_chars % 3 = 0 THEN 4 ELSE 24 END) AS h FROM documents) SELECT doc_id, "
+    f"WITH w AS (SELECT *, CASE WHEN n_chars % 3 = 0 THEN least(len({sql_words('text')}), 4) ELSE len({sql_words('text')}) END AS h FROM documents) SELECT doc_id, "
     "CASE WHEN n_chars % 13 = 0 OR length(text) = 0 THEN 'message is empty' WHEN length(text) > 2000 THEN 'message is too long' WHEN h > 20 THEN 'history is too long' "
     "WHEN h > 8 THEN 'history role is unknown' WHEN lang = 'es' THEN 'language preference is unknown' WHEN lang = 'de' THEN 'response script is unknown' ELSE 'ok' END AS reason FROM w"
 )

@@ -1,9 +1,10 @@
 """Exact nearest neighbours, keyword scoring, fusion, merging and reranking.
 
 Nearest neighbours never pair rows in a join. A task turns the vectors of its
-partition into matrices, multiplies them with a block of queries and keeps a
-running top list, so it emits ``partitions x queries x k`` rows, not one row
-per pair. Few queries are broadcast; many are spread over a grid of blocks.
+partitions into matrices, multiplies them with a block of queries and keeps a
+running top list, so it emits ``tasks x queries x k`` rows, not one row per
+pair. The number of tasks is bounded, however many partitions there are. Few
+queries are broadcast; many are spread over a grid of blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from symptia.functions.rows import explode_rows
 
 # Queries sent to every task: 20,000 vectors of 768 doubles are about 120 MB.
 BROADCAST_QUERIES = 20_000
+# Tasks of a search per core: partitions are read one after another into the same
+# top list, so that their number does not multiply what is shuffled.
+SEARCH_TASKS = 4
 # Similarities are compared after rounding, so equal vectors tie exactly
 # whatever order a matrix product added them in; ties go to the smaller id.
 DIGITS = 9
@@ -135,7 +139,8 @@ def _broadcast_top(collection: DataFrame, queries: pa.Table, k: int, schema: str
             yield pa.RecordBatch.from_arrays([pa.array(q, query_type), pa.array(i, id_type), pa.array(s, pa.float64())],
                                              names=["query_id", "id", "vector_score"])
 
-    return collection.select("id", "embedding").mapInArrow(task, schema)
+    tasks = SEARCH_TASKS * spark.sparkContext.defaultParallelism
+    return collection.select("id", "embedding").coalesce(tasks).mapInArrow(task, schema)
 
 
 def _grid_top(collection: DataFrame, queries: DataFrame, k: int, schema: str, n_rows: int, n_queries: int) -> DataFrame:
@@ -170,8 +175,10 @@ def nearest(
 
     ``queries`` (query_id, embedding) and ``collection`` (id, embedding).
     Similarity is ``max(0, 1 - cosine distance / 2)``; the search is exact.
+    Rows and queries without a vector take no part.
     """
-    collection = metadata_filter(collection, filters)
+    collection = metadata_filter(collection, filters).filter(F.col("embedding").isNotNull())
+    queries = queries.filter(F.col("embedding").isNotNull())
     schema = _candidates_schema(queries, collection)
     queries = queries.select("query_id", "embedding")
     # the size check reads at most one query more than may be broadcast

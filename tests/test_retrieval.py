@@ -113,3 +113,19 @@ def test_retrieve_end_to_end(spark):
     out = search.retrieve(queries, coll, lambda df: hooks.embed(df, "query_text"), k=2, candidates=3).orderBy("query_id", "rank").collect()
     assert {r.id for r in out if r.query_id == 1} == {0, 2} and {r.id for r in out if r.query_id == 2} == {1, 4}
     assert all(r.rerank_score == -1.0 for r in out)
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    rows = [(i, [1.0, float(i)] if i % 3 else None) for i in range(12)]
+    collection = spark.createDataFrame(rows, "id int, embedding array<double>").repartition(40)
+    queries = collection.limit(12).withColumnRenamed("id", "query_id")
+    for most in (100, 1):
+        got = retrieval.nearest(queries, collection, 3, broadcast_queries=most).collect()
+        assert len(got) == 8 * 3 and all(r.id % 3 and r.query_id % 3 for r in got)
+
+
+def test_partitions_do_not_multiply_the_candidates(spark):
+    collection = spark.range(3000).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding")).repartition(400)
+    queries = collection.limit(5).withColumnRenamed("id", "query_id")
+    partial = retrieval._broadcast_top(collection, queries.select("query_id", "embedding").toArrow(), 2, "query_id long, id long, vector_score double")
+    assert partial.count() <= retrieval.SEARCH_TASKS * spark.sparkContext.defaultParallelism * 5 * 2
