@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from symptia.session import materialise, shared_dir
 
-__all__ = ["Vocabulary", "byte_values", "documents", "materialise", "pieces_of", "read", "shared_dir", "text_values"]
+__all__ = ["Vocabulary", "byte_values", "documents", "materialise", "pieces_of", "read", "shared_dir", "small_batches", "text_values"]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts are long: fewer of them at a time keep the Python
+    side of a task small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -108,12 +108,13 @@ class Parser:
 
     def rates(self, texts: list[str]) -> np.ndarray:
         """Phrases a symbol, one row per text and one column per language."""
-        cut = [self.of[symbols(t)] for t in texts]
         phrases = np.zeros((len(texts), len(self.languages)))
-        sizes = np.array([len(c) for c in cut])
+        sizes = np.zeros(len(texts), np.int64)
         owner, rows = [], []
         held = 0
-        for i, own in enumerate(cut):
+        for i, text in enumerate(texts):
+            own = self.of[symbols(text)]
+            sizes[i] = len(own)
             for at in range(0, len(own), BLOCK):
                 owner.append(i)
                 rows.append(own[at : at + BLOCK])

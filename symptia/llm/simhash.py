@@ -169,25 +169,39 @@ def linked(key: int, fps: np.ndarray, length: int) -> list[tuple[int, int]]:
     return links
 
 
-def _grouped(length: int):
-    """Links within the groups of a partition sorted by key."""
+FOUND = pa.schema([*EDGES, ("crowded", pa.bool_())])
 
-    def close(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+
+def _grouped(length: int, most: int | None):
+    """Links within the groups of a partition sorted by key. Of a group with
+    more than ``most`` members only the key is told, as crowded; its members
+    stream by without being held."""
+
+    def close(keys: np.ndarray, fps: np.ndarray, over: int | None) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
         ends = np.append(starts[1:], len(keys))
-        return [link for a, b in zip(starts.tolist(), ends.tolist()) if b - a > 1
-                for link in linked(int(keys[a]), fps[a:b], length)]
+        edges, crowded = [], []
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            if most and (b - a > most or keys[a] == over):
+                crowded.append((int(keys[a : a + 1].view(np.int64)[0]), 0))
+            elif b - a > 1:
+                edges += linked(int(keys[a]), fps[a:b], length)
+        batch = edge_batch(edges + crowded)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([False] * len(edges) + [True] * len(crowded))], schema=FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = fps = np.zeros(0, np.uint64)
+        over = None
         for batch in batches:
             keys = np.concatenate([keys, batch.column(0).to_numpy().view(np.uint64)])
             fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
             if len(keys):
-                whole = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
-                yield edge_batch(close(keys[:whole], fps[:whole]))
+                whole = int(np.searchsorted(keys.view(np.int64), keys[-1:].view(np.int64)[0]))  # the last group may go on
+                yield close(keys[:whole], fps[:whole], over)
                 keys, fps = keys[whole:], fps[whole:]
-        yield edge_batch(close(keys, fps))
+                if most and len(keys) > most:
+                    over, keys, fps = keys[0], keys[:1], fps[:1]
+        yield close(keys, fps, over)
 
     return run
 
@@ -204,23 +218,19 @@ def _rows(derive):
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between fingerprints (one column ``fp``, each once) at most
     ``DISTANCE`` bits apart; as many as connect what is connected."""
-    rows = materialise(distinct.select("fp").mapInArrow(_rows(first_keys), "key long, fp long"), "chains")
-    found = None
+    rows, edges = distinct.select("fp").mapInArrow(_rows(first_keys), "key long, fp long"), None
     for length in (2, 3, 4):
-        crowded = None
-        if length < 4:
-            crowded = materialise(rows.groupBy("key").count().filter(F.col("count") > GROUP).select("key"), "crowded")
-            if crowded.isEmpty():
-                crowded = None
-        calm = rows.join(crowded, "key", "left_anti") if crowded is not None else rows
-        edges = calm.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(length), "a long, b long")
-        found = edges if found is None else found.unionByName(edges)
-        if crowded is None:
+        met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(
+            _grouped(length, GROUP if length < 4 else None), "a long, b long, crowded boolean")
+        found = materialise(met, "links")
+        near = found.filter(~F.col("crowded")).select("a", "b")
+        edges = near if edges is None else edges.unionByName(near)
+        crowded = found.filter("crowded").select(F.col("a").alias("key")).distinct()
+        if crowded.isEmpty():
             break
-        hot = rows.join(crowded, "key", "left_semi").select("key", "fp")
-        rows = materialise(
-            hot.mapInArrow(_rows(lambda keys, fps, n=length: longer_keys(keys, fps, n)), "key long, fp long"), "chains")
-    return found
+        rows = rows.join(crowded, "key", "left_semi").select("key", "fp").mapInArrow(
+            _rows(lambda keys, fps, n=length: longer_keys(keys, fps, n)), "key long, fp long")
+    return edges
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
