@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 BITS_PER_ROW = 16
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 30
 SEGMENT_BITS = 1 << 16
-# Partial merges per segment, so that no task merges one bitmap per partition.
-MERGE_SALT = 64
+# Partitions whose marks of a segment are merged together first, so that no task
+# merges one bitmap per partition.
+MERGED = 256
 
 
 def filter_bits(rows: int) -> int:
@@ -85,7 +86,7 @@ def repeated_bits(table: DataFrame, bits: int, entries: Callable[[pa.RecordBatch
     schema = "segment int, seen binary, more binary"
     marks = table.mapInArrow(_marks(entries), schema)
     merged = (
-        marks.withColumn("salt", F.spark_partition_id() % MERGE_SALT)
+        marks.withColumn("salt", F.floor(F.spark_partition_id() / MERGED))
         .groupBy("segment", "salt").applyInPandas(lambda rows: _merge(rows), schema)
         .groupBy("segment").applyInPandas(lambda rows: _merge(rows), schema)
     )
