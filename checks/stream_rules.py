@@ -77,8 +77,16 @@ def _with_beat(spark, name, job):
     return runner.append(job(runner.beats(spark, f"{folder}/beats")), name, folder, lambda: runner.beat(spark, f"{folder}/beats"))
 
 
+def _span(spark, sf):
+    """A lateness that covers all times of the table, so that the order in
+    which its files come drops no row."""
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    micros = inputs.read(spark, sf, "events").select(F.coalesce(F.max(ts) - F.min(ts), F.lit(0)).alias("v")).first().v
+    return f"{micros // 1_000_000 + 1} seconds"
+
+
 QUERIES["stream_admission"] = lambda spark, sf: _with_beat(spark, "stream_admission", lambda beats: jobs.admission_stream(
-    runner.read_table(spark, sf, "events"), "user_id", "ts", "event_id", 3, 86400, beats=beats))
+    runner.read_table(spark, sf, "events"), "user_id", "ts", "event_id", 3, 86400, _span(spark, sf), beats))
 SQL["stream_admission"] = flow_rules.SQL["sliding_window_admission"]
 
 
@@ -89,7 +97,7 @@ def stream_repeats(spark, sf):
     key = admission.prompt_key(F.lit("sys"), F.concat_ws(" ", step, (F.col("user_id") % 20).cast("string")), temperature, F.lit(8))
     calls = e.select(F.col("event_id").alias("call_id"), "ts", key.alias("prompt_key"), temperature.alias("temperature"))
     return _with_beat(spark, "stream_repeats", lambda beats: jobs.repeat_stream(
-        calls, "prompt_key", "ts", "call_id", "temperature", 7200, beats=beats))
+        calls, "prompt_key", "ts", "call_id", "temperature", 7200, lateness=_span(spark, sf), beats=beats))
 
 
 QUERIES["stream_repeat_suppression"] = stream_repeats
