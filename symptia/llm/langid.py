@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from symptia.llm.common import text_values
 
-#: Bounds of the labelled sample: languages (the most frequent), documents a
-#: language, bytes a language, and bytes of all languages together.
-LANGUAGES = 64
+#: The labelled sample: documents a language to begin with (more are read until
+#: its bytes are reached), bytes a language, and bytes of all languages together
+#: up to the number of languages where each has only the least left.
 SAMPLE_ROWS = 96
 SAMPLE_BYTES = 24_000
 TOTAL_BYTES = 480_000
+LEAST_BYTES = 7_500
+SURE = 40  # characters of a text whose label is taken first
 BLOCK = 512
 CHUNK_BYTES = 2 << 20
 FOLDS = 5
@@ -158,38 +160,69 @@ def held_out(doc_id, folds: int = FOLDS):
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple]:
-    """Automata of the labelled languages of a table, from a sample chosen by
-    the hash of the id: at most ``SAMPLE_ROWS`` documents and ``SAMPLE_BYTES``
-    bytes a language. Held-out documents, null texts and null labels are never
-    learned from. Without labels the model is empty."""
+    """Automata of all labelled languages of a table, each from texts in the
+    order of the hash of their id, round by round until its bytes are reached
+    or its texts are used up. Held-out documents, null texts and null labels
+    are never learned from, nor are texts without a letter. Without labels the
+    model is empty."""
     labelled = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"),
         held_out(doc_id).alias("held_out"),
-    ).filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.col("held_out"))
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    names = [r.lang for r in common.collect()]
+    ).filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & ~F.col("held_out"))
+    labelled = labelled.select("lang", "text", (F.length("text") < SURE).alias("brief"), F.xxhash64("doc_id").alias("a"),
+                               F.xxhash64("text").alias("b"))
+    names = [r.lang for r in labelled.select("lang").distinct().collect()]
     if not names:
         return []
-    size = min(SAMPLE_BYTES, TOTAL_BYTES // len(names))
-    share = max(1, size // SAMPLE_ROWS)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = (
-        labelled.filter(F.col("lang").isin(names)).filter(F.length("text") >= F.lit(40))
-        .select("lang", "doc_id", F.substring("text", 1, 2 * share).alias("text"))
-        .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_ROWS)
-    )
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
-        taken = np.concatenate([np.append(symbols(t), GAP).astype(np.uint8) for t in rows["text"]])[:size]
-        source, by, target = automaton(taken)
+    size = max(LEAST_BYTES, min(SAMPLE_BYTES, TOTAL_BYTES // len(names)))
+    first = Window.partitionBy("lang").orderBy("brief", "a", "b")
+    model, rows, short = [], SAMPLE_ROWS, names
+    while short:
+        own = labelled if len(short) == len(names) else labelled.filter(F.col("lang").isin(short))
+        chosen = own.select("lang", "brief", "a", "b").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows)
+        sample = own.join(chosen.select("lang", "a", "b", "n"), ["lang", "a", "b"]).select("lang", "brief", "n", F.substring("text", 1, 2 * size).alias("text"))
+        built = sample.dropDuplicates(["lang", "n"]).groupBy("lang").applyInPandas(
+            builder(size, rows), "lang string, full boolean, states int, source binary, symbol binary, target binary")
+        found = built.collect()
+        model += [(r.lang, r.states, bytes(r.source), bytes(r.symbol), bytes(r.target)) for r in found if r.full]
+        short = [r.lang for r in found if not r.full]
+        rows *= 4
+    return model
+
+
+def sample_of(texts: list[str], size: int) -> np.ndarray:
+    """``size`` symbols of some texts, or all they have: a piece of each in
+    turn, then the next piece of each."""
+    found = [symbols(t) for t in texts]
+    lengths = np.array([len(f) for f in found])
+    taken, held, step = np.zeros(len(found), np.int64), 0, max(1, 2 * size // SAMPLE_ROWS)
+    while held < size and (taken < lengths).any():
+        for i in np.flatnonzero(taken < lengths).tolist():
+            more = min(step, lengths[i] - taken[i])
+            taken[i] += more
+            held += more
+            if held >= size:
+                break
+    return np.concatenate([np.zeros(0, np.uint8), *(np.append(f[:n], GAP).astype(np.uint8) for f, n in zip(found, taken) if n)])
+
+
+def builder(size: int, rows: int):
+    """A function to the automaton of a language from its first ``rows`` texts;
+    not ``full`` if its bytes are not reached and it may have more texts."""
+
+    def build(texts: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.sort_values("n")
+        taken = sample_of(texts["text"][~texts["brief"]].tolist(), size)
+        if len(taken) < size:
+            taken = np.concatenate([taken, sample_of(texts["text"][texts["brief"]].tolist(), size - len(taken))])
+        full = len(taken) >= size or len(texts) < rows
+        source, by, target = automaton(taken[:size]) if full else ([], [], [])
         return pd.DataFrame({
-            "lang": [rows["lang"].iloc[0]], "states": [max(source + target, default=0) + 1],
+            "lang": [texts["lang"].iloc[0]], "full": [full], "states": [max(source + target, default=0) + 1],
             "source": [np.array(source, "<i4").tobytes()], "symbol": [np.array(by, np.uint8).tobytes()],
             "target": [np.array(target, "<i4").tobytes()]})
 
-    built = sample.groupBy("lang").applyInPandas(build, "lang string, states int, source binary, symbol binary, target binary")
-    return [(r.lang, r.states, bytes(r.source), bytes(r.symbol), bytes(r.target)) for r in built.collect()]
+    return build
 
 
 def identifier(spark, model: list[tuple]):
@@ -198,8 +231,8 @@ def identifier(spark, model: list[tuple]):
     Null texts and texts without a letter are ``und`` with score 0, as is every
     text when nothing was learned. The score is 1 less the ratio of the best
     rate to the second; with one learned language it is 1. Ties go to the first
-    language in order of names. The model is at most ``TOTAL_BYTES`` of sample,
-    so its broadcast is bounded.
+    language in order of names. The model is ``TOTAL_BYTES`` of sample or
+    ``LEAST_BYTES`` a language, so its broadcast does not grow with the rows.
     """
     shared = spark.sparkContext.broadcast(model)
 

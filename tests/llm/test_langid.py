@@ -75,3 +75,22 @@ def test_edges(spark):
     assert [(r.lang_pred, r.score) for r in langid.identify(none).collect()] == [("und", 0.0)]
     assert langid.keep_spoken(none).count() == 1
     assert langid.identify(docs.limit(0)).collect() == [] and langid.keep_spoken(docs.limit(0)).collect() == []
+
+
+def test_every_label_is_learned_with_its_whole_budget(spark):
+    """Texts under 40 characters, a few long texts, and more labels than 64."""
+    rng = random.Random(5)
+    alphabets = {f"l{k:02}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 7)) for k in range(70)}
+    word = lambda lang: "".join(rng.choice(alphabets[lang]) for _ in range(5))
+    rows = []
+    for k, lang in enumerate(sorted(alphabets)):
+        n, words = (5, 2000) if lang == "l00" else (1600, 4) if lang == "l01" else (8, 40)
+        rows += [(1000 * k * 3 + i, " ".join(word(lang) for _ in range(words)), lang) for i in range(n * 5 // 4 + 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = {m[0]: m for m in langid.train(docs)}
+    assert set(model) == set(alphabets)
+    for lang in ("l00", "l01"):  # a suffix automaton has a state for each symbol at least
+        assert model[lang][1] > langid.LEAST_BYTES
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    own = [(found[i], lang) for i, _, lang in rows if lang in ("l00", "l01", "l69")]
+    assert sum(a == b for a, b in own) >= 0.9 * len(own)
