@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symptia.llm import byte_bpe, chat, exact_dedup, langid, neighbours, ngram_lm, packing, pii, repeats, simhash
+from symptia.llm import byte_bpe, chat, exact_dedup, langid, neighbours, ngram_lm, packing, pii, repeats, repetition, simhash
 from symptia.llm.common import read
 
 
@@ -60,9 +60,47 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_byte_bpe, op3_pii, op4_repeats, op5_neighbours, op6_chat, op7_simhash, op8_exact_dedup, op9_kneser_ney, op10_langid)}
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_pack, op2_byte_bpe, op3_pii, op4_repeats, op5_neighbours, op6_chat, op7_simhash, op8_exact_dedup, op9_kneser_ney,
+    op10_langid, op12_repetition)}
+
+# Words of windows of ``size`` that occur twice or more in their text.
+_IN_WINDOWS = """(
+            SELECT doc, count(DISTINCT first + step) AS covered
+            FROM (SELECT doc, unnest(places) AS first FROM (
+                    SELECT doc, list(place) AS places
+                    FROM (SELECT doc, generate_subscripts(words, 1) AS place, words FROM split)
+                    WHERE place + {size} - 1 <= len(words)
+                    GROUP BY doc, words[place : place + {size} - 1] HAVING count(*) > 1)),
+                 (SELECT unnest(range({size})) AS step)
+            GROUP BY doc)"""
 
 SQL = {
+    "op12_repetition": f"""
+        WITH split AS (
+            SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        three AS {_IN_WINDOWS.format(size=repetition.WINDOW)},
+        passages AS {_IN_WINDOWS.format(size=repetition.LEAST)},
+        longer AS {_IN_WINDOWS.format(size=repetition.LONGEST + 1)},
+        counted AS (
+            SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   (SELECT count(*) - count(DISTINCT line) FROM (SELECT unnest(string_split(s.text, chr(10))) AS line)
+                    WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_dup_lines,
+                   coalesce(three.covered, 0) AS n_repeat_words, coalesce(passages.covered, 0) AS covered_words,
+                   longer.doc IS NOT NULL AS long_repeat
+            FROM split s LEFT JOIN three USING (doc) LEFT JOIN passages USING (doc) LEFT JOIN longer USING (doc)),
+        judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND covered_words <= {repetition.COVERED} * n_words AND NOT long_repeat AS kept, covered_words
+        FROM judged""",
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
