@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from symptia.session import materialise, shared_dir
 
-__all__ = ["Vocabulary", "byte_values", "documents", "materialise", "pieces_of", "read", "shared_dir", "small_batches", "text_values"]
+__all__ = ["Vocabulary", "byte_values", "documents", "materialise", "pieces_of", "read", "release", "shared_dir",
+           "small_batches", "text_values"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -24,6 +25,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def release(*tables: DataFrame) -> None:
+    """Removes the files of written tables whose rows have gone into later
+    ones. Only for tables that nothing unwritten still reads."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the id and the text of a table, so that no other column can clash
     with names used inside an operator."""

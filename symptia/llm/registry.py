@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symptia.llm import byte_bpe, chat, exact_dedup, langid, neighbours, ngram_lm, packing, pii, repeats, repetition, simhash
+from symptia.llm import byte_bpe, chat, exact_dedup, langid, neighbours, ngram_lm, packing, pii, repeats, repetition, simhash, vector_codes
 from symptia.llm.common import read
 
 
@@ -65,9 +65,13 @@ def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pack, op2_byte_bpe, op3_pii, op4_repeats, op5_neighbours, op6_chat, op7_simhash, op8_exact_dedup, op9_kneser_ney,
-    op10_langid, op12_repetition)}
+    op10_langid, op12_repetition, op13_vector_codes)}
 
 # Words of windows of ``size`` that occur twice or more in their text.
 _IN_WINDOWS = """(
@@ -80,7 +84,56 @@ _IN_WINDOWS = """(
                  (SELECT unnest(range({size})) AS step)
             GROUP BY doc)"""
 
+
+
+def _codes_sql() -> str:
+    """Integer k-means written out: an assignment and a codebook a round."""
+    steps = [f"""
+        kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, label,
+                   list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (
+            SELECT r, part, v[part * (len(v) // {vector_codes.PARTS}) + 1 : (part + 1) * (len(v) // {vector_codes.PARTS})] AS x
+            FROM kept, (SELECT unnest(range({vector_codes.PARTS})) AS part)),
+        book0 AS MATERIALIZED (
+            SELECT part, entry, x AS c
+            FROM (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS entry FROM kept) JOIN parts USING (r)
+            WHERE entry < {vector_codes.ENTRIES})"""]
+    for number in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""
+        near{number} AS MATERIALIZED (
+            SELECT r, part, min([d, entry]) AS best
+            FROM (SELECT r, part, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+                  FROM parts JOIN book{number} USING (part))
+            GROUP BY r, part)""")
+        if number < vector_codes.ROUNDS:
+            steps.append(f"""
+        means{number} AS (
+            SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY place) AS m
+            FROM (SELECT part, best[2] AS entry, place, sum(CAST(x[place] AS DOUBLE)) AS s, count(*) AS n
+                  FROM (SELECT part, best, x, unnest(generate_series(1, len(x))) AS place
+                        FROM near{number} JOIN parts USING (r, part))
+                  GROUP BY ALL)
+            GROUP BY part, entry),
+        book{number + 1} AS MATERIALIZED (
+            SELECT part, entry, coalesce(m, c) AS c FROM book{number} LEFT JOIN means{number} USING (part, entry))""")
+    last = vector_codes.ROUNDS
+    return f"""
+        WITH {",".join(steps)},
+        coded AS (
+            SELECT r, string_agg(printf('%02x', CAST(best[2] AS INTEGER)), '' ORDER BY part) AS code,
+                   CAST(sum(best[1]) AS BIGINT) AS error
+            FROM near{last} GROUP BY r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(c[place] AS VARCHAR), ',' ORDER BY part, entry, place))
+                FROM (SELECT part, entry, c, unnest(generate_series(1, len(c))) AS place FROM book{last})) AS codebooks_sha256
+        FROM kept JOIN coded USING (r)"""
+
+
 SQL = {
+    "op13_vector_codes": _codes_sql(),
     "op12_repetition": f"""
         WITH split AS (
             SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text,
