@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symptia.llm import byte_bpe, chat, exact_dedup, langid, neighbours, ngram_lm, packing, pii, repeats, repetition, simhash, vector_codes
+from symptia.llm import byte_bpe, chat, exact_dedup, langid, neighbours, ngram_lm, packing, pii, ranked_search, repeats, repetition, simhash, vector_codes
 from symptia.llm.common import read
 
 
@@ -60,6 +60,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words")
@@ -71,7 +75,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_pack, op2_byte_bpe, op3_pii, op4_repeats, op5_neighbours, op6_chat, op7_simhash, op8_exact_dedup, op9_kneser_ney,
-    op10_langid, op12_repetition, op13_vector_codes)}
+    op10_langid, op11_ranked_search, op12_repetition, op13_vector_codes)}
 
 # Words of windows of ``size`` that occur twice or more in their text.
 _IN_WINDOWS = """(
@@ -133,6 +137,30 @@ def _codes_sql() -> str:
 
 
 SQL = {
+    "op11_ranked_search": r"""
+        WITH words AS (
+            SELECT row_number() OVER () AS doc, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        asked AS (
+            SELECT DISTINCT item, item_id, unnest(regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT *, row_number() OVER () AS item FROM benchmark)),
+        totals AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n, sum(len(terms))::BIGINT AS l FROM words),
+        counts AS (SELECT doc, doc_id, size, term, count(*) AS tf
+                   FROM (SELECT doc, doc_id, len(terms) AS size, unnest(terms) AS term FROM words)
+                   WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w
+                    FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals),
+        scored AS (
+            SELECT item, item_id, doc, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * size * n) // l))))::BIGINT AS score
+            FROM asked JOIN counts USING (term) JOIN weights USING (term), totals
+            GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+                   FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
     "op13_vector_codes": _codes_sql(),
     "op12_repetition": f"""
         WITH split AS (
