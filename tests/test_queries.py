@@ -1,6 +1,7 @@
 """Registered queries against their SQL twins on the smallest tables."""
 
 import os
+import shutil
 import subprocess
 import sys
 
@@ -32,3 +33,17 @@ def test_entry(spark):
 def test_registry_needs_no_session():
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry.__file__))
+
+
+@pytest.mark.parametrize("left", [[], ["corpus_pipeline.py"]])
+def test_rest_works_without_the_text_preparation(tmp_path, left):
+    """A copy without its folders (and, or not, the pipeline) registers all
+    other queries."""
+    repo = os.path.dirname(os.path.abspath(entry.__file__))
+    for name in ["__spark_entry__.py", *left]:
+        shutil.copy(f"{repo}/{name}", tmp_path)
+    for name in ["symptia", "checks"]:
+        shutil.copytree(f"{repo}/{name}", tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; assert not set(e.oracle_sql()) - set(e.queries()); print(*e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, capture_output=True, text=True).stdout.split()
+    assert out == [n for n in entry.queries() if n != "pipeline" and not n.startswith("op")]
