@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symptia.llm.common import materialise
+from symptia.llm.common import materialise, release
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -74,10 +74,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(
             F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        step = materialise(small.distinct(), "edges")
+        done, step = step, materialise(small.distinct(), "edges")
+        release(done)
         after = tuple(step.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if after == before:
             break
         before = after
+    # the edges of the last round stay until the session's folder goes
     roots = step.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
