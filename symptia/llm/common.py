@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,8 +71,16 @@ class Vocabulary:
 
     def __init__(self, spark: SparkSession, path: str):
         with open(path, "rb") as file:
-            self.shared = spark.sparkContext.broadcast(file.read())
+            self.shared = spark.sparkContext.broadcast({"content": file.read()})
 
     @property
     def content(self) -> bytes:
-        return self.shared.value
+        return self.shared.value["content"]
+
+    def kept(self, make: Callable[[bytes], object]) -> object:
+        """What ``make`` makes of the content, made once in a Python worker: it
+        stays with the broadcast value, so that later tasks find it."""
+        own = self.shared.value
+        if "made" not in own:
+            own["made"] = make(own["content"])
+        return own["made"]

@@ -34,7 +34,7 @@ END_ID = 1
 SHARE = 4096  # pieces a share holds on average
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 12
+GENERATIONS = 60
 POPULATION = 4
 LEVELS = 3
 LOOSE = 64  # free tokens from which a sequence is packed again with other shares'
@@ -45,12 +45,42 @@ STOPS = (".", ",")
 LATIN_END = "ɐ"  # letters below keep their form under NFC
 
 
+# What a tokenizer must be for its words to be encoded one by one.
+NORMAL_STEPS = ["NFC", "Replace", "Lowercase"]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_word(spec: dict) -> bool:
+    """Whether no token of a tokenizer crosses white space and a word of
+    letters is one piece: it drops white space, lower-cases, cuts by ``PIECES``
+    and merges bytes."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = spec["model"]
+    return (
+        [s["type"] for s in steps] == NORMAL_STEPS and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": PIECES}
+        and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed"
+        and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+        and model["type"] == "BPE" and not model.get("dropout") and not model.get("byte_fallback")
+        and not spec.get("post_processor") and all(not t["content"].isalpha() for t in spec["added_tokens"]))
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary:
+    itself if it is printed, else the next from 256 on."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
-    """Token ids of texts, as little-endian 32-bit numbers, word by word.
+    """Token ids of texts, as little-endian 32-bit numbers.
 
-    The tokenizer drops white space and lower-cases, and no token crosses white
-    space, so a word's ids do not depend on its neighbours. Words of plain
-    letters are encoded many at a time, the end of each told by its last token.
+    Where :func:`by_word` holds, a word's ids do not depend on its neighbours,
+    so texts are encoded word by word and words are remembered; a word of plain
+    letters needs nothing but the merges. With any other tokenizer texts are
+    encoded whole.
     """
 
     def __init__(self, content: bytes):
@@ -58,9 +88,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_buffer(content)
         self.tokenizer.encode_special_tokens = True
-        model = json.loads(content)["model"]
-        suffix = model.get("end_of_word_suffix") or "</w>"
-        self.last = {i for token, i in model["vocab"].items() if token.endswith(suffix)}
+        self.apart = by_word(json.loads(content))
+        self.merges = self.tokenizer.model
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
@@ -70,44 +100,36 @@ class WordIds:
     def packed(ids: list[int]) -> bytes:
         return np.asarray(ids, "<u4").tobytes()
 
+    def stem_ids(self, stem: str) -> bytes:
+        """Ids of lower-cased plain letters."""
+        if not stem.isascii():
+            stem = stem.encode().decode("latin-1").translate(self.letters)
+        return self.packed([token.id for token in self.merges.tokenize(stem)])
+
     def learn(self, words: set[str]) -> None:
         known = self.known
-        plain: dict[str, None] = {}
-        stopped, mixed = [], []
+        stops = {stop: self.packed(self.ids(stop)) for stop in STOPS}
         for word in words:
-            stem = word[:-1] if word[-1] in STOPS else word
+            stem, stop = (word[:-1], stops[word[-1]]) if word[-1] in stops else (word, b"")
             if stem.isalpha() and max(stem) < LATIN_END and "İ" not in stem:
-                plain[stem.lower()] = None
-                stopped.append((word, stem.lower(), word[-1] if stem is not word else ""))
+                low = stem.lower()
+                own = known.get(low)
+                if own is None:
+                    own = known[low] = self.stem_ids(low)
+                known[word] = own + stop
             else:
-                mixed.append(word)
-        for stop in STOPS:
-            known[stop] = self.packed(self.ids(stop))
-        stems = [s for s in plain if s not in known]
-        for i in range(0, len(stems), 256):
-            group = stems[i : i + 256]
-            found: list[list[int]] = [[]]
-            for token in self.ids(" ".join(group)):
-                found[-1].append(token)
-                if token in self.last:
-                    found.append([])
-            if len(found) != len(group) + 1 or found[-1]:
-                found = [self.ids(s) for s in group]
-            for stem, own in zip(group, found):
-                known[stem] = self.packed(own)
-        for word, stem, stop in stopped:
-            known[word] = known[stem] + known[stop] if stop else known[stem]
-        for word in mixed:
-            known[word] = self.packed(self.ids(word))
+                known[word] = self.packed(self.ids(word))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         # white space to Python but not to the tokenizer: such a text goes whole
-        odd = {i for i, t in enumerate(texts) if any(c in t for c in CONTROLS)}
+        odd = {i for i, t in enumerate(texts) if not self.apart or any(c in t for c in CONTROLS)}
         cut = [[] if i in odd else t.split() for i, t in enumerate(texts)]
         words = {w for own in cut for w in own}
-        if len(self.known) + len(words) > REMEMBERED:
+        fresh = words - self.known.keys()
+        if len(self.known) + 2 * len(fresh) > REMEMBERED:
             self.known.clear()
-        self.learn(words - self.known.keys())
+            fresh = words
+        self.learn(fresh)
         of = self.known.__getitem__
         return [self.packed(self.ids(texts[i])) if i in odd else b"".join(map(of, own)) for i, own in enumerate(cut)]
 
@@ -124,9 +146,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
+        words = shared.kept(WordIds)
         for batch in pieces_of(batches, BATCH_BYTES):
-            words = words or WordIds(shared.content)
             rows = []
             encoded = words.encode_all(text_values(batch.column(2)))
             for place, own_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoded):
@@ -218,10 +239,10 @@ def _refit(lengths, labels, loose, capacity) -> np.ndarray:
 
 
 def founders(lengths: np.ndarray, capacity: int, rng) -> list[np.ndarray]:
-    """Best-fit decreasing, and the same in slightly disturbed orders."""
+    """Best fit in orders drawn at random: whole sequences differ from one to
+    the next, so that crossover has something to choose from."""
     none = np.zeros(len(lengths), np.int64)
-    orders = [-lengths] + [-lengths * rng.uniform(0.9, 1.1, len(lengths)) for _ in range(POPULATION - 1)]
-    return [best_fit(lengths, none, np.argsort(order, kind="stable"), capacity) for order in orders]
+    return [best_fit(lengths, none, rng.permutation(len(lengths)), capacity) for _ in range(POPULATION)]
 
 
 def evolve(lengths: np.ndarray, people: list[np.ndarray], capacity: int, rng) -> list[np.ndarray]:
@@ -328,7 +349,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
                    doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Per piece of each document: doc_id, piece, start, length, ids_crc32,
-    sequence_id, offset, and the ids themselves if asked for.
+    sequence_id, offset, and the ids themselves if asked for. Any tokenizer
+    file will do; those that :func:`by_word` describes are faster.
 
     Null and empty texts are a single end token; repeated rows are packed
     each; a null doc_id stays null. Only documents longer than a sequence are

@@ -77,3 +77,44 @@ def test_words_alone_give_the_ids_of_the_text():
     texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
     for text, ids in zip(texts, words.encode_all(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == words.ids(text), text
+
+
+def test_crossover_decides(monkeypatch):
+    """From random founders the sequences come down to what the sum of the
+    lengths needs; without crossover they do not in the same generations."""
+    monkeypatch.setattr(packing, "GENERATIONS", 40)
+    start, crossed, alone = 0, 0, 0
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        lengths = np.sort(rng.integers(60, 1600, 2000))[::-1].copy()
+        people = packing.founders(lengths, 4096, rng)
+        start += people[0].max() + 1
+        crossed += packing.evolve(lengths, people, 4096, np.random.default_rng(seed))[0].max() + 1
+        with monkeypatch.context() as without:
+            without.setattr(packing, "crossover", lambda lengths, left, right, capacity, rng: left)
+            alone += packing.evolve(lengths, people, 4096, np.random.default_rng(seed))[0].max() + 1
+    assert crossed < alone < start
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import json
+
+    with open(PATH, "rb") as file:
+        spec = json.load(file)
+    assert packing.by_word(spec)
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]
+    words = packing.WordIds(json.dumps(spec).encode())
+    assert not words.apart
+    texts = ["Some Words, here", "", "été  X"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in words.encode_all(texts)] == [words.ids(t) for t in texts]
+
+
+def test_remembered_words_are_let_go(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    with open(PATH, "rb") as file:
+        words = packing.WordIds(file.read())
+    for k in range(6):
+        texts = [f"Wörd{'abcdef'[k]}{'ghijkl'[i % 6]}{'mnop'[i % 4]}. and, so" for i in range(15)]
+        for text, ids in zip(texts, words.encode_all(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == words.ids(text)
+        assert len(words.known) <= 80
