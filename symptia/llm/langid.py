@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symptia.llm.common import text_values
+from symptia.llm.common import materialise, release, text_values
+from symptia.session import broadcast_if_small
 
 #: The labelled sample: documents a language to begin with (more are read until
 #: its bytes are reached), bytes a language, and bytes of all languages together
@@ -180,11 +181,14 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     while short:
         own = labelled if len(short) == len(names) else labelled.filter(F.col("lang").isin(short))
         chosen = own.select("lang", "brief", "a", "b").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows)
-        sample = own.join(chosen.select("lang", "a", "b", "n"), ["lang", "a", "b"]).select("lang", "brief", "n", F.substring("text", 1, 2 * size).alias("text"))
+        # a few texts a language: their keys go to the texts, not the reverse
+        chosen = materialise(chosen.select("lang", "a", "b", "n"), "chosen")
+        sample = own.join(broadcast_if_small(chosen), ["lang", "a", "b"]).select("lang", "brief", "n", F.substring("text", 1, 2 * size).alias("text"))
         built = sample.dropDuplicates(["lang", "n"]).groupBy("lang").applyInPandas(
             builder(size, rows), "lang string, full boolean, states int, source binary, symbol binary, target binary")
         found = built.collect()
         model += [(r.lang, r.states, bytes(r.source), bytes(r.symbol), bytes(r.target)) for r in found if r.full]
+        release(chosen)
         short = [r.lang for r in found if not r.full]
         rows *= 4
     return model
