@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ END_ID = 1
 SHARE = 4096  # pieces a share holds on average
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 60
+GENERATIONS = 30
 POPULATION = 4
 LEVELS = 3
 LOOSE = 64  # free tokens from which a sequence is packed again with other shares'
@@ -91,14 +93,18 @@ class WordIds:
         self.apart = by_word(json.loads(content))
         self.merges = self.tokenizer.model
         self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.stops = {stop: self.packed(self.ids(stop)) for stop in STOPS}
+        self.known = Remembered(self.word_ids)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
+        own = array("I", ids)
+        if sys.byteorder != "little":
+            own.byteswap()
+        return own.tobytes()
 
     def stem_ids(self, stem: str) -> bytes:
         """Ids of lower-cased plain letters."""
@@ -106,32 +112,37 @@ class WordIds:
             stem = stem.encode().decode("latin-1").translate(self.letters)
         return self.packed([token.id for token in self.merges.tokenize(stem)])
 
-    def learn(self, words: set[str]) -> None:
-        known = self.known
-        stops = {stop: self.packed(self.ids(stop)) for stop in STOPS}
-        for word in words:
-            stem, stop = (word[:-1], stops[word[-1]]) if word[-1] in stops else (word, b"")
-            if stem.isalpha() and max(stem) < LATIN_END and "İ" not in stem:
-                low = stem.lower()
-                own = known.get(low)
-                if own is None:
-                    own = known[low] = self.stem_ids(low)
-                known[word] = own + stop
-            else:
-                known[word] = self.packed(self.ids(word))
+    def word_ids(self, word: str) -> bytes:
+        stem, stop = (word[:-1], self.stops[word[-1]]) if word[-1] in self.stops else (word, b"")
+        if not (stem.isalpha() and max(stem) < LATIN_END and "İ" not in stem):
+            return self.packed(self.ids(word))
+        low = stem.lower()
+        if low == word:
+            return self.stem_ids(low)
+        return self.known[low] + stop
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        # white space to Python but not to the tokenizer: such a text goes whole
-        odd = {i for i, t in enumerate(texts) if not self.apart or any(c in t for c in CONTROLS)}
-        cut = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        words = {w for own in cut for w in own}
-        fresh = words - self.known.keys()
-        if len(self.known) + 2 * len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = words
-        self.learn(fresh)
-        of = self.known.__getitem__
-        return [self.packed(self.ids(texts[i])) if i in odd else b"".join(map(of, own)) for i, own in enumerate(cut)]
+        out, of = [], self.known.__getitem__
+        for text in texts:
+            # white space to Python but not to the tokenizer: such a text goes whole
+            if not self.apart or any(c in text for c in CONTROLS):
+                out.append(self.packed(self.ids(text)))
+            else:
+                out.append(b"".join(map(of, text.split())))
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+        return out
+
+
+class Remembered(dict):
+    """Words and their ids; a word that is new is encoded on being asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        own = self[word] = self.encode(word)
+        return own
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,

@@ -117,4 +117,4 @@ def test_remembered_words_are_let_go(monkeypatch):
         texts = [f"Wörd{'abcdef'[k]}{'ghijkl'[i % 6]}{'mnop'[i % 4]}. and, so" for i in range(15)]
         for text, ids in zip(texts, words.encode_all(texts)):
             assert np.frombuffer(ids, "<u4").tolist() == words.ids(text)
-        assert len(words.known) <= 80
+        assert len(words.known) <= 45
