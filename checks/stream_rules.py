@@ -43,7 +43,7 @@ def _words(df):
 
 
 QUERIES["stream_sentence_segments"] = lambda spark, sf: runner.append(
-    jobs.sentence_stream(_words(replies(spark, sf)), ID), "stream_sentences")
+    jobs.sentence_stream(_words(replies(spark, sf)), ID), "stream_sentences", idle=False)
 SQL["stream_sentence_segments"] = flow_rules.SQL["sentence_segments"]
 
 
@@ -64,7 +64,7 @@ def stream_fold(spark, sf):
         F.array(event(n, F.when(k == 2, "blocked").when(k == 3, "error").otherwise("complete"), level=F.when(k == 4, "RED"),
                       message=F.when(k == 2, "stopped"), red=(k == 2) & (F.col("turn") % 2 == 0))))
     rows = df.select(*ID, F.explode(every).alias("e")).select(*ID, "e.*")
-    return runner.latest(jobs.message_state_stream(rows, ID), "stream_fold", ID, "n_events")
+    return runner.latest(jobs.message_state_stream(rows, ID), "stream_fold", ID, "n_events", idle=False)
 
 
 QUERIES["stream_event_fold"] = stream_fold

@@ -24,24 +24,30 @@ def triage_stream(messages: DataFrame, entries: DataFrame, id_cols: list[str], s
     return append_each(messages, lambda batch: triage.triage_rules(batch, entries, id_cols, script), name, folder)
 
 
-def sentence_stream(chunks: DataFrame, id_cols: list[str]) -> DataFrame:
+#: How long a key without new events keeps its state, in milliseconds.
+KEEP_MS = 24 * 3600 * 1000
+
+
+def sentence_stream(chunks: DataFrame, id_cols: list[str], keep_ms: int = KEEP_MS) -> DataFrame:
     """Chunks (ids, seq, content, last) to redacted sentence segments (ids,
     segment, content). Redaction waits for the sentence, so a dose split over
-    two chunks is still seen."""
+    two chunks is still seen. Redelivered chunks change nothing for
+    ``keep_ms`` after the last new one."""
     use_rocksdb(chunks.sparkSession)
     columns = [*id_cols, "segment", "content"]
     out = chunks.groupBy(*id_cols).transformWithStateInPandas(
-        SentenceBuffer(columns), _fields(chunks, id_cols) + ", segment bigint, content string", "Append", "None")
+        SentenceBuffer(columns, keep_ms), _fields(chunks, id_cols) + ", segment bigint, content string", "Append", "ProcessingTime")
     return out.withColumn("content", replies.redact(F.col("content")))
 
 
-def message_state_stream(events: DataFrame, id_cols: list[str]) -> DataFrame:
-    """Events (ids, seq, type, ...) to the running state of their message."""
+def message_state_stream(events: DataFrame, id_cols: list[str], keep_ms: int = KEEP_MS) -> DataFrame:
+    """Events (ids, seq, type, ...) to the running state of their message.
+    Redelivered events change nothing for ``keep_ms`` after the last new one."""
     use_rocksdb(events.sparkSession)
     state = "content string, triage_level string, is_blocked boolean, is_error boolean, is_finished boolean, n_events bigint"
     columns = [*id_cols, *[c.strip().split(" ")[0] for c in state.split(",")]]
     return events.groupBy(*id_cols).transformWithStateInPandas(
-        MessageState(columns), _fields(events, id_cols) + ", " + state, "Update", "None")
+        MessageState(columns, keep_ms), _fields(events, id_cols) + ", " + state, "Update", "ProcessingTime")
 
 
 def admission_stream(requests: DataFrame, key: str, ts: str, id_col: str, limit: int = fv.ADMIT_MAX,

@@ -19,40 +19,53 @@ from symptia.operators.admission import step
 
 class InOrder(StatefulProcessor):
     """Hands the events of a key to :meth:`event` in ``seq`` order, starting
-    at ``first``. Events ahead of a gap wait in state until it closes.
-
-    The state of a key goes when its last event was handled."""
+    at ``first``, each once.
+
+    State: the next ``seq`` with what the events so far came to, and a map of
+    the events ahead of a gap, of which a batch touches only those it closes or
+    adds. An event that was handled or already waits is a redelivery and is
+    dropped, also after the last one: the mark of an ended key stays. What a
+    key holds goes when nothing was written to it for ``keep_ms``, whether its
+    last event came or not. Events without a ``seq`` have no place and are
+    dropped.
+    """
 
     first = 0
     payload: list[str] = []
     waiting_schema = ""
     state_schema = ""
 
+    def __init__(self, columns: list[str], keep_ms: int) -> None:
+        self.columns, self.keep_ms = columns, keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
-        self.state = handle.getValueState("state", "next_seq bigint, " + self.state_schema)
+        self.waiting = handle.getMapState("waiting", "seq bigint", self.waiting_schema, self.keep_ms)
+        self.state = handle.getValueState("state", "next_seq bigint, n_waiting bigint, " + self.state_schema, self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fields = ["seq", *self.payload]
-        pending = {e[0]: e for e in self.waiting.get()} if self.waiting.exists() else {}
+        arrived: dict[int, tuple] = {}
         for pdf in rows:
-            for e in zip(*[pdf[f] for f in fields]):
-                pending[e[0]] = tuple(None if isinstance(v, float) and pd.isna(v) else v for v in e)
+            for seq, *event in zip(*[pdf[f] for f in ["seq", *self.payload]]):
+                if not pd.isna(seq):
+                    arrived.setdefault(int(seq), tuple(None if isinstance(v, float) and pd.isna(v) else v for v in event))
         current = self.state.get() if self.state.exists() else None
-        seq, state = (current[0], tuple(current[1:])) if current else (self.first, self.start())
+        seq, n_waiting, state = (current[0], current[1], tuple(current[2:])) if current else (self.first, 0, self.start())
         before, out = seq, []
-        while seq in pending:
-            state, emitted = self.event(state, pending.pop(seq))
+        while True:
+            event = arrived.pop(seq, None)
+            if n_waiting and self.waiting.containsKey((seq,)):
+                event, n_waiting = tuple(self.waiting.getValue((seq,))), n_waiting - 1
+                self.waiting.removeKey((seq,))
+            if event is None:
+                break
+            state, emitted = self.event(state, event)
             out += emitted
             seq += 1
-        if self.done(state) and not pending:
-            self.state.clear()
-        else:
-            self.state.update((seq, *state))
-        if pending:
-            self.waiting.put([pending[s] for s in sorted(pending)])
-        elif self.waiting.exists():
-            self.waiting.clear()
+        for ahead, event in arrived.items():
+            if ahead > seq and not (n_waiting and self.waiting.containsKey((ahead,))):
+                self.waiting.updateValue((ahead,), event)
+                n_waiting += 1
+        self.state.update((seq, n_waiting, *state))
         out += self.after(state, seq, seq - before)
         if out:
             yield pd.DataFrame([(*key, *r) for r in out], columns=self.columns)
@@ -63,9 +76,6 @@ class InOrder(StatefulProcessor):
     def event(self, state: tuple, event: tuple) -> tuple[tuple, list[tuple]]:
         raise NotImplementedError
 
-    def done(self, state: tuple) -> bool:
-        raise NotImplementedError
-
     def after(self, state: tuple, seq: int, handled: int) -> list[tuple]:
         return []
 
@@ -78,21 +88,15 @@ class SentenceBuffer(InOrder):
     stream flushes the rest. Emits (segment, content)."""
 
     payload = ["content", "last"]
-    waiting_schema = "seq bigint, content string, last boolean"
-    state_schema = "held string, segment bigint, ended boolean"
-
-    def __init__(self, columns: list[str]) -> None:
-        self.columns = columns
+    waiting_schema = "content string, last boolean"
+    state_schema = "held string, segment bigint"
 
     def start(self) -> tuple:
-        return "", 0, False
-
-    def done(self, state: tuple) -> bool:
-        return state[2]
+        return "", 0
 
     def event(self, state: tuple, event: tuple) -> tuple[tuple, list[tuple]]:
-        held, segment, _ = state
-        _, content, last = event
+        held, segment = state
+        content, last = event
         held += content or ""
         out = []
         ends = [m.end() for m in re.finditer("[" + fv.SENTENCE_END + "]", held)]
@@ -102,7 +106,7 @@ class SentenceBuffer(InOrder):
         if last and held:
             out.append((segment, held))
             held, segment = "", segment + 1
-        return (held, segment, bool(last)), out
+        return (held, segment), out
 
 
 class MessageState(InOrder):
@@ -110,21 +114,15 @@ class MessageState(InOrder):
 
     first = -1
     payload = ["type", "content", "triage_level", "message", "force_red"]
-    waiting_schema = "seq bigint, type string, content string, triage_level string, message string, force_red boolean"
+    waiting_schema = "type string, content string, triage_level string, message string, force_red boolean"
     state_schema = "content string, triage_level string, is_blocked boolean, is_error boolean, is_finished boolean, n_events bigint"
 
-    def __init__(self, columns: list[str]) -> None:
-        self.columns = columns
-
     def start(self) -> tuple:
         return "", None, False, False, False, 0
 
-    def done(self, state: tuple) -> bool:
-        return state[4]
-
     def event(self, state: tuple, event: tuple) -> tuple[tuple, list[tuple]]:
         content, level, blocked, error, finished, n = state
-        _, kind, chunk, new_level, message, force_red = event
+        kind, chunk, new_level, message, force_red = event
         if kind == "chunk":
             content += chunk or ""
         elif kind in ("triage_classified", "complete"):

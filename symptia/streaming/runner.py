@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,21 +51,39 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def append(df: DataFrame, name: str, folder: str | None = None, ending: Callable[[], None] | None = None) -> DataFrame:
+@contextmanager
+def _idle_batches(spark: SparkSession, on: bool) -> Iterator[None]:
+    """Whether a query started inside runs micro-batches without input. Timers
+    in event time need them; state that expires by the clock asks for one after
+    the other, so that a run over what is available would never end."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(on).lower())
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def append(df: DataFrame, name: str, folder: str | None = None, ending: Callable[[], None] | None = None,
+           idle: bool = True) -> DataFrame:
     """Process all available input, append to Parquet, return the table. The
     file sink commits each micro-batch once. ``ending`` is called when the
     input is used up, and what it adds is processed too: a last beat lets go
-    of rows that wait for the watermark."""
+    of rows that wait for the watermark. ``idle`` is false for streams whose
+    state expires by the clock."""
     spark = df.sparkSession
     folder = folder or shared_dir(spark, name)
     for step in (None, ending) if ending else (None,):
         if step:
             step()
-        query = (
+        writer = (
             df.writeStream.format("parquet").outputMode("append")
             .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(availableNow=True).queryName(name).start()
+            .trigger(availableNow=True).queryName(name)
         )
+        with _idle_batches(spark, idle):
+            query = writer.start()
         query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
@@ -98,7 +117,7 @@ def beat(spark: SparkSession, folder: str, at: str = "9999-01-01") -> None:
     spark.sql(f"SELECT TIMESTAMP '{at}' AS at").write.mode("append").parquet(folder)
 
 
-def latest(df: DataFrame, name: str, keys: list[str], version: str, folder: str | None = None) -> DataFrame:
+def latest(df: DataFrame, name: str, keys: list[str], version: str, folder: str | None = None, idle: bool = True) -> DataFrame:
     """Process all available input of an updating stream and return the newest
     row per key. Every micro-batch overwrites its own folder, so replaying one
     after a failure changes nothing."""
@@ -108,10 +127,12 @@ def latest(df: DataFrame, name: str, keys: list[str], version: str, folder: str
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    query = (
+    writer = (
         df.writeStream.foreachBatch(write).outputMode("update")
-        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).queryName(name).start()
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).queryName(name)
     )
+    with _idle_batches(spark, idle):
+        query = writer.start()
     query.awaitTermination()
     written = spark.read.schema(df.schema).parquet(f"{folder}/rows/batch=*")
     rest = [c for c in df.columns if c not in keys]

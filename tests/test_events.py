@@ -52,7 +52,7 @@ def stream_files(spark, folder, batches, schema):
 def test_fold_stream_over_several_batches_out_of_order(spark, tmp_path):
     batches = [FOLD_ROWS[1::2], FOLD_ROWS[0::4], FOLD_ROWS[2::4]]
     stream = stream_files(spark, tmp_path / "in", batches, EVENT)
-    out = runner.latest(jobs.message_state_stream(stream, ["m"]), "fold", ["m"], "n_events", str(tmp_path / "out"))
+    out = runner.latest(jobs.message_state_stream(stream, ["m"]), "fold", ["m"], "n_events", str(tmp_path / "out"), idle=False)
     assert states(out.collect()) == FOLDED
 
 
@@ -62,13 +62,53 @@ def test_sentence_stream_over_several_batches(spark, tmp_path):
     rows = [(1, i, w, False) for i, w in enumerate(words)] + [(1, len(words), "", True)]
     schema = "m int, seq bigint, content string, last boolean"
     stream = stream_files(spark, tmp_path / "in", [rows[::3], rows[1::3], rows[2::3]], schema)
-    streamed = {r.segment: r.content for r in runner.append(jobs.sentence_stream(stream, ["m"]), "s", str(tmp_path / "out")).collect()}
+    streamed = {r.segment: r.content for r in runner.append(jobs.sentence_stream(stream, ["m"]), "s", str(tmp_path / "out"), idle=False).collect()}
     chunks = spark.createDataFrame(rows[:-1], schema).select("m", "seq", "content")
     batch = {r.segment: r.content for r in events.segment_chunks(chunks, ["m"]).collect()}
     assert streamed == batch
     assert "".join(v for _, v in sorted(batch.items())) == "you may have flu. Take [dosage removed].y twice, then rest "
 
 
+def waiting(spark, checkpoint):
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load()
+
+
+def test_redelivered_chunks_change_nothing(spark, tmp_path):
+    """Before, during and after the end of a stream, over five micro-batches;
+    a gap that never closes leaves only what waits behind it."""
+    schema = "m int, seq bigint, content string, last boolean"
+    a, b, c, end = (1, 0, "Hello. ", False), (1, 1, "It is ", False), (1, 2, "late. So", False), (1, 3, "", True)
+    gap = [(2, 0, "One. ", False), (2, 2, "Three. ", False), (2, 3, "Four.", True)]
+    parts = [[a, a, c], [a, c, gap[0], gap[1]], [b, a, gap[2], gap[1], (3, None, "no place", True)], [end, b, a, c], [a, end, c, gap[0], gap[2]]]
+    stream = stream_files(spark, tmp_path / "in", parts, schema)
+    out = str(tmp_path / "out")
+    got = sorted(tuple(r) for r in runner.append(jobs.sentence_stream(stream, ["m"]), "s", out, idle=False).collect())
+    assert got == [(1, 0, "Hello."), (1, 1, " It is late."), (1, 2, " So"), (2, 0, "One.")]
+    left = waiting(spark, f"{out}/checkpoint").select("key.m", "user_map_key.seq").collect()
+    assert sorted(tuple(r) for r in left) == [(2, 2), (2, 3)]
+
+
+def test_redelivered_events_do_not_reopen_a_message(spark, tmp_path):
+    schema = "m int, seq bigint, type string, content string, triage_level string, message string, force_red boolean"
+    event = lambda seq, kind, text=None: (1, seq, kind, text, "GREEN", None, False)
+    start, one, two, done = event(-1, "start"), event(0, "chunk", "a"), event(1, "chunk", "b"), event(2, "complete")
+    parts = [[one, start], [one, done], [start, two, one], [two, start], [done, one, start]]
+    stream = stream_files(spark, tmp_path / "in", parts, schema)
+    (row,) = runner.latest(jobs.message_state_stream(stream, ["m"]), "f", ["m"], "n_events", str(tmp_path / "out"), idle=False).collect()
+    assert (row.content, row.is_finished, row.n_events) == ("ab", True, 4)
+    assert waiting(spark, str(tmp_path / "out/checkpoint")).count() == 0
+
+
+def test_state_expires_when_the_last_event_never_comes(spark, tmp_path):
+    schema = "m int, seq bigint, content string, last boolean"
+    first = (1, 0, "Hello. ", False)
+    stream = stream_files(spark, tmp_path / "in", [[first], [first]], schema)
+    kept = runner.append(jobs.sentence_stream(stream, ["m"]), "s", str(tmp_path / "kept"), idle=False)
+    assert kept.count() == 1
+    gone = runner.append(jobs.sentence_stream(stream, ["m"], keep_ms=1), "s", str(tmp_path / "gone"), idle=False)
+    assert gone.count() == 2
+
+
 def test_admission_stream_over_several_batches(spark, tmp_path):
     rows = [(i, "k", 1_700_000_000 + 20 * i) for i in range(12)]
     schema = "id int, k string, s bigint"
