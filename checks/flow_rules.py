@@ -308,7 +308,7 @@ QUERIES["call_log_projection"] = lambda spark, sf: events.call_log(calls(spark,
 SQL["call_log_projection"] = (
     "SELECT event_id AS call_id, user_id AS trace_id, CASE WHEN event_type = 'click' THEN 'classification' ELSE 'response' END || ':' || CASE WHEN event_id % 2 = 0 THEN 'primary' ELSE 'backup' END || "
     "CASE WHEN event_type = 'view' THEN '(stream)' ELSE '' END AS name, CASE WHEN event_type <> 'view' AND event_id % 3 > 0 THEN least(2000, 700 * length(event_type)) ELSE -1 END AS n_system, "
-    "sha256(substr(repeat('p', 2990) || event_type || props, 1, 3000)) AS prompt, sha256(substr(repeat('r', 3990) || props || props, 1, 4000)) AS response, round_even(value * 1.371313, 1) AS latency_ms FROM events"
+    "sha256(substr(repeat('p', 2990) || event_type || props, 1, 3000)) AS prompt, sha256(substr(repeat('r', 3990) || props || props, 1, 4000)) AS response, CAST(printf('%.1f', CAST(value * 1.371313 AS DOUBLE)) AS DOUBLE) AS latency_ms FROM events"
 )
 QUERIES["tokens_per_trace"] = lambda spark, sf: events.tokens_per_trace(calls(spark, sf))
 SQL["tokens_per_trace"] = "SELECT user_id AS trace_id, CAST(sum(floor(value)) AS BIGINT) AS total_tokens, count(*) AS n_calls FROM events GROUP BY 1"
@@ -424,7 +424,7 @@ SCORED = (
 )
 RESULT = ["id", "input_type", "expected_level", "actual_level", "level_correct", "escalation_correct", "followup_correct", "guardrail_blocked", "response_quality", "error"]
 QUERIES["scenario_scoring"] = lambda spark, sf: scored(spark, sf).select(*RESULT, text.rounded("latency_ms", 1).alias("latency_ms"))
-SQL["scenario_scoring"] = f"WITH {SCORED} SELECT {', '.join(RESULT)}, round_even(latency_ms, 1) AS latency_ms FROM sr"
+SQL["scenario_scoring"] = f"WITH {SCORED} SELECT {', '.join(RESULT)}, CAST(printf('%.1f', CAST(latency_ms AS DOUBLE)) AS DOUBLE) AS latency_ms FROM sr"
 
 COUNTS = ["scenarios", "error_count", "total", "level_correct", "red_total", "red_correct", "green_total", "green_false_alarm", "followup_should_ask", "followup_asked", "outages"]
 METRICS = (
@@ -483,8 +483,8 @@ SQL["miss_list"] = (
 SUMMARY = ["total_scenarios", "ran", "errors", "outcome", "triage_accuracy", "escalation_recall", "escalation_recall_pass", "red_scenarios_evaluated",
            "false_alarm_rate", "followup_precision", "avg_response_quality", "avg_latency_ms", "p95_latency_ms", "outages"]
 SQL_SUMMARY = (
-    "scenarios AS total_scenarios, total + error_count AS ran, error_count AS errors, outcome, round_even(triage_accuracy, 4) AS triage_accuracy, round_even(escalation_recall, 4) AS escalation_recall, escalation_recall >= 0.95 AS escalation_recall_pass, "
-    "red_total AS red_scenarios_evaluated, round_even(false_alarm_rate, 4) AS false_alarm_rate, round_even(followup_precision, 4) AS followup_precision, round_even(avg_quality, 2) AS avg_response_quality, round_even(avg_latency_ms, 1) AS avg_latency_ms, round_even(p95, 1) AS p95_latency_ms, outages"
+    "scenarios AS total_scenarios, total + error_count AS ran, error_count AS errors, outcome, CAST(printf('%.4f', CAST(triage_accuracy AS DOUBLE)) AS DOUBLE) AS triage_accuracy, CAST(printf('%.4f', CAST(escalation_recall AS DOUBLE)) AS DOUBLE) AS escalation_recall, escalation_recall >= 0.95 AS escalation_recall_pass, "
+    "red_total AS red_scenarios_evaluated, CAST(printf('%.4f', CAST(false_alarm_rate AS DOUBLE)) AS DOUBLE) AS false_alarm_rate, CAST(printf('%.4f', CAST(followup_precision AS DOUBLE)) AS DOUBLE) AS followup_precision, CAST(printf('%.2f', CAST(avg_quality AS DOUBLE)) AS DOUBLE) AS avg_response_quality, CAST(printf('%.1f', CAST(avg_latency_ms AS DOUBLE)) AS DOUBLE) AS avg_latency_ms, CAST(printf('%.1f', CAST(p95 AS DOUBLE)) AS DOUBLE) AS p95_latency_ms, outages"
 )
 
 

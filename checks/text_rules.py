@@ -285,8 +285,8 @@ register(
     lambda spark, sf: read(spark, sf, "events").select(
         "event_id", text.rounded(F.col("value") / 7, 4).alias("score"),
         text.rounded(F.col("value") * 1.371313, 1).alias("latency_ms"), text.rounded(F.col("value") / 3, 2).alias("quality")),
-    "SELECT event_id, round_even(value / 7, 4) AS score, round_even(value * 1.371313, 1) AS latency_ms, "
-    "round_even(value / 3, 2) AS quality FROM events",
+    "SELECT event_id, CAST(printf('%.4f', CAST(value / 7 AS DOUBLE)) AS DOUBLE) AS score, CAST(printf('%.1f', CAST(value * 1.371313 AS DOUBLE)) AS DOUBLE) AS latency_ms, "
+    "CAST(printf('%.2f', CAST(value / 3 AS DOUBLE)) AS DOUBLE) AS quality FROM events",
 )
 
 # --------------------------------------------------------------- input rules

@@ -176,9 +176,37 @@ def ellipsis(c: Column | str, chars: int = fv.ERROR_CHARS) -> Column:
     return F.when(F.length(c) > chars, F.concat(truncate(c, chars), F.lit("..."))).otherwise(c)
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A double as the exact sum of two that hold half its bits each."""
+    wide = x * F.lit(134217729.0)  # 2**27 + 1
+    high = wide - (wide - x)
+    return high, x - high
+
+
 def rounded(c: Column | str, digits: int) -> Column:
-    """Half-even rounding; NULL stays NULL."""
-    return F.bround(as_col(c), digits)
+    """Half-even rounding of the binary value, to 0 to 15 digits; NULL stays
+    NULL, and a value of another number type is taken as a double.
+
+    2.675 is a little less than it prints and gives 2.67; only values that lie
+    exactly between two results (0.125) go to the even one. The scaled value is
+    held as a product and its exact rounding error, so that what is left over
+    the next smaller result is compared with one half without any error. From
+    2**53 units on a double has no digits to lose.
+    """
+    signed = as_col(c).cast("double")
+    x, scale = F.abs(signed), 10.0**digits
+    high, low = _halves(x)
+    top = scale * 134217729.0
+    top = top - (top - scale)
+    product = x * F.lit(scale)
+    error = ((high * F.lit(top) - product) + high * F.lit(scale - top) + low * F.lit(top)) + low * F.lit(scale - top)
+    whole = F.floor(product).cast("double")
+    # a product rounded up to a whole number belongs to the one before
+    below = F.when((whole == product) & (error < 0), whole - 1).otherwise(whole)
+    over = (product - below) - F.lit(0.5)
+    up = (over > -error) | ((over == -error) & (below % 2 == 1))
+    result = F.when(F.isnan(x) | (product >= F.lit(2.0**53)), x).otherwise(F.when(up, below + 1).otherwise(below) / F.lit(scale))
+    return F.when(signed < 0, -result).otherwise(result)
 
 
 def ordered_distinct(*parts: Column) -> Column:

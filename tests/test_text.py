@@ -84,3 +84,22 @@ def test_parse_numbers(column):
     assert column(parsing.parse_score(F.col(T)), "0.8", "1.7 x", "-3", "high", "0.9f", "", None, "nan", "5e-1") == [
         0.8, 1.0, 0.0, -1.0, -1.0, -1.0, -1.0, -1.0, 0.5]
     assert column(parsing.parse_rating(F.col(T)), " 4", "6", "five", "", None, "3/5") == [4.0, None, None, None, None, 3.0]
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    """Against Python's round, on doubles at and next to halves."""
+    import math
+    import random
+
+    draw = random.Random(6)
+    for digits in (0, 1, 2, 4):
+        values = [0.15, 2.675, 0.12345, 0.125, 0.375, 0.5, 1.5, 2.5, -0.15, -0.001, 0.0, 1e300, -1e22, 5e-324, 2.0**52 + 0.5, 2.0**53 / 10**digits]
+        while len(values) < 25_000:
+            x = (draw.randrange(10 ** draw.randrange(1, 13)) + 0.5) / 10**digits
+            values += [x, math.nextafter(x, 9e99), -math.nextafter(x, 0), draw.random() * 10 ** draw.randrange(-5, 16)]
+        rows = spark.createDataFrame(list(enumerate(values)), "id int, x double")
+        got = {r.id: r.v for r in rows.select("id", text.rounded("x", digits).alias("v")).collect()}
+        wrong = [(x, got[i], round(x, digits)) for i, x in enumerate(values) if repr(got[i]) != repr(float(round(x, digits)))]
+        assert not wrong, wrong[:5]
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "x double").select(text.rounded("x", 2).alias("v"))
+    assert [repr(r.v) for r in odd.collect()] == ["None", "nan", "inf", "-inf"]
