@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.inputs import CORPUS, corpus, q, read, sql_strip
+from checks.inputs import CORPUS, corpus, corpus_files, q, read, sql_strip
 from symptia.functions import fixed_values as fv
 from symptia.functions import text
 from symptia.operators import chunking
@@ -44,7 +44,7 @@ def sql_category(col: str) -> str:
     return "CASE " + " ".join(f"WHEN contains(lower({col}), {q(k)}) THEN {q(v)}" for k, v in fv.CATEGORY_HINTS) + f" ELSE {q(fv.DEFAULT_CATEGORY)} END"
 
 
-QUERIES["corpus_scan"] = lambda spark, sf: corpus(spark, sf).filter(src.supported(F.col("source_name"))).select(
+QUERIES["corpus_scan"] = lambda spark, sf: src.scan_corpus(spark, corpus_files(spark, sf)).select(
     "source_name", "page_number", F.md5("text").alias("text_md5"))
 SQL["corpus_scan"] = f"WITH {CORPUS} SELECT source_name, page_number, md5(text) AS text_md5 FROM corpus WHERE regexp_matches(source_name, '\\.(txt|md)$')"
 
@@ -123,9 +123,11 @@ def envelopes(spark, sf):
     """One nested document per file, read back into chunks."""
     chunks = chunking.chunk_pages(corpus(spark, sf))
     per_file = chunks.groupBy("source_name").agg(F.collect_list(F.struct(*chunks.columns)).alias("chunks"))
-    packed = per_file.select(F.to_json(F.struct(
+    packed = per_file.select("source_name", F.to_json(F.struct(
         F.struct(F.col("source_name").alias("source_dir"), F.lit(fv.ENCODING_NAME).alias("encoding")).alias("metadata"), "chunks")).alias("value"))
-    return src.explode_envelopes(packed).select("encoding", "chunk_id", "section_title", "token_count", F.md5("text").alias("text_md5"))
+    folder = shared_dir(spark, "envelopes")
+    packed.write.partitionBy("source_name").text(folder)
+    return src.scan_envelopes(spark, folder).select("encoding", "chunk_id", "section_title", "token_count", F.md5("text").alias("text_md5"))
 
 
 QUERIES["nested_chunk_scan"] = envelopes
@@ -135,8 +137,8 @@ SQL["nested_chunk_scan"] = (
 
 
 def globs(spark, sf):
-    pages = corpus(spark, sf)
-    parts = [pages.filter(F.endswith("source_name", F.lit("." + s))) for s in src.SUFFIXES]
+    folder = corpus_files(spark, sf)
+    parts = [src.scan_corpus(spark, folder, [suffix]) for suffix in src.SUFFIXES]
     return parts[0].unionByName(parts[1]).select("source_name")
 
 

@@ -63,16 +63,15 @@ QUERIES["conversation_delete"] = lambda spark, sf: conversation.delete_conversat
 SQL["conversation_delete"] = "SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
 QUERIES["vague_input"] = lambda spark, sf: read(spark, sf, "conversations").select(
     *ID, conversation.is_vague(F.when(F.length("text") % 2 == 0, F.array()).otherwise(F.array(F.lit("x"))),
-                               F.regexp_extract("text", "^(.*?)[.,]", 1)).alias("vague"))
-SQL["vague_input"] = f"SELECT conv_id, turn, length(text) % 2 = 0 AND len({sql_words(chr(39) * 0 + 'p')}) < 2 AS vague FROM (SELECT *, regexp_extract(text, '^(.*?)[.,]', 1) AS p FROM conversations)"
+                               F.col("text")).alias("vague"))
+SQL["vague_input"] = f"SELECT conv_id, turn, length(text) % 2 = 0 AND len({sql_words(chr(39) * 0 + 'p')}) < 2 AS vague FROM (SELECT *, text AS p FROM conversations)"
 
 
 def requests(spark, sf):
-    """Documents as requests; the history is their words, of some only four."""
+    """Documents as requests; the history is all their words."""
     docs = read(spark, sf, "documents")
     history = F.transform(text.words("text"), lambda w, i: F.struct(
         F.when(i % 9 == 8, "system").when(i % 2 == 0, "user").otherwise("assistant").alias("role"), w.alias("content")))
-    history = F.when(F.col("n_chars") % 3 == 0, F.slice(history, 1, 4)).otherwise(history)
     problem = conversation.request_problem(
         F.when(F.col("n_chars") % 13 == 0, "").otherwise(F.col("text")), history,
         F.when(F.col("lang") == "es", "spanish").otherwise("auto"), F.when(F.col("lang") == "de", "latin").otherwise("franco"))
@@ -82,7 +81,7 @@ def requests(spark, sf):
 
 QUERIES["request_validity"] = requests
 SQL["request_validity"] = (
-    f"WITH w AS (SELECT *, CASE WHEN n_chars % 3 = 0 THEN least(len({sql_words('text')}), 4) ELSE len({sql_words('text')}) END AS h FROM documents) SELECT doc_id, "
+    f"WITH w AS (SELECT *, len({sql_words('text')}) AS h FROM documents) SELECT doc_id, "
     "CASE WHEN n_chars % 13 = 0 OR length(text) = 0 THEN 'message is empty' WHEN length(text) > 2000 THEN 'message is too long' WHEN h > 20 THEN 'history is too long' "
     "WHEN h > 8 THEN 'history role is unknown' WHEN lang = 'es' THEN 'language preference is unknown' WHEN lang = 'de' THEN 'response script is unknown' ELSE 'ok' END AS reason FROM w"
 )
@@ -395,9 +394,9 @@ def scenarios(spark, sf):
 
 
 def predictions(spark, sf):
-    """Predictions drawn from the event of the same number; some are missing,
-    blocked, fallbacks or errors."""
-    e = read(spark, sf, "events").filter(F.col("event_type") != "signup")
+    """Predictions drawn from the event of the same number; some are blocked,
+    fallbacks or errors, and scenarios without an event have none."""
+    e = read(spark, sf, "events")
     labels = read(spark, sf, "labels")
     n, v = F.col("event_id"), F.col("value")
     right = F.when(F.col("toxic") == 1, "RED").when(F.col("quality") == 1, "GREEN").otherwise("YELLOW")
@@ -415,7 +414,7 @@ def scored(spark, sf):
 SCORED = (
     "sc AS (SELECT l.doc_id AS id, d.lang AS input_type, CASE WHEN toxic = 1 THEN 'RED' WHEN quality = 1 THEN 'GREEN' ELSE 'YELLOW' END AS expected_level, toxic = 1 AS should_escalate, l.doc_id % 4 = 0 AS should_ask_followup FROM labels l JOIN documents d USING (doc_id)), "
     "pr AS (SELECT e.event_id AS id, e.event_id % 13 = 0 AS blocked, e.event_id % 26 = 0 AS is_emergency, e.event_id % 17 = 0 AS used_fallback, CASE WHEN value > 40 THEN 'RED' WHEN e.event_id % 5 = 0 THEN 'YELLOW' ELSE expected_level END AS level, "
-    "e.event_id % 8 = 0 AS needs_clarification, value * 1.371313 AS latency, CASE WHEN e.event_id % 3 > 0 THEN CAST(e.event_id % 5 + 1 AS DOUBLE) END AS quality, CASE WHEN e.event_id % 19 = 0 THEN 'timeout ' || e.event_id END AS err FROM events e JOIN sc ON sc.id = e.event_id WHERE event_type <> 'signup'), "
+    "e.event_id % 8 = 0 AS needs_clarification, value * 1.371313 AS latency, CASE WHEN e.event_id % 3 > 0 THEN CAST(e.event_id % 5 + 1 AS DOUBLE) END AS quality, CASE WHEN e.event_id % 19 = 0 THEN 'timeout ' || e.event_id END AS err FROM events e JOIN sc ON sc.id = e.event_id), "
     f"jn AS (SELECT sc.*, pr.id IS NULL AS missing, coalesce(blocked, FALSE) AS guardrail_blocked, is_emergency, level, needs_clarification, coalesce(latency, 0) AS latency_ms, quality, CASE WHEN pr.id IS NULL THEN {q(evaluation.SKIPPED)} WHEN NOT blocked AND used_fallback THEN {q(evaluation.BY_RULES)} WHEN NOT blocked THEN err END AS error FROM sc LEFT JOIN pr USING (id)), "
     "scored AS (SELECT id, input_type, expected_level, should_escalate, should_ask_followup, CASE WHEN error IS NOT NULL THEN NULL WHEN guardrail_blocked THEN CASE WHEN is_emergency THEN 'RED' ELSE 'YELLOW' END ELSE level END AS actual_level, "
     "latency_ms, error, guardrail_blocked, CASE WHEN error IS NULL AND NOT guardrail_blocked THEN quality END AS response_quality, "
@@ -505,7 +504,8 @@ def evaluated_rules(spark, sf):
     """The rule triage itself, against levels taken from the labels."""
     docs = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
     phrases = F.array(*[F.lit(p) for p in USER_PHRASES])
-    asked = docs.select("doc_id", F.element_at(phrases, (F.col("doc_id") % len(USER_PHRASES) + 1).cast("int")).alias("text"))
+    phrase = F.element_at(phrases, (F.col("doc_id") % len(USER_PHRASES) + 1).cast("int"))
+    asked = docs.select("doc_id", F.concat("text", F.lit(" "), phrase).alias("text"))
     triaged = triage.triage_rules(asked, lexicon(spark), ["doc_id"], F.lit("english"))
     predicted = evaluate.predictions_from(triaged, "doc_id").withColumns({
         "used_fallback": F.lit(False), "latency_ms": F.lit(0.0), "quality": F.lit(None).cast("double"), "error": F.lit(None).cast("string")})
@@ -516,13 +516,14 @@ QUERIES["evaluate_rules"] = evaluated_rules
 
 
 def scenario_scan(spark, sf):
-    """Scenarios packed into nested documents of at most 500, then read
-    back."""
+    """Scenarios written as nested files of at most 500, then read back."""
     s = scenarios(spark, sf).select(
         F.col("id").cast("string").alias("id"), "input_type", F.col("expected_level").alias("expected_triage_level"),
         F.array(F.col("input_type")).alias("expected_conditions"), "should_escalate", "should_ask_followup")
     packed = s.groupBy("input_type", F.floor(F.col("id").cast("bigint") / 500).alias("file")).agg(F.collect_list(F.struct(*s.columns)).alias("scenarios"))
-    back = src.explode_scenarios(packed.select(F.to_json(F.struct("scenarios")).alias("value")))
+    folder = shared_dir(spark, "scenarios")
+    packed.select("input_type", "file", F.to_json(F.struct("scenarios")).alias("value")).write.partitionBy("input_type", "file").text(folder)
+    back = src.scan_scenarios(spark, folder)
     return back.select("id", "input_type", "expected_triage_level", "should_escalate", "should_ask_followup", F.array_join("expected_conditions", ",").alias("conditions"))
 
 
@@ -585,7 +586,7 @@ SQL["custom_tokeniser_chunks"] = (
 
 ASKED = (
     "messages_phrases AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(p)})" for i, p in enumerate(USER_PHRASES)) + ") AS v(no, phrase)), "
-    "messages AS (SELECT doc_id AS conv_id, CAST(0 AS BIGINT) AS turn, 'user' AS role, phrase AS text FROM labels JOIN documents USING (doc_id) "
+    "messages AS (SELECT doc_id AS conv_id, CAST(0 AS BIGINT) AS turn, 'user' AS role, documents.text || ' ' || phrase AS text FROM labels JOIN documents USING (doc_id) "
     f"JOIN messages_phrases ON no = doc_id % {len(USER_PHRASES)})"
 )
 SQL["evaluate_rules"] = (

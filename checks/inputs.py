@@ -8,13 +8,16 @@ exists twice: as a DataFrame and as a SQL common table expression.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symptia.functions import fixed_values as fv
 from symptia.functions.regexes import any_literal
-from symptia.session import spread
+from symptia.session import shared_dir, spread
 
 USER_PHRASES = [
     "my throat feels sore since monday",
@@ -237,6 +240,25 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_of(read(spark, sf_dir, "documents"))
 
 
+def corpus_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder in shared storage with every page as a file of its name, and
+    one file and one subfolder that no scan picks up."""
+    folder = shared_dir(spark, "corpus")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = pafs.FileSystem.from_uri(folder)
+        files.create_dir(f"{path}/deeper.txt", recursive=True)
+        for batch in batches:
+            for name, text in [*zip(*(c.to_pylist() for c in batch.columns)), ("notes.docx", "x"), ("deeper.txt/inner.txt", "x")]:
+                # a repeated attempt writes the same bytes again
+                with files.open_output_stream(f"{path}/{name}") as out:
+                    out.write((text or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    corpus(spark, sf_dir).select("source_name", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     rows = [(i, *r) for i, r in enumerate(LEXICON_ROWS)]
     return spark.createDataFrame(rows, "entry_no int, " + ", ".join(f"{c} string" for c in LEXICON_COLUMNS))

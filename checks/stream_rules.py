@@ -105,8 +105,7 @@ SQL["stream_repeat_suppression"] = flow_rules.SQL["repeat_prompt_suppression"]
 
 
 def stream_ingest(spark, sf):
-    docs = runner.read_table(spark, sf, "documents")
-    chunks = jobs.ingest_stream(inputs.corpus_of(docs))
+    chunks = jobs.ingest_stream(runner.read_corpus(spark, inputs.corpus_files(spark, sf)))
     return runner.append(chunks, "stream_ingest").select(*corpus_rules.COLUMNS, F.md5("text").alias("text_md5"))
 
 

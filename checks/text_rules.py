@@ -469,7 +469,7 @@ register(
 def well_formed():
     return F.to_json(F.struct(
     level().alias("triage_level"),
-    F.slice(text.words("text"), 1, 7).alias("possible_conditions"),
+    text.words("text").alias("possible_conditions"),
     F.array(F.lit("rest")).alias("recommended_actions")))
 
 

@@ -176,11 +176,9 @@ def ellipsis(c: Column | str, chars: int = fv.ERROR_CHARS) -> Column:
     return F.when(F.length(c) > chars, F.concat(truncate(c, chars), F.lit("..."))).otherwise(c)
 
 
-def _halves(x: Column) -> tuple[Column, Column]:
-    """A double as the exact sum of two that hold half its bits each."""
-    wide = x * F.lit(134217729.0)  # 2**27 + 1
-    high = wide - (wide - x)
-    return high, x - high
+def _upper(x: Column) -> Column:
+    """The upper half of a double's bits; the rest is exact in another."""
+    return bind(x * F.lit(134217729.0), lambda wide: wide - (wide - x))  # 2**27 + 1
 
 
 def rounded(c: Column | str, digits: int) -> Column:
@@ -193,20 +191,34 @@ def rounded(c: Column | str, digits: int) -> Column:
     the next smaller result is compared with one half without any error. From
     2**53 units on a double has no digits to lose.
     """
-    signed = as_col(c).cast("double")
-    x, scale = F.abs(signed), 10.0**digits
-    high, low = _halves(x)
+    scale = 10.0**digits
     top = scale * 134217729.0
     top = top - (top - scale)
-    product = x * F.lit(scale)
-    error = ((high * F.lit(top) - product) + high * F.lit(scale - top) + low * F.lit(top)) + low * F.lit(scale - top)
-    whole = F.floor(product).cast("double")
-    # a product rounded up to a whole number belongs to the one before
-    below = F.when((whole == product) & (error < 0), whole - 1).otherwise(whole)
-    over = (product - below) - F.lit(0.5)
-    up = (over > -error) | ((over == -error) & (below % 2 == 1))
-    result = F.when(F.isnan(x) | (product >= F.lit(2.0**53)), x).otherwise(F.when(up, below + 1).otherwise(below) / F.lit(scale))
-    return F.when(signed < 0, -result).otherwise(result)
+
+    def error(x: Column, product: Column) -> Column:
+        return bind(_upper(x), lambda high: bind(x - high, lambda low: (
+            (high * F.lit(top) - product) + high * F.lit(scale - top) + low * F.lit(top)) + low * F.lit(scale - top)))
+
+    def nearest(product: Column, rest: Column) -> Column:
+        # a product rounded up to a whole number belongs to the one before
+        whole = F.floor(product).cast("double")
+        below = F.when((whole == product) & (rest < 0), whole - 1).otherwise(whole)
+
+        def settle(low: Column) -> Column:
+            over = (product - low) - F.lit(0.5)
+            up = (over > -rest) | ((over == -rest) & (low % 2 == 1))
+            return F.when(up, low + 1).otherwise(low) / F.lit(scale)
+
+        return bind(below, settle)
+
+    def signless(x: Column) -> Column:
+        return bind(x * F.lit(scale), lambda product: F.when(F.isnan(x) | (product >= F.lit(2.0**53)), x).otherwise(
+            bind(error(x, product), lambda rest: nearest(product, rest))))
+
+    # every step is bound once: written out, a report of many rates would be
+    # more code than a generated method may hold
+    return bind(as_col(c).cast("double"), lambda value: bind(
+        signless(F.abs(value)), lambda result: F.when(value < 0, -result).otherwise(result)))
 
 
 def ordered_distinct(*parts: Column) -> Column:

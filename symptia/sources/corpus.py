@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +27,13 @@ SCENARIO_SCHEMA = (
 )
 
 
-def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """One page per text or Markdown file of a folder, not its subfolders;
-    bytes that are not UTF-8 become replacement characters. A folder without
-    such files has no pages."""
+def scan_corpus(spark: SparkSession, folder: str, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """One page per file of a folder with one of the suffixes, not those of its
+    subfolders; bytes that are not UTF-8 become replacement characters. A folder
+    without such files has no pages."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}")
-        .text(folder)
+        spark.read.option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
+        .text(folder, wholetext=True)
         .select(
             F.col("_metadata.file_name").alias("source_name"),
             F.lit(0).alias("page_number"),
@@ -103,9 +104,10 @@ def explode_envelopes(envelopes: DataFrame, value: str = "value") -> DataFrame:
 
 
 def scan_envelopes(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks out of nested chunk files."""
+    """Chunks out of nested chunk files, with the encoding they were counted
+    in."""
     files = spark.read.schema(ENVELOPE_SCHEMA).option("multiLine", True).json(path)
-    return files.select(F.explode("chunks").alias("c")).select("c.*")
+    return files.select("metadata.encoding", F.explode("chunks").alias("c")).select("encoding", "c.*")
 
 
 def scan_scenarios(spark: SparkSession, path: str) -> DataFrame:
