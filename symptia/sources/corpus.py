@@ -83,18 +83,41 @@ def manifest(pages: DataFrame, chunks: DataFrame, source_dir: str,
     )
 
 
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the versions of a sink that were committed, in order; a
+    folder that is not there has none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "version=*/manifest/_SUCCESS"))
+    return sorted(int(m.getPath().getParent().getParent().getName().split("=")[1]) for m in marks or ())
+
+
 def write_chunks(chunks: DataFrame, pages: DataFrame, source_dir: str, folder: str,
                  chunk_tokens: int = fv.CHUNK_TOKENS, overlap_tokens: int = fv.OVERLAP_TOKENS) -> DataFrame:
-    """Chunks as Parquet plus a manifest; returns the manifest.
+    """Chunks as Parquet plus a manifest, as a new version of the sink; returns
+    the manifest.
 
     Chunks are written first and counted from the written files, so the text
-    work runs once.
+    work runs once. The manifest, whose writer marks its success last, commits
+    the version: whatever fails before leaves the version before it in force,
+    and a later run overwrites the remains. One run writes at a time.
     """
-    chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-    written = chunks.sparkSession.read.schema(chunks.schema).parquet(f"{folder}/chunks")
+    spark = chunks.sparkSession
+    version = f"{folder}/version={max(_versions(spark, folder), default=0) + 1}"
+    chunks.write.mode("overwrite").parquet(f"{version}/chunks")
+    written = spark.read.schema(chunks.schema).parquet(f"{version}/chunks")
     row = manifest(pages, written, source_dir, chunk_tokens, overlap_tokens)
-    row.write.mode("overwrite").json(f"{folder}/manifest")
-    return chunks.sparkSession.read.schema(row.schema).json(f"{folder}/manifest")
+    row.write.mode("overwrite").json(f"{version}/manifest")
+    return spark.read.schema(row.schema).json(f"{version}/manifest")
+
+
+def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of the newest committed version of a sink; an error if there is
+    none."""
+    versions = _versions(spark, folder)
+    if not versions:
+        raise FileNotFoundError(f"no committed chunks in {folder}")
+    return spark.read.parquet(f"{folder}/version={versions[-1]}/chunks")
 
 
 def explode_envelopes(envelopes: DataFrame, value: str = "value") -> DataFrame:

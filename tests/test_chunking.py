@@ -55,12 +55,12 @@ def test_sections_are_as_of_the_start(spark):
 def test_corpus_scan_and_sinks(spark, tmp_path):
     src = tmp_path / "in"
     (src / "sub").mkdir(parents=True)
-    (src / "a_lung.txt").write_text("one two", encoding="utf-8")
+    (src / "a_lung.txt").write_text("one\n\ntwo", encoding="utf-8")
     (src / "b.md").write_bytes(b"caf\xe9 # x")
     (src / "c.pdf").write_bytes(b"x")
     (src / "sub" / "d.txt").write_text("hidden", encoding="utf-8")
     found = corpus.scan_corpus(spark, str(src))
-    assert {r.source_name: r.text for r in found.collect()} == {"a_lung.txt": "one two", "b.md": "caf� # x"}
+    assert {r.source_name: r.text for r in found.collect()} == {"a_lung.txt": "one\n\ntwo", "b.md": "caf� # x"}
     chunks, rejected = ingest.ingest(found)
     manifest = corpus.write_chunks(chunks, found, str(src), str(tmp_path / "out")).collect()[0]
     assert (manifest.files_processed, manifest.total_chunks, manifest.encoding) == (2, 2, "cl100k_base")
@@ -86,3 +86,24 @@ def test_failures_are_rows(spark):
     assert [r.source_name for r in valid.collect()] == ["a.txt"]
     assert {r.error for r in rejected.collect()} == {"b.docx: unsupported file type", "c.md: unreadable"}
     assert list(ingest.totals(df).collect()[0]) == [1, 1, 2]
+
+
+def test_a_failed_run_leaves_the_version_before(spark, tmp_path):
+    """A task that fails, and a stop between chunks and manifest."""
+
+    folder = str(tmp_path / "sink")
+    pages = spark.createDataFrame([("a.txt", 0, "one two"), ("b.txt", 0, "three")], "source_name string, page_number int, text string")
+    with pytest.raises(FileNotFoundError):
+        corpus.read_chunks(spark, folder)
+    corpus.write_chunks(chunking.chunk_pages(pages), pages, "x", folder)
+    first = sorted(r.text for r in corpus.read_chunks(spark, folder).collect())
+    assert first == ["one two", "three"]
+    more = pages.withColumn("text", F.concat("text", F.lit(" more")))
+    broken = chunking.chunk_pages(more).withColumn("text", F.when(F.col("source_name") == "b.txt", F.raise_error(F.lit("broken"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="broken"):
+        corpus.write_chunks(broken, more, "x", folder)
+    assert sorted(r.text for r in corpus.read_chunks(spark, folder).collect()) == first
+    chunking.chunk_pages(more).write.mode("overwrite").parquet(f"{folder}/version=2/chunks")
+    assert sorted(r.text for r in corpus.read_chunks(spark, folder).collect()) == first
+    row = corpus.write_chunks(chunking.chunk_pages(more), more, "x", folder).collect()[0]
+    assert row.total_chunks == 2 and sorted(r.text for r in corpus.read_chunks(spark, folder).collect()) == ["one two more", "three more"]
