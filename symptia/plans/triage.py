@@ -87,7 +87,7 @@ def triage_with_model(df: DataFrame, outputs: DataFrame, entries: DataFrame, id_
     """Triage with model outputs as a table (ids, verdict_text, reply_text); a
     NULL text means no provider answered. Replies are redacted and get the
     notice appended, as does the result's own notice."""
-    d = decide(df, entries, id_cols, context_col).withColumn("script", script).join(outputs, id_cols, "left")
+    d = join_on(decide(df, entries, id_cols, context_col).withColumn("script", script), outputs, id_cols, "left")
     step, s = F.col("step"), F.col("script")
     parsed = F.when((step == "open") & F.col("verdict_text").isNotNull(), parsing.parse_verdict(F.col("verdict_text")))
     d = d.withColumn("_v", parsed).withColumn("used_fallback", (step == "open") & F.col("verdict_text").isNull())
