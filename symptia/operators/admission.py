@@ -10,6 +10,13 @@ key from ending up whole in one task:
   admitted whatever came earlier, so the slice can start on its own from them;
 * inside an independent stretch the rows arrive sorted and are folded as they
   stream by, holding ``limit`` time stamps and nothing else.
+
+With a limit of one, stretches are divided as well, however busy the key: what
+a slice hands on is the last admitted time, and the slice as a whole maps the
+times it may be handed to those it may hand on (a jump table). Tables of
+neighbouring slices are joined pairwise, up to the whole stretch and down again
+to every slice, so a stretch of n slices takes 2 log2(n) joins and no task sees
+more than a slice.
 """
 
 from __future__ import annotations
@@ -17,14 +24,18 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symptia.functions import fixed_values as fv
 from symptia.functions.rows import join_on
+from symptia.session import materialise
 
 MIN_SLICE_SECONDS = 3600
+# The time handed on by a slice whose last admission blocks nothing after it.
+FREE = -(1 << 62)
 
 
 def _micros(ts: Column) -> Column:
@@ -61,28 +72,41 @@ def _admit(requests: DataFrame, key: str, ts: str, id_col: str, limit: int, seco
     rows = requests.withColumn("_t", _micros(F.col(ts))).withColumn("_slice", F.floor(F.col("_t") / slice_micros))
     tail = (F.col("_t") - F.col("_slice") * slice_micros) >= slice_micros - 2 * micros
 
-    slices = rows.groupBy(key, "_slice").agg(F.count_if(tail).alias("_tail"))
+    slices = rows.groupBy(key, "_slice").agg(F.count_if(tail).alias("_tail"), F.max("_t").alias("_last"))
     along = Window.partitionBy(key).orderBy("_slice")
     previous = F.lag("_slice").over(along)
     begins = previous.isNull() | (previous < F.col("_slice") - 1) | (F.lag("_tail").over(along) <= limit)
-    stretches = slices.withColumn("_begins", begins).select(
-        key, "_slice",
+    stretches = slices.withColumns({"_begins": begins, "_before": F.lag("_last").over(along)}).select(
+        key, "_slice", "_before",
         F.last(F.when(F.col("_begins"), F.col("_slice")), ignorenulls=True).over(along).alias("_stretch"),
     )
+    if limit == 1:
+        carried = _carried(rows, stretches, key, micros, slice_micros)
+        placed = join_on(rows.withColumn("_seed", F.lit(False)), carried, [key, "_slice"])
+        return _folded(placed, requests, key, "_slice", id_col, limit, micros)
 
     # a row seeds the next slice when that slice begins a stretch and the row
     # is still inside the window at its start
-    seeds_from = (F.col("_t") - F.col("_slice") * slice_micros) >= slice_micros - micros
-    placed = rows.withColumn("_s", F.explode(F.when(
-        seeds_from, F.array(F.struct(F.col("_slice").alias("s"), F.lit(False).alias("seed")),
-                            F.struct((F.col("_slice") + 1).alias("s"), F.lit(True).alias("seed")))
-    ).otherwise(F.array(F.struct(F.col("_slice").alias("s"), F.lit(False).alias("seed"))))))
-    placed = placed.withColumn("_slice", F.col("_s.s")).withColumn("_seed", F.col("_s.seed")).drop("_s")
-    joined = join_on(placed, stretches, [key, "_slice"]).filter(
+    placed = _with_seeds(rows, micros, slice_micros)
+    joined = join_on(placed, stretches.drop("_before"), [key, "_slice"]).filter(
         ~F.col("_seed") | (F.col("_stretch") == F.col("_slice"))
     )
-    ordered = joined.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", "_t", id_col)
+    return _folded(joined.withColumn("_carry", F.lit(FREE)), requests, key, "_stretch", id_col, limit, micros)
+
+
+def _with_seeds(rows: DataFrame, micros: int, slice_micros: int) -> DataFrame:
+    """Rows in the last window of a slice once more in the next, as ``_seed``."""
+    own = F.struct(F.col("_slice").alias("s"), F.lit(False).alias("seed"))
+    again = F.struct((F.col("_slice") + 1).alias("s"), F.lit(True).alias("seed"))
+    late = (F.col("_t") - F.col("_slice") * slice_micros) >= slice_micros - micros
+    placed = rows.withColumn("_s", F.explode(F.when(late, F.array(own, again)).otherwise(F.array(own))))
+    return placed.withColumn("_slice", F.col("_s.s")).withColumn("_seed", F.col("_s.seed")).drop("_s")
 
+
+def _folded(placed: DataFrame, requests: DataFrame, key: str, part: str, id_col: str, limit: int, micros: int) -> DataFrame:
+    """The fold over sorted parts of a key. A part starts from ``_carry``, an
+    admitted time, and from its seeds."""
+    ordered = placed.repartition(key, part).sortWithinPartitions(key, part, "_t", id_col)
     out = [*requests.columns, "_seed", "admitted", "retry_after"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
     schema += ", _seed boolean, admitted boolean, retry_after bigint"
@@ -91,10 +115,10 @@ def _admit(requests: DataFrame, key: str, ts: str, id_col: str, limit: int, seco
         current, window = None, deque()
         for pdf in batches:
             admitted, retry = [], []
-            for k, s, t, seed in zip(pdf[key], pdf["_stretch"], pdf["_t"], pdf["_seed"]):
+            for k, s, t, seed, carry in zip(pdf[key], pdf[part], pdf["_t"], pdf["_seed"], pdf["_carry"]):
                 k = None if pd.isna(k) else k
                 if (k, s) != current:
-                    current, window = (k, s), deque()
+                    current, window = (k, s), deque([carry])
                 if seed:
                     window.append(t)
                     ok, after = True, 0
@@ -107,6 +131,73 @@ def _admit(requests: DataFrame, key: str, ts: str, id_col: str, limit: int, seco
     return ordered.mapInPandas(fold, schema).filter(~F.col("_seed")).drop("_seed")
 
 
+# ------------------------------------------------- jump tables (limit of one)
+def jumps(times: np.ndarray, seeds: int, micros: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The jump table of a slice: (times handed to it, times handed on).
+
+    ``times`` rise strictly; the first ``seeds`` of them belong to the slice
+    before. From a time the next admission is the first one more than a window
+    later; following these steps to the end is pointer doubling.
+    """
+    at = np.arange(len(times))
+    to = np.searchsorted(times, times + micros, side="right")
+    last = np.where(to < len(times), to, at)
+    while not np.array_equal(last, last[last]):
+        last = last[last]
+    reached = np.append(times[last[:seeds]], times[last[seeds]])
+    return np.append(times[:seeds], FREE), np.where(reached < end - micros, FREE, reached)
+
+
+def _carried(rows: DataFrame, stretches: DataFrame, key: str, micros: int, slice_micros: int) -> DataFrame:
+    """(key, _slice, _carry): the last admitted time before each slice, FREE if
+    it no longer blocks any.
+
+    Between the slices of a stretch there are two rows or more in the last two
+    windows, so an admission always reaches the slice after its own.
+    """
+    start = F.col("_slice") * slice_micros
+    placed = materialise(stretches.select(
+        key, "_slice", "_stretch", (F.col("_slice") - F.col("_stretch")).alias("_seg"),
+        # before a stretch every row of the last window was admitted
+        F.when(F.col("_before") >= start - micros, F.col("_before")).otherwise(F.lit(FREE)).alias("_carry"),
+    ), "slices")
+    begun = placed.filter(F.col("_seg") == 0).select(key, "_stretch", "_seg", "_carry")
+    longest = placed.agg(F.max("_seg")).first()[0] or 0
+    if not longest:
+        return placed.select(key, "_slice", "_carry")
+
+    ends = placed.groupBy(key, "_stretch").agg(F.max("_seg").alias("_final"))
+    inner = join_on(placed, ends, [key, "_stretch"]).filter(F.col("_seg") < F.col("_final")).select(
+        key, "_slice", "_stretch", "_seg")
+    nodes = _with_seeds(rows.select(key, "_slice", "_t").distinct(), micros, slice_micros)
+    key_type = rows.schema[key].dataType.simpleString()
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_t")
+        end = (int(pdf["_slice"].iat[0]) + 1) * slice_micros
+        handed, on = jumps(pdf["_t"].to_numpy(), int(pdf["_seed"].sum()), micros, end)
+        return pd.DataFrame({"_stretch": pdf["_stretch"].iat[0], "_seg": pdf["_seg"].iat[0], "_x": handed, "_y": on}).assign(
+            **{key: pdf[key].iat[0]})[[key, "_stretch", "_seg", "_x", "_y"]]
+
+    level = materialise(join_on(nodes, inner, [key, "_slice"]).groupBy(key, "_slice").applyInPandas(
+        table, f"`{key}` {key_type}, _stretch bigint, _seg bigint, _x bigint, _y bigint"), "jumps")
+    levels = []
+    for _ in range(int(longest).bit_length()):  # up: tables of 1, 2, 4, ... slices
+        levels.append(level)
+        left = level.filter(F.col("_seg") % 2 == 0).select(
+            key, "_stretch", (F.col("_seg") + 1).alias("_seg"), F.col("_x").alias("_from"), F.col("_y").alias("_x"))
+        right = level.filter(F.col("_seg") % 2 == 1)
+        level = materialise(join_on(left, right, [key, "_stretch", "_seg", "_x"]).select(
+            key, "_stretch", F.floor(F.col("_seg") / 2).alias("_seg"), F.col("_from").alias("_x"), "_y"), "jumps")
+    known = begun
+    for level in reversed(levels):  # down: from the start of a pair to its middle
+        first = known.withColumn("_seg", F.col("_seg") * 2)
+        second = join_on(first.withColumnRenamed("_carry", "_x"), level, [key, "_stretch", "_seg", "_x"]).select(
+            key, "_stretch", (F.col("_seg") + 1).alias("_seg"), F.col("_y").alias("_carry"))
+        known = materialise(first.unionByName(second), "carried")
+    return join_on(placed.drop("_carry"), known, [key, "_stretch", "_seg"]).select(key, "_slice", "_carry")
+
+
 def prompt_key(system: Column, prompt: Column, temperature: Column, max_tokens: Column) -> Column:
     return F.sha2(F.concat_ws("||", system, prompt, temperature.cast("string"), max_tokens.cast("string")), 256)
 

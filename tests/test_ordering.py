@@ -4,6 +4,7 @@ holds most rows."""
 import random
 from collections import deque
 
+import numpy as np
 from pyspark.sql import functions as F
 import pytest
 
@@ -93,6 +94,44 @@ def test_admission_matches_a_plain_loop(spark, limit, seconds, gap):
             assert got[r[0]] == want
 
 
+@pytest.mark.parametrize("seconds", [60, 1800])
+def test_busy_keys_without_quiet_time_are_divided(spark, seconds):
+    """Steady traffic keeps its phase for ever, so no slice can start afresh;
+    still no task may hold the key. Ties, a null key and gaps beside it."""
+    rng = random.Random(seconds)
+    rows, t = [], {"steady": 0, "dense": 0, None: 0, "gaps": 0}
+    for i in range(12_000):
+        k = rng.choice(["steady", "steady", "dense", "dense", None, "gaps"])
+        t[k] += {"steady": 7, "dense": rng.choice([0, 0, 1, 20]), None: rng.randrange(40), "gaps": rng.choice([1, 50, seconds * 2])}[k]
+        rows.append((i, k, 1_700_000_000 + t[k]))
+    df = spark.createDataFrame(rows, "id int, k string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = admission.admit(df, "k", "ts", "id", 1, seconds).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = {r.id: (r.admitted, r.retry_after) for r in got}
+    assert len(got) == len(found) == len(rows)
+    for k in t:
+        group = sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], r[0]))
+        assert [found[r[0]] for r in group] == plain_admission([g[2] for g in group], 1, seconds)
+    assert len({r.task for r in got if r.k == "steady"}) >= 3
+
+
+def test_jump_tables_against_walking(spark):
+    rng = random.Random(3)
+    for _ in range(300):
+        micros, end = rng.choice([5, 17]), 100
+        seeds = sorted(rng.sample(range(-micros, 0), rng.randrange(micros)))
+        own = sorted(rng.sample(range(end), rng.randrange(1, 60)))
+        handed, on = admission.jumps(np.array(seeds + own), len(seeds), micros, end)
+        assert list(handed) == [*seeds, admission.FREE]
+        for x, y in zip(handed, on):
+            for t in own:
+                x = t if t - x > micros else x
+            assert y == (x if x >= end - micros else admission.FREE)
+
+
 def test_window_edge_still_counts(spark):
     df = spark.createDataFrame([(0, "k", 0), (1, "k", 60), (2, "k", 61)], "id int, k string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
     got = {r.id: (r.admitted, r.retry_after) for r in admission.admit(df, "k", "ts", "id", 1, 60).collect()}
