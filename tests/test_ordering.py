@@ -4,7 +4,6 @@ holds most rows."""
 import random
 from collections import deque
 
-import numpy as np
 from pyspark.sql import functions as F
 import pytest
 
@@ -95,9 +94,10 @@ def test_admission_matches_a_plain_loop(spark, limit, seconds, gap):
 
 
 @pytest.mark.parametrize("seconds", [60, 1800])
-def test_busy_keys_without_quiet_time_are_divided(spark, seconds):
+def test_busy_keys_without_quiet_time_are_divided(spark, seconds, monkeypatch):
     """Steady traffic keeps its phase for ever, so no slice can start afresh;
     still no task may hold the key. Ties, a null key and gaps beside it."""
+    monkeypatch.setattr(admission, "BUSY_ROWS", 200)
     rng = random.Random(seconds)
     rows, t = [], {"steady": 0, "dense": 0, None: 0, "gaps": 0}
     for i in range(12_000):
@@ -118,18 +118,30 @@ def test_busy_keys_without_quiet_time_are_divided(spark, seconds):
     assert len({r.task for r in got if r.k == "steady"}) >= 3
 
 
-def test_jump_tables_against_walking(spark):
-    rng = random.Random(3)
-    for _ in range(300):
-        micros, end = rng.choice([5, 17]), 100
-        seeds = sorted(rng.sample(range(-micros, 0), rng.randrange(micros)))
-        own = sorted(rng.sample(range(end), rng.randrange(1, 60)))
-        handed, on = admission.jumps(np.array(seeds + own), len(seeds), micros, end)
-        assert list(handed) == [*seeds, admission.FREE]
-        for x, y in zip(handed, on):
-            for t in own:
-                x = t if t - x > micros else x
-            assert y == (x if x >= end - micros else admission.FREE)
+@pytest.mark.parametrize("batch", [7, 100_000])
+def test_jump_tables_against_walking(spark, batch):
+    """Every slice, handed every time it may be handed, walked row by row."""
+    rng, micros, width = random.Random(batch), 17, 100
+    rows = []
+    for part in range(150):
+        k, start = rng.choice([None, "a", "b"]), part * width
+        seeds = rng.sample(range(start - micros, start), rng.randrange(micros))
+        own = rng.sample(range(start, start + width), rng.randrange(1, 60))
+        rows += [(k, part, t, t < start) for t in seeds + own]
+    nodes = spark.createDataFrame(rows, "k string, _slice bigint, _t bigint, _seed boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = admission._jump_tables(nodes, "k", micros, width).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    parts = {r[1]: r[0] for r in rows}
+    assert len(found) == sum(r[3] for r in rows) + len(parts)
+    for r in found:
+        x = r._x
+        for t in sorted(t for _, part, t, seed in rows if part == r._slice and not seed):
+            x = t if t - x > micros else x
+        assert r.k == parts[r._slice]
+        assert r._y == (x if x >= (r._slice + 1) * width - micros else admission.FREE)
 
 
 def test_window_edge_still_counts(spark):
