@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from symptia.functions import fixed_values as fv
 from symptia.functions import text
 from symptia.functions.rows import explode_rows
+from symptia.operators import trie
 from symptia.session import broadcast_if_small
 
 # Dictionaries become a literal in the plan up to this many keys, those of both
@@ -32,7 +33,6 @@ FIELDS = [
     "category", "body_system", "severity_hint",
 ]
 ORDER = ["pass_no", "n", "pos", "kind", "candidate", "entry_no"]
-GRAM = 3
 
 
 # -------------------------------------------------------------------- indexes
@@ -161,9 +161,8 @@ def latin_hits(
     """Latin-side hits.
 
     A small dictionary is a literal array filtered inside each row: no join at
-    all. A larger one is joined on three-character grams, every term by its
-    leading gram, and the survivors are verified, so the substring test never
-    becomes a cross join.
+    all. A larger one becomes a trie that every task runs over its texts; only
+    ids and terms meet the dictionary's other fields in a join.
     """
     index = key_index(lexicon, "latin")
     base = df.select(
@@ -180,22 +179,17 @@ def latin_hits(
         joined = explode_rows(base, [*id_cols, "_lowered", "_joined"], hits, "_e").select(
             *id_cols, "_lowered", "_joined", "_e.*"
         )
+        joined = joined.withColumn(
+            "_p", _latin_position(F.col("key"), _blanks(F.col("key")), F.col("_joined"), F.col("_lowered"))
+        ).filter(F.col("_p").isNotNull())
     else:
-        keyed = index.withColumn("_gram", F.substring("key", 1, GRAM))
-        lengths = range(1, GRAM + 1)
-        both = F.concat_ws("\n", "_lowered", "_joined")
-        grams = F.array_distinct(
-            F.concat(*[F.regexp_extract_all(both, F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1)) for g in lengths])
-        )
-        gram_rows = explode_rows(base, [*id_cols, "_lowered", "_joined"], grams, "_gram")
-        joined = gram_rows.join(broadcast_if_small(keyed), "_gram").drop("_gram")
-    return (
-        joined.withColumn("_p", _latin_position(F.col("key"), _blanks(F.col("key")), F.col("_joined"), F.col("_lowered")))
-        .filter(F.col("_p").isNotNull())
-        .select(
-            *id_cols, "_p.pass_no", "_p.n", "_p.pos", F.lit(1).alias("kind"), F.col("place").alias("candidate"),
-            "entry_no", *FIELDS, F.lit("latin").alias("matched_on"),
-        )
+        found = trie.found_terms(index, F.col("_joined"), F.col("_lowered"), MAX_WINDOW)
+        hits = explode_rows(base, id_cols, found, "_e").select(*id_cols, "_e.*")
+        joined = hits.join(broadcast_if_small(index), "key").select(
+            *id_cols, F.struct("pass_no", "n", "pos").alias("_p"), "place", "entry_no", *FIELDS)
+    return joined.select(
+        *id_cols, "_p.pass_no", "_p.n", "_p.pos", F.lit(1).alias("kind"), F.col("place").alias("candidate"),
+        "entry_no", *FIELDS, F.lit("latin").alias("matched_on"),
     )
 
 
