@@ -142,19 +142,27 @@ class Admission(StatefulProcessor):
     """Sliding-window admission in event time.
 
     A request waits until the watermark has passed its time, so requests are
-    decided in the order of their times however they arrive. State: the
-    waiting requests, and the admitted times still in the window, at most
-    ``limit`` of them; a timer lets both go. Requests that take no part
-    (``counts`` false, or no time) are answered at once and leave no trace.
+    decided in the order of their times however they arrive. Requests that take
+    no part (``counts`` false, or no time) are answered at once and leave no
+    trace.
+
+    State: a map of chunks of waiting requests, each in order, and a head with
+    the first time and the size of every chunk, the admitted times still in the
+    window (at most ``limit``) and the timer that lets all of it go. A batch
+    reads the chunks that begin before the watermark and the last one, if that
+    has room; all others stay untouched, however many wait.
     """
 
+    chunk = 512
+
     def __init__(self, limit: int, seconds: int, columns: list[str], id_type: str) -> None:
         self.limit, self.micros, self.columns, self.id_type = limit, seconds * 1_000_000, columns, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.window = handle.getListState("admitted", "t bigint")
-        self.waiting = handle.getListState("waiting", f"t bigint, request {self.id_type}")
+        self.head = handle.getValueState(
+            "head", "timer bigint, window array<bigint>, chunks array<bigint>, firsts array<bigint>, sizes array<bigint>")
+        self.waiting = handle.getMapState("waiting", "chunk bigint", f"times array<bigint>, requests array<{self.id_type}>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out, arrived = [], []
@@ -175,26 +183,54 @@ class Admission(StatefulProcessor):
         frame = pd.DataFrame(rows, columns=self.columns)
         return frame.astype({"admitted": "boolean", "retry_after": "Int64"})
 
+    def _take(self, chunk: int) -> list[tuple]:
+        times, requests = self.waiting.getValue((chunk,))
+        self.waiting.removeKey((chunk,))
+        return list(zip(times, requests))
+
     def _decide(self, key, arrived: list[tuple], timerValues) -> list[tuple]:
         past = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted([*(tuple(r) for r in (self.waiting.get() if self.waiting.exists() else ())), *arrived])
-        ready = [w for w in waiting if w[0] < past]
-        window = deque(r[0] for r in self.window.get()) if self.window.exists() else deque()
+        head = self.head.get() if self.head.exists() else None
+        if head is None and not arrived:
+            return []
+        timer, admitted, *index = head or (None, [], [], [], [])
+        chunks, rows = [], arrived
+        for chunk, first, size in zip(*index):  # in order of their numbers
+            if first < past:
+                rows = rows + self._take(chunk)
+            else:
+                chunks.append((chunk, first, size))
+        ready, ahead = _in_order(r for r in rows if r[0] < past), [r for r in rows if r[0] >= past]
+        window = deque(admitted)
         out = [(*key, i, *step(window, t, self.limit, self.micros)) for t, i in ready]
-        left = waiting[len(ready) :]
-        if window and not left and past > window[-1] + self.micros:
+        number = max(index[0], default=-1) + 1
+        if ahead and chunks and chunks[-1][2] < self.chunk:
+            ahead += self._take(chunks.pop()[0])
+        ahead = _in_order(ahead)
+        for start in range(0, len(ahead), self.chunk):
+            part = ahead[start : start + self.chunk]
+            self.waiting.updateValue((number,), ([t for t, _ in part], [i for _, i in part]))
+            chunks.append((number, part[0][0], len(part)))
+            number += 1
+        if window and not chunks and past > window[-1] + self.micros:
             window.clear()
-        for state, rows in ((self.window, [(int(t),) for t in window]), (self.waiting, left)):
-            if rows:
-                state.put(rows)
-            elif state.exists():
-                state.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if left or window:
-            due = left[0][0] if left else window[-1] + self.micros
-            self.handle.registerTimer(due // 1000 + 1)
+        due = min((first for _, first, _ in chunks), default=window[-1] + self.micros if window else None)
+        due = None if due is None else due // 1000 + 1
+        if due != timer:
+            if timer is not None and timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if due is not None:
+            self.head.update((due, list(window), *([list(c) for c in zip(*chunks)] or [[], [], []])))
+        elif head is not None:
+            self.head.clear()
         return out
 
     def close(self) -> None:
         pass
+
+
+def _in_order(requests) -> list[tuple]:
+    """By time, then id, as the batch job orders them; a NULL id comes first."""
+    return sorted(requests, key=lambda r: (r[0], r[1] is not None, r[1] if r[1] is not None else 0))

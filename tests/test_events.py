@@ -1,12 +1,14 @@
 import random
+from collections import deque
 
+import pandas as pd
 import pytest
 from checks.inputs import USER_PHRASES, lexicon
 from pyspark.sql import functions as F
 from symptia.functions import messages, text
 from symptia.operators import admission, events, lexicon as lex
 from symptia.plans import triage
-from symptia.streaming import jobs, runner
+from symptia.streaming import jobs, processors, runner
 
 EVENT = "m int, seq bigint, type string, content string, triage_level string, message string, force_red boolean"
 
@@ -138,6 +140,66 @@ def test_admission_stream_in_event_time_equals_its_batch_twin(spark, tmp_path):
     assert 0 < sum(r.cached for r in got) < len(got) == 151
 
 
+class Kept(dict):
+    """One state variable, or the timers, of a key; counts what is read."""
+
+    def __init__(self):
+        self.read = 0
+
+    exists = dict.__len__
+    getCurrentWatermarkInMs = lambda self: self["watermark"]
+    listTimers = dict.keys
+    registerTimer = lambda self, t: self.update_key(t, None)
+    deleteTimer = dict.pop
+    removeKey = dict.pop
+    get = lambda self: self["value"]
+
+    def update_key(self, key, value):
+        self[key] = value
+
+    updateValue = update_key
+
+    def update(self, value):
+        self["value"] = value
+
+    def getValue(self, key):
+        self.read += len(self[key][0])
+        return self[key]
+
+
+def admitted_behind(lag):
+    """Requests that wait until ``lag`` seconds have passed: rows, decisions in
+    the order they come, and the waiting requests each batch reads."""
+    job = processors.Admission(3, 60, ["k", "id", "admitted", "retry_after"], "bigint")
+    job.head, job.waiting, job.handle, clock = Kept(), Kept(), Kept(), Kept()
+    rng = random.Random(9)
+    rows = [(1_000_000 * (i + rng.randrange(40)), i) for i in range(12_000)]
+    decided, reads = [], []
+    for start in range(0, 12_000, 50):
+        clock["watermark"] = max(0, start - lag) * 1000
+        before = job.waiting.read
+        pdf = pd.DataFrame([(t, i, True) for t, i in rows[start : start + 50]], columns=["at_micros", "request", "counts"])
+        decided += [r for f in job.handleInputRows(("k",), iter([pdf]), clock) for r in f.itertuples(index=False)]
+        reads.append(job.waiting.read - before)
+        assert len(job.handle) == 1
+    clock["watermark"] = 10**9
+    decided += [r for f in job.handleExpiredTimer(("k",), clock, None) for r in f.itertuples(index=False)]
+    assert not job.head and not job.waiting and not job.handle
+    return rows, [tuple(r) for r in decided], reads
+
+
+def test_a_batch_of_admissions_touches_what_is_due(monkeypatch):
+    """Ten times as many requests wait; a batch reads no more of them, and all
+    are decided as a plain loop does."""
+    monkeypatch.setattr(processors.Admission, "chunk", 64)
+    (rows, few, few_reads), (_, many, many_reads) = admitted_behind(500), admitted_behind(5_000)
+    window, want = deque(), []
+    for t, i in sorted(rows):
+        want.append(("k", i, *admission.step(window, t, 3, 60_000_000)))
+    assert few == many == want
+    assert max(many_reads) <= 1.1 * max(few_reads) and max(many_reads) < 500
+
+
 def test_streams_read_tables_that_are_folders(spark, tmp_path):
     spark.range(6).repartition(3).write.parquet(str(tmp_path / "parts.parquet"))
     pa_file = tmp_path / "one.parquet"
