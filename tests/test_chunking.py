@@ -52,6 +52,25 @@ def test_sections_are_as_of_the_start(spark):
     assert list(got) == ["", "One", "One"]
 
 
+@pytest.mark.parametrize("block, levels", [(64, 2), (3, 2), (2, 1), (64, 0)])
+def test_sums_before(spark, monkeypatch, block, levels):
+    monkeypatch.setattr(chunking, "BLOCK", block)
+    sizes = [0, 1, 2, 3, 63, 64, 65, 200]
+    df = spark.createDataFrame([(n, [(7 * i) % 11 for i in range(n)]) for n in sizes], "n int, v array<int>")
+    got = df.select("n", "v", chunking.sums_before(F.col("v"), levels).alias("s")).collect()
+    assert len(got) == len(sizes)
+    for r in got:
+        assert r.s == [sum(r.v[:i]) for i in range(r.n)]
+
+
+def test_sections_by_bisection(spark):
+    for n in (0, 1, 2, 7, 8):
+        headings = F.array(*[F.struct(F.lit(5 * i + 2).alias("start"), F.lit(f"t{i}").alias("title")) for i in range(n)]).cast(
+            "array<struct<start:int,title:string>>")
+        got = spark.range(45).select("id", chunking.section_at(headings, F.col("id").cast("int")).alias("t")).collect()
+        assert all(r.t == next((f"t{i}" for i in reversed(range(n)) if 5 * i + 2 <= r.id), "") for r in got)
+
+
 def test_corpus_scan_and_sinks(spark, tmp_path):
     src = tmp_path / "in"
     (src / "sub").mkdir(parents=True)
