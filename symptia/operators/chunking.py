@@ -65,9 +65,13 @@ def section_headings(page: Column) -> Column:
 def section_at(headings: Column, offset: Column) -> Column:
     """Title of the last heading starting at or before the offset, else ''.
     Headings are in order of their starts."""
-    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
-    at = F.aggregate(steps, F.lit(0), lambda n, step: F.when(
-        F.get(headings, n + step - 1)["start"] <= offset, n + step).otherwise(n))
+    bits = F.length(F.bin(F.size(headings)))
+
+    def halve(n: Column, bit: Column) -> Column:
+        step = n + F.call_function("shiftleft", F.lit(1), bit)
+        return F.when(F.get(headings, step - 1)["start"] <= offset, step).otherwise(n)
+
+    at = F.aggregate(F.sequence(bits - 1, F.lit(0), F.lit(-1)), F.lit(0), halve)
     return F.coalesce(F.get(headings, at - 1)["title"], F.lit(""))
 
 
