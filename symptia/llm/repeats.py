@@ -1,13 +1,12 @@
 """Repeated passages, found with longest-previous-factor arrays.
 
 A position of a text is repeated when the ``LENGTH`` bytes from there start
-somewhere else too. In suffix order the candidates of a position are its
-neighbours; of these the previous and the next smaller position give the
-longest earlier match, so a position whose longest previous factor reaches
-``LENGTH`` is a later copy, and the same with larger positions tells a copy
-that comes again. Suffixes here are ordered by a fingerprint of their first
-``LENGTH`` bytes: equal beginnings stand next to each other, which is all that a
-threshold of ``LENGTH`` asks of the order.
+somewhere else too. In suffix order the previous and the next smaller position
+give the longest earlier match, so a position whose longest previous factor
+reaches ``LENGTH`` is a later copy, and the same with larger positions tells a
+copy that comes again. Suffixes are ordered by their first ``LENGTH`` bytes, as
+the threshold asks no more; a fingerprint only tells which have no equal, and
+those are left out of the order.
 
 To sort only what can match, each stretch of ``LENGTH`` bytes elects an anchor:
 the ``GRAM``-byte string in it with the smallest hash. Equal stretches elect
@@ -35,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +49,8 @@ SPREAD = LENGTH - GRAM  # places an anchor can have in a stretch, less one
 GROUP = 16_384
 #: Surroundings that are compared at a time, whole groups of them.
 PORTION = 4096
+#: Pairs of beginnings whose bytes are compared at a time.
+COMPARED = 16_384
 #: Bytes of surroundings a task holds.
 TASK_BYTES = 12 << 20
 CHUNK = 1 << 19
@@ -204,23 +206,75 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 7, AROUND)], schema=AROUND)
 
 
-def previous_and_next(order: np.ndarray, rank: np.ndarray, alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For positions in suffix order: whether the longest previous and the
-    longest next factor reach the threshold.
+def shared_beginnings(data: np.ndarray, start: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many bytes from ``start`` and from ``other`` on are equal, up to
+    ``LENGTH``."""
+    out = np.empty(len(start), np.int64)
+    beginnings = sliding_window_view(data, LENGTH)
+    for a in range(0, len(start), COMPARED):
+        part = slice(a, a + COMPARED)
+        differ = beginnings[start[part]] != beginnings[other[part]]
+        out[part] = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
+    return out
+
+
+def suffix_order(data: np.ndarray, start: np.ndarray, offset: np.ndarray, rank: np.ndarray,
+                 prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes by anchor offset, their first ``LENGTH`` bytes and
+    place, and the longest common prefix of each with the one before it (0
+    where the offsets differ).
 
-    ``rank`` numbers places in text order and ``alike`` tells whether a suffix
-    begins like the one before it in the order. Among suffixes that begin
-    alike the nearest smaller position is found by running minima, from the
-    left and from the right; it exists exactly if the least of the run is
-    smaller, and so for larger ones.
+    One suffix of each fingerprint is sorted by its bytes and stands for the
+    others; they are compared with it byte by byte, and should different
+    beginnings ever share a fingerprint, all are sorted.
     """
-    run = np.cumsum(~alike) - 1
-    starts = np.flatnonzero(~alike)
-    own = rank[order]
-    least, most = np.minimum.reduceat(own, starts)[run], np.maximum.reduceat(own, starts)[run]
-    earlier, later = np.empty(len(order), bool), np.empty(len(order), bool)
-    earlier[order], later[order] = least < own, most > own
-    return earlier, later
+    def by_bytes(which: np.ndarray) -> np.ndarray:
+        beginnings = sliding_window_view(data, LENGTH)[start[which]].view(f"S{LENGTH}").ravel()
+        order = np.argsort(beginnings, kind="stable")
+        order = order[np.argsort(offset[which][order], kind="stable")]
+        same = np.zeros(len(which), bool)
+        same[1:] = (beginnings[order[1:]] == beginnings[order[:-1]]) & (offset[which][order[1:]] == offset[which][order[:-1]])
+        number = np.empty(len(which), np.int64)
+        number[order] = np.cumsum(~same)
+        return number
+
+    def prefixes(order: np.ndarray) -> np.ndarray:
+        lcp = np.zeros(len(order), np.int64)
+        lcp[1:] = shared_beginnings(data, start[order[1:]], start[order[:-1]])
+        lcp[1:][offset[order[1:]] != offset[order[:-1]]] = 0
+        return lcp
+
+    _, first, kind = np.unique(prints, return_index=True, return_inverse=True)
+    number = by_bytes(first)[kind]
+    order = np.lexsort((rank, number))
+    lcp = prefixes(order)
+    if (lcp[1:][number[order[1:]] == number[order[:-1]]] < LENGTH).any():
+        order = np.lexsort((rank, by_bytes(np.arange(len(start)))))
+        lcp = prefixes(order)
+    return order, lcp
+
+
+def _nearest(rank: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The common prefix of each suffix with the nearest one before it in the
+    order whose rank is smaller; 0 where there is none. Suffixes point at their
+    neighbours, and pointers jump over what is not smaller."""
+    to, length = np.arange(-1, len(rank) - 1), lcp.copy()
+    todo = np.arange(len(rank))
+    while True:
+        todo = todo[to[todo] >= 0]
+        todo = todo[rank[to[todo]] >= rank[todo]]
+        if not len(todo):
+            return np.where(to >= 0, length, 0)
+        over = to[todo]
+        length[todo], to[todo] = np.minimum(length[todo], length[over]), to[over]
+
+
+def longest_previous_factors(rank: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For suffixes in order: how many bytes the longest match has that begins
+    at a smaller rank. It is the previous or the next smaller one in the order
+    that gives it."""
+    after = np.append(lcp[1:], 0)[::-1]
+    return np.maximum(_nearest(rank, lcp), _nearest(rank[::-1], after)[::-1])
 
 
 def matched(table: dict[str, np.ndarray], data: list[bytes], powers: Powers, keep_first: bool) -> np.ndarray:
@@ -230,7 +284,8 @@ def matched(table: dict[str, np.ndarray], data: list[bytes], powers: Powers, kee
     equal, as the anchor is part of them."""
     lengths = np.array([len(d) for d in data])
     base = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    hashes = Hashes(np.frombuffer(b"".join(data), np.uint8), powers)
+    joined = np.frombuffer(b"".join(data), np.uint8)
+    hashes = Hashes(joined, powers)
     offsets = np.arange(SPREAD + 1)
     # the stretch with the anchor at offset d starts d bytes before it
     inside = (offsets <= table["lo"][:, None]) & (LENGTH - offsets <= GRAM + table["hi"][:, None])
@@ -238,9 +293,13 @@ def matched(table: dict[str, np.ndarray], data: list[bytes], powers: Powers, kee
     row, offset = np.nonzero(inside)
     start = base[row] + table["lo"][row] - offset
     prints = mix(hashes.of(start, start + LENGTH) ^ (offset.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULTIPLIER))
-    order = np.argsort(prints, kind="stable")
-    alike = np.zeros(len(order), bool)
-    alike[1:] = prints[order[1:]] == prints[order[:-1]]
+    # what no other stretch has the fingerprint of has no match of this length
+    sorted_prints = np.sort(prints)
+    twice = sorted_prints[1:][sorted_prints[1:] == sorted_prints[:-1]]
+    if len(twice):
+        near = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, prints), len(twice) - 1)] == prints)
+    else:
+        near = np.zeros(0, np.int64)
     place = np.lexsort((table["pos"], table["h"], table["doc"]))
     rank = np.empty(len(place), np.int64)
     same = np.ones(len(place), bool)  # a text that is there twice is fetched twice
@@ -248,9 +307,13 @@ def matched(table: dict[str, np.ndarray], data: list[bytes], powers: Powers, kee
         table["pos"][place[1:]] != table["pos"][place[:-1]])
     rank[place] = np.cumsum(same)
     out = np.zeros(inside.shape, bool)
-    if len(order):
-        earlier, later = previous_and_next(order, rank[row], alike)
-        out[row, offset] = earlier if keep_first else earlier | later
+    if len(near):
+        row, offset, own = row[near], offset[near], rank[row[near]]
+        order, lcp = suffix_order(joined, start[near], offset, own, prints[near])
+        hit = longest_previous_factors(own[order], lcp) >= LENGTH
+        if not keep_first:  # a match may also begin later
+            hit |= longest_previous_factors(-own[order], lcp) >= LENGTH
+        out[row[order], offset[order]] = hit
     return out
 
 

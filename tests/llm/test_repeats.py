@@ -75,6 +75,37 @@ def test_rows_alike_in_id_and_text(docs):
     assert sorted(bytes(r.kept).decode() for r in kept) == sorted(t for _, t in rows)
 
 
+def brute_factors(texts, order, rank):
+    """Per suffix the longest match, up to LENGTH bytes, at a smaller rank."""
+    share = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    return [max([share(texts[i], texts[j]) for j in range(len(texts)) if rank[j] < rank[i]], default=0) for i in order]
+
+
+@pytest.mark.parametrize("prints", ["exact", "all alike"])
+def test_suffix_order_and_longest_previous_factors(prints):
+    rng = random.Random(3)
+    for length in (40, 200, 500):
+        data = np.array([rng.choice(b"ab") for _ in range(length + repeats.LENGTH)], np.uint8)
+        period = rng.randint(1, 60)
+        data[length // 4 :] = np.resize(data[:period], len(data) - length // 4)
+        start = np.arange(length)
+        texts = [data[i : i + repeats.LENGTH].tobytes() for i in start]
+        rank = np.array([rng.randint(0, length) for _ in start])  # with ties
+        codes = {t: i for i, t in enumerate(set(texts))}
+        own = np.array([codes[t] if prints == "exact" else 0 for t in texts], np.uint64)
+        order, lcp = repeats.suffix_order(data, start, np.zeros(length, np.int64), rank, own)
+        assert [texts[i] for i in order] == sorted(texts)
+        assert lcp[0] == 0 and (lcp[1:] == repeats.shared_beginnings(data, start[order[1:]], start[order[:-1]])).all()
+        for r in (rank, -rank):
+            assert repeats.longest_previous_factors(r[order], lcp).tolist() == brute_factors(texts, order, r)
+
+
+def test_suffixes_at_different_offsets_share_nothing():
+    data = np.frombuffer(b"x" * 300, np.uint8)
+    order, lcp = repeats.suffix_order(data, np.array([0, 1, 2]), np.array([1, 2, 1]), np.arange(3), np.array([5, 6, 5], np.uint64))
+    assert order.tolist() == [0, 2, 1] and lcp.tolist() == [0, repeats.LENGTH, 0]
+
+
 def test_edges(edges, docs):
     got = {r.doc_id: r.n_removed for r in repeats.removal_digests(edges).collect()}
     assert got[1] == got[2] == got[4] == 0 and got[7] == 200_000 and got[8] == 30_000
