@@ -83,6 +83,15 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
 def repeated_bits(table: DataFrame, bits: int, entries: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
     """The bitmap of the bits that more than one entry sets. ``entries``
     gives the bits of each entry of a batch, a row of them each."""
+    return _bitmap(table, bits, entries, "more")
+
+
+def seen_bits(table: DataFrame, bits: int, entries: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The bitmap of the bits that any entry sets."""
+    return _bitmap(table, bits, entries, "seen")
+
+
+def _bitmap(table: DataFrame, bits: int, entries: Callable[[pa.RecordBatch], np.ndarray], which: str) -> np.ndarray:
     schema = "segment int, seen binary, more binary"
     marks = table.mapInArrow(_marks(entries), schema)
     merged = (
@@ -91,9 +100,9 @@ def repeated_bits(table: DataFrame, bits: int, entries: Callable[[pa.RecordBatch
         .groupBy("segment").applyInPandas(lambda rows: _merge(rows), schema)
     )
     bitmap = np.zeros(bits // 8, np.uint8)
-    for row in merged.select("segment", "more").toLocalIterator():
+    for row in merged.select("segment", F.col(which).alias("set")).toLocalIterator():
         flags = np.zeros(SEGMENT_BITS, np.uint8)
-        flags[_unpacked(bytes(row.more))] = 1
+        flags[_unpacked(bytes(row.set))] = 1
         at = row.segment * SEGMENT_BITS // 8
         bitmap[at : at + SEGMENT_BITS // 8] = np.packbits(flags)
     return bitmap

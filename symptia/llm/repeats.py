@@ -23,8 +23,10 @@ equal anchors at equal places.
    around them, again and again, until groups are small; at the end a group
    shares one whole stretch.
 
-Only numbers are shuffled in steps 1 and 2; texts are shuffled once, to fetch
-surroundings and to cut the repeated stretches, and once more if step 4 occurs.
+Only numbers are shuffled in steps 1 and 2. Texts are shuffled to fetch
+surroundings (once more if step 4 occurs) and to cut the repeated stretches, and
+of them only those that a Bloom filter says to have such; the joins are sorted
+ones at every size.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symptia.llm.bloom import filter_bits, holds, repeated_bits
-from symptia.llm.common import byte_values, documents, materialise, pieces_of
+from symptia.llm.bloom import filter_bits, holds, repeated_bits, seen_bits
+from symptia.llm.common import byte_values, documents, materialise, pieces_of, release
 
 LENGTH = 200
 GRAM = 73
@@ -445,6 +447,25 @@ def cut(text: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
+def _row_bits(batch: pa.RecordBatch, bits: int) -> np.ndarray:
+    doc, h = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in (0, 1))
+    return bits_of(mix(h ^ mix(doc)), bits)
+
+
+def _marked(keyed: DataFrame, owners: DataFrame) -> DataFrame:
+    """The rows with ``near``: false for most that are not among the written
+    ``owners`` (doc, h), by a Bloom filter of these. So texts that have nothing
+    to meet are not shuffled."""
+    bits = filter_bits(owners.agg(F.approx_count_distinct(F.xxhash64("doc", "h"))).first()[0])
+    bitmap = keyed.sparkSession.sparkContext.broadcast(
+        seen_bits(owners.select("doc", "h"), bits, lambda batch: _row_bits(batch, bits)))
+
+    def check(doc: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array(holds(bitmap.value, _row_bits(pa.record_batch([doc, h], ["doc", "h"]), bits)))
+
+    return keyed.withColumn("near", F.arrow_udf(check, "boolean")("doc", "h"))
+
+
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_first: bool = True) -> DataFrame:
     """doc_id, text (null as it is), and spans: the byte ranges covered by
     repeated stretches, merged (array of structs start, end; null for none).
@@ -477,26 +498,36 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_f
         F.min(F.struct("doc", "h", "pos", "lo", "hi")).alias("first"), F.count(F.lit(1)).alias("n")), "surroundings")
     several = alike.filter("n > 1").select("gram", "around", F.col("first").alias("_first"))
     first = F.struct("_first.doc", "_first.h", "_first.pos")
-    whole = places.join(several, ["gram", "around"])
-    whole = (whole.filter(place != first) if keep_first else whole).select(
-        "doc", "h", (F.col("pos") - F.col("lo")).alias("start"), (F.col("pos") + GRAM + F.col("hi")).alias("end"))
+    whole = places.join(several.hint("merge"), ["gram", "around"])
+    whole = materialise((whole.filter(place != first) if keep_first else whole).select(
+        "doc", "h", (F.col("pos") - F.col("lo")).cast("int").alias("start"),
+        (F.col("pos") + GRAM + F.col("hi")).cast("int").alias("end")), "spans")
+    release(places)
     kinds = alike.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    wanted = materialise(alike.join(kinds, "gram").select("gram", "first.*", "kinds"), "wanted")
+    wanted = materialise(alike.join(kinds.hint("merge"), "gram").select("gram", "first.*", "kinds"), "wanted")
+    release(alike)
     n_wanted, most = wanted.agg(F.count(F.lit(1)), F.max("kinds")).first()
+    holders = _marked(keyed, wanted).filter("near").drop("near")
 
     def around(part: DataFrame) -> DataFrame:
         per_text = part.groupBy("doc", "h").agg(F.collect_list(F.struct("pos", "gram", "lo", "hi")).alias("wanted"))
-        return keyed.join(per_text, ["doc", "h"]).select("doc", "h", "doc_id", "text", "wanted").mapInArrow(
+        return holders.join(per_text.hint("merge"), ["doc", "h"]).select("doc", "h", "doc_id", "text", "wanted").mapInArrow(
             _fetch, "doc long, h long, pos int, key long, lo short, hi short, data binary")
 
     calm = around(wanted.filter(F.col("kinds") <= GROUP))
-    spans = whole.select("doc", "h", F.col("start").cast("int"), F.col("end").cast("int")).unionByName(
+    spans = whole.unionByName(
         _in_tasks(calm, n_wanted).mapInArrow(_compare(keep_first), "doc long, h long, start int, end int"))
     if most is not None and most > GROUP:
         hot = materialise(around(wanted.filter(F.col("kinds") > GROUP)), "hot")
         spans = spans.unionByName(_crowded_spans(hot, keep_first))
+    spans = materialise(spans, "spans")
+    release(whole, wanted)
+    marked = _marked(keyed, spans)
     per_text = spans.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return keyed.join(per_text, ["doc", "h"], "left").select("doc", "h", "doc_id", "text", "spans")
+    hit = marked.filter("near").join(per_text.hint("merge"), ["doc", "h"], "left").select("doc", "h", "doc_id", "text", "spans")
+    rest = marked.filter(~F.col("near")).select(
+        "doc", "h", "doc_id", "text", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
+    return hit.unionByName(rest)
 
 
 def _removed(derive, schema: pa.Schema):
