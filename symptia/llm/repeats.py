@@ -48,11 +48,11 @@ GRAM = 73
 SPREAD = LENGTH - GRAM  # places an anchor can have in a stretch, less one
 #: Different surroundings of an anchor (or of a longer string around it) that
 #: are put in order together.
-GROUP = 16_384
+GROUP = 8192
 #: Surroundings that are compared at a time, whole groups of them.
-PORTION = 4096
+PORTION = 1024
 #: Pairs of beginnings whose bytes are compared at a time.
-COMPARED = 16_384
+COMPARED = 8192
 #: Bytes of surroundings a task holds.
 TASK_BYTES = 12 << 20
 CHUNK = 1 << 19
@@ -230,22 +230,23 @@ def suffix_order(data: np.ndarray, start: np.ndarray, offset: np.ndarray, rank:
     others; they are compared with it byte by byte, and should different
     beginnings ever share a fingerprint, all are sorted.
     """
+    def prefixes(order: np.ndarray) -> np.ndarray:
+        lcp = np.zeros(len(order), np.int64)
+        lcp[1:] = shared_beginnings(data, start[order[1:]], start[order[:-1]])
+        lcp[1:][offset[order[1:]] != offset[order[:-1]]] = 0
+        return lcp
+
     def by_bytes(which: np.ndarray) -> np.ndarray:
         beginnings = sliding_window_view(data, LENGTH)[start[which]].view(f"S{LENGTH}").ravel()
         order = np.argsort(beginnings, kind="stable")
+        del beginnings
         order = order[np.argsort(offset[which][order], kind="stable")]
         same = np.zeros(len(which), bool)
-        same[1:] = (beginnings[order[1:]] == beginnings[order[:-1]]) & (offset[which][order[1:]] == offset[which][order[:-1]])
+        same[1:] = prefixes(which[order])[1:] == LENGTH
         number = np.empty(len(which), np.int64)
         number[order] = np.cumsum(~same)
         return number
 
-    def prefixes(order: np.ndarray) -> np.ndarray:
-        lcp = np.zeros(len(order), np.int64)
-        lcp[1:] = shared_beginnings(data, start[order[1:]], start[order[:-1]])
-        lcp[1:][offset[order[1:]] != offset[order[:-1]]] = 0
-        return lcp
-
     _, first, kind = np.unique(prints, return_index=True, return_inverse=True)
     number = by_bytes(first)[kind]
     order = np.lexsort((rank, number))
