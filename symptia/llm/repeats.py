@@ -48,7 +48,7 @@ GRAM = 73
 SPREAD = LENGTH - GRAM  # places an anchor can have in a stretch, less one
 #: Different surroundings of an anchor (or of a longer string around it) that
 #: are put in order together.
-GROUP = 8192
+GROUP = 16_384
 #: Surroundings that are compared at a time, whole groups of them.
 PORTION = 1024
 #: Pairs of beginnings whose bytes are compared at a time.
@@ -289,28 +289,31 @@ def matched(table: dict[str, np.ndarray], data: list[bytes], powers: Powers, kee
     base = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     joined = np.frombuffer(b"".join(data), np.uint8)
     hashes = Hashes(joined, powers)
-    offsets = np.arange(SPREAD + 1)
-    # the stretch with the anchor at offset d starts d bytes before it
-    inside = (offsets <= table["lo"][:, None]) & (LENGTH - offsets <= GRAM + table["hi"][:, None])
-    inside &= (offsets >= table["from"][:, None]) & (offsets <= table["to"][:, None])
-    row, offset = np.nonzero(inside)
-    start = base[row] + table["lo"][row] - offset
-    prints = mix(hashes.of(start, start + LENGTH) ^ (offset.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULTIPLIER))
-    # what no other stretch has the fingerprint of has no match of this length
-    sorted_prints = np.sort(prints)
-    twice = sorted_prints[1:][sorted_prints[1:] == sorted_prints[:-1]]
-    if len(twice):
-        near = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, prints), len(twice) - 1)] == prints)
-    else:
-        near = np.zeros(0, np.int64)
     place = np.lexsort((table["pos"], table["h"], table["doc"]))
     rank = np.empty(len(place), np.int64)
     same = np.ones(len(place), bool)  # a text that is there twice is fetched twice
     same[1:] = (table["doc"][place[1:]] != table["doc"][place[:-1]]) | (table["h"][place[1:]] != table["h"][place[:-1]]) | (
         table["pos"][place[1:]] != table["pos"][place[:-1]])
     rank[place] = np.cumsum(same)
-    out = np.zeros(inside.shape, bool)
-    if len(near):
+    out = np.zeros((len(data), SPREAD + 1), bool)
+    # equal stretches hold their anchor at the same offset, so a large group is
+    # worked off a few offsets at a time
+    width = max(1, PORTION * (SPREAD + 1) // max(1, len(data)))
+    for low in range(0, SPREAD + 1, width):
+        offsets = np.arange(low, min(low + width, SPREAD + 1))
+        # the stretch with the anchor at offset d starts d bytes before it
+        inside = (offsets <= table["lo"][:, None]) & (LENGTH - offsets <= GRAM + table["hi"][:, None])
+        inside &= (offsets >= table["from"][:, None]) & (offsets <= table["to"][:, None])
+        row, offset = np.nonzero(inside)
+        offset += low
+        start = base[row] + table["lo"][row] - offset
+        prints = mix(hashes.of(start, start + LENGTH) ^ (offset.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULTIPLIER))
+        # what no other stretch has the fingerprint of has no match of this length
+        sorted_prints = np.sort(prints)
+        twice = sorted_prints[1:][sorted_prints[1:] == sorted_prints[:-1]]
+        if not len(twice):
+            continue
+        near = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, prints), len(twice) - 1)] == prints)
         row, offset, own = row[near], offset[near], rank[row[near]]
         order, lcp = suffix_order(joined, start[near], offset, own, prints[near])
         hit = longest_previous_factors(own[order], lcp) >= LENGTH
