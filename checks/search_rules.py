@@ -12,7 +12,7 @@ from symptia.functions import text
 from symptia.operators import collection as coll
 from symptia.operators import hooks, retrieval
 from symptia.plans import search
-from symptia.session import materialise
+from symptia.session import materialise, shared_dir
 
 QUERIES, SQL = {}, {}
 R = 6  # digits compared
@@ -103,6 +103,26 @@ SQL["collection_info"] = (
     f"WITH {UPSERTED} SELECT 'documents' AS name, count(*) AS count, CAST(0.7 AS DOUBLE) AS alpha FROM merged UNION ALL SELECT 'after reset', 0, CAST(0.7 AS DOUBLE)"
 )
 
+
+
+def stored(spark, sf):
+    """The same upsert as a delta of a stored collection, then the toxic ones
+    taken out."""
+    existing, batch = _existing_and_batch(spark, sf)
+    folder = shared_dir(spark, "collection")
+    coll.write_base(existing, folder)
+    coll.write_upsert(batch, folder)
+    coll.write_removal(read(spark, sf, "labels").filter("toxic = 1").select(F.concat(F.lit("c"), "doc_id").alias("id")), folder)
+    return coll.read_stored(spark, folder)
+
+
+QUERIES["stored_collection"] = lambda spark, sf: stored(spark, sf).select(
+    "id", F.md5("text").alias("text_md5"), "metadata.source_name", "metadata.medical_category")
+SQL["stored_collection"] = (
+    f"WITH {UPSERTED} SELECT id, md5(text) AS text_md5, source_name, medical_category FROM merged "
+    "WHERE NOT EXISTS (SELECT 1 FROM labels WHERE toxic = 1 AND 'c' || labels.doc_id = merged.id)"
+)
+
 # ------------------------------------------------------------------- vectors
 QUERIES["metadata_filtered_search"] = lambda spark, sf: retrieval.nearest(
     as_queries(spark, sf), vectors(spark, sf), 3, {"label": 2}).select("query_id", "id", "rank", F.round("vector_score", R).alias("vector_score"))
