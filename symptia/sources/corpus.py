@@ -126,10 +126,19 @@ def explode_envelopes(envelopes: DataFrame, value: str = "value") -> DataFrame:
     return parsed.select("e.metadata", F.explode("e.chunks").alias("c")).select("metadata.encoding", "c.*")
 
 
-def scan_envelopes(spark: SparkSession, path: str) -> DataFrame:
+def write_envelopes(chunks: DataFrame, folder: str) -> None:
+    """One nested document per source, one a line, in as many files as there
+    are tasks."""
+    per_file = chunks.groupBy("source_name").agg(F.collect_list(F.struct(*chunks.columns)).alias("chunks"))
+    metadata = F.struct(F.col("source_name").alias("source_dir"), F.lit(fv.ENCODING_NAME).alias("encoding"))
+    per_file.select(F.to_json(F.struct(metadata.alias("metadata"), "chunks")).alias("value")).write.text(folder)
+
+
+def scan_envelopes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Chunks out of nested chunk files, with the encoding they were counted
-    in."""
-    files = spark.read.schema(ENVELOPE_SCHEMA).option("multiLine", True).json(path)
+    in. A file is one document, or with ``lines`` holds one a line; such files
+    are split among tasks."""
+    files = spark.read.schema(ENVELOPE_SCHEMA).option("multiLine", not lines).json(path)
     return files.select("metadata.encoding", F.explode("chunks").alias("c")).select("encoding", "c.*")
 
 

@@ -99,6 +99,19 @@ def test_nested_files(spark, tmp_path):
     assert (row.input_text, row.should_escalate, row.notes) == ("وجع", True, None)
 
 
+def test_nested_documents_share_files(spark, tmp_path):
+    """As many files as tasks, however many sources."""
+    pages = spark.createDataFrame([(f"{i}.txt", 0, f"# Part {i}\none two") for i in range(200)], "source_name string, page_number int, text string")
+    chunks = chunking.chunk_pages(pages)
+    folder = str(tmp_path / "nested")
+    corpus.write_envelopes(chunks.coalesce(1), folder)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(list((tmp_path / "nested").rglob("*.txt"))) <= tasks
+    back = corpus.scan_envelopes(spark, folder, lines=True)
+    assert set(back.select("encoding").distinct().toPandas()["encoding"]) == {"cl100k_base"}
+    assert sorted(map(tuple, back.select(*chunks.columns).collect())) == sorted(map(tuple, chunks.collect()))
+
+
 def test_failures_are_rows(spark):
     df = spark.createDataFrame([("a.txt", 0, "ok"), ("b.docx", 0, "x"), ("c.md", 0, None)], "source_name string, page_number int, text string")
     valid, rejected = corpus.split_readable(df)
