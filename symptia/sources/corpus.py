@@ -31,15 +31,19 @@ def scan_corpus(spark: SparkSession, folder: str, suffixes: Sequence[str] = SUFF
     """One page per file of a folder with one of the suffixes, not those of its
     subfolders; bytes that are not UTF-8 become replacement characters. A folder
     without such files has no pages."""
-    return (
-        spark.read.option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
-        .text(folder, wholetext=True)
-        .select(
-            F.col("_metadata.file_name").alias("source_name"),
-            F.lit(0).alias("page_number"),
-            F.make_valid_utf8("value").alias("text"),
-        )
-    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(folder)
+    return files.select(*file_page())
+
+
+def file_page() -> list[Column]:
+    """The page of a file that was read whole as bytes. The text reader takes
+    about six times as long to open a small file, and opens it for its name
+    alone; the name of a file read as bytes needs no content."""
+    return [
+        F.col("_metadata.file_name").alias("source_name"),
+        F.lit(0).alias("page_number"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
+    ]
 
 
 def supported(name: Column) -> Column:

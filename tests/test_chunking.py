@@ -112,6 +112,15 @@ def test_nested_documents_share_files(spark, tmp_path):
     assert sorted(map(tuple, back.select(*chunks.columns).collect())) == sorted(map(tuple, chunks.collect()))
 
 
+def test_names_of_files_need_no_content(spark, tmp_path):
+    for name in ("a.txt", "b.md", "c.pdf"):
+        (tmp_path / name).write_text("x")
+    names = corpus.scan_corpus(spark, str(tmp_path)).select("source_name")
+    assert sorted(r.source_name for r in names.collect()) == ["a.txt", "b.md"]
+    scan = names._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan binaryFile" in scan and "content" not in scan
+
+
 def test_failures_are_rows(spark):
     df = spark.createDataFrame([("a.txt", 0, "ok"), ("b.docx", 0, "x"), ("c.md", 0, None)], "source_name string, page_number int, text string")
     valid, rejected = corpus.split_readable(df)
