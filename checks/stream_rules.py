@@ -106,7 +106,7 @@ SQL["stream_repeat_suppression"] = flow_rules.SQL["repeat_prompt_suppression"]
 
 def stream_ingest(spark, sf):
     chunks = jobs.ingest_stream(runner.read_corpus(spark, inputs.corpus_files(spark, sf)))
-    return runner.append(chunks, "stream_ingest").select(*corpus_rules.COLUMNS, F.md5("text").alias("text_md5"))
+    return runner.append(chunks, "stream_ingest", settings=runner.SMALL_FILES).select(*corpus_rules.COLUMNS, F.md5("text").alias("text_md5"))
 
 
 QUERIES["stream_ingest"] = stream_ingest

@@ -121,6 +121,16 @@ def test_names_of_files_need_no_content(spark, tmp_path):
     assert "FileScan binaryFile" in scan and "content" not in scan
 
 
+def test_micro_batches_do_not_grow_with_files(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in range(600):
+        (source / f"f{i}.txt").write_text(f"text {i}")
+    out = runner.append(jobs.ingest_stream(runner.read_corpus(spark, str(source))), "many", str(tmp_path / "out"), settings=runner.SMALL_FILES)
+    assert out.select("chunk_id").distinct().count() == 600
+    assert len(list((tmp_path / "out" / "checkpoint" / "commits").glob("[0-9]*"))) == 1
+
+
 def test_failures_are_rows(spark):
     df = spark.createDataFrame([("a.txt", 0, "ok"), ("b.docx", 0, "x"), ("c.md", 0, None)], "source_name string, page_number int, text string")
     valid, rejected = corpus.split_readable(df)
