@@ -32,9 +32,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the document with the smallest id."""
+    """Of near copies the document with the smallest id: those whose SimHash
+    fingerprints op7 links, and those that share four fifths of their shingles."""
     small_batches(spark)
-    return near_copies.keep_first(docs)
+    return near_copies.keep_first(docs, fingerprints=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

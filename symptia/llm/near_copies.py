@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from symptia.llm import simhash
 from symptia.llm.common import byte_values, documents, materialise, pieces_of, release
 from symptia.llm.components import Forest, components, edge_batch
-from symptia.llm.simhash import BATCH_BYTES, shingle_hashes
+from symptia.llm.simhash import BATCH_BYTES, fingerprint, shingle_hashes
 from symptia.session import broadcast_if_small
 
 SHINGLE = 5
@@ -49,7 +50,7 @@ HOT = 1 << 18
 #: Forests of a tile in a round, times the round before.
 MORE = 4
 
-PRINTS = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("n", pa.int32()),
+PRINTS = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()),
                     ("wide", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
 
@@ -98,18 +99,21 @@ def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def outlines(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc, h, node, n, wide, prefix) of every row of a keyed table."""
+    """(doc, h, node, fp, n, wide, prefix) of every row of a keyed table; ``fp``
+    is the fingerprint that op7 gives the text."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, BATCH_BYTES):
-            sets = [shingle_set(t) for t in byte_values(batch.column("text"))]
+            texts = byte_values(batch.column("text"))
+            sets = [shingle_set(t) for t in texts]
+            marks = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("h"), pa.array([name_of(s) for s in sets], pa.int64()),
+                [batch.column("doc"), batch.column("h"), pa.array([name_of(s) for s in sets], pa.int64()), pa.array(marks),
                  pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], PRINTS.field("wide").type),
                  pa.array([prefix(s, shared.value).view(np.int64) for s in sets], PRINTS.field("prefix").type)], schema=PRINTS)
 
-    return docs.mapInArrow(run, "doc long, h long, node long, n int, wide array<long>, prefix array<long>")
+    return docs.mapInArrow(run, "doc long, h long, node long, fp long, n int, wide array<long>, prefix array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -291,9 +295,20 @@ def mixed_tiles(members: DataFrame, roots: DataFrame, sketches: DataFrame, live:
     return rows.join(sketches, "node").select(TILE)
 
 
-def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes whose fingerprints are the same or at most
+    four bits apart, as many as connect them."""
+    heads = materialise(prints.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = prints.select("fp", "node").join(heads, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    ends = simhash.links(heads.select("fp"))
+    apart = ends.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(
+        heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return materialise(same.unionByName(apart).filter("a <> b").distinct(), "links")
+
+
+def links(docs: DataFrame, prints: DataFrame, given: DataFrame | None = None) -> DataFrame:
     """Edges that hold together the components of near copies, as a written
-    table."""
+    table; ``given`` edges are among them."""
     nodes = materialise(prints.select("node", "n", "wide", "prefix").dropDuplicates(["node"]), "nodes")
     sketches = nodes.select("node", "n", "wide")
     keys = nodes.select("node", F.explode("prefix").alias("key"))
@@ -303,6 +318,9 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     joined = near(tried, docs, prints)
     refused = materialise(tried.join(joined, ["a", "b"], "left_anti").select(F.lit(None).cast("long").alias("tile"), "a", "b"), "refused")
     release(tried)
+    if given is not None:
+        found, joined = joined, materialise(joined.unionByName(given), "links")
+        release(found, given)
     live = None
     for number in count():
         roots = materialise(components(joined), "roots")
@@ -329,13 +347,13 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
         joined, refused = every, known
 
 
-def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerprints: bool = False) -> DataFrame:
     """(doc, h, root) of every row: rows with one root are near copies. ``doc``
     is the id (null as 0) and ``h`` tells its text, so that every job finds a
     row alike."""
     docs = keyed(documents(docs, doc_id, text))
     prints = materialise(outlines(docs, hot_shingles(docs)), "outlines")
-    joined = links(docs, prints)
+    joined = links(docs, prints, fingerprint_links(prints) if fingerprints else None)
     roots = materialise(components(joined), "roots")
     groups = materialise(prints.select("doc", "h", "node").join(roots, "node", "left").select(
         "doc", "h", F.coalesce("root", "node").alias("root")), "groups")
@@ -351,15 +369,16 @@ def _text_hash(doc_id: str, text: str):
     return F.xxhash64(F.col(text).cast("string"), F.col(doc_id).isNull())
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerprints: bool = False) -> DataFrame:
     """One row of each group of near copies, the one with the smallest id, with
-    the columns it came with.
+    the columns it came with. With ``fingerprints`` texts that op7 links are
+    near copies, too.
 
     Null texts count as empty, and all texts without words are copies of each
     other; null ids count as 0. Rows alike in id and text are one, and one of
     them stays. An empty table stays empty.
     """
-    groups = near_copy_groups(docs, doc_id, text)
+    groups = near_copy_groups(docs, doc_id, text, fingerprints)
     kept = groups.groupBy("root").agg(F.min(F.struct("doc", "h")).alias("kept"), F.count(F.lit(1)).alias("n"))
     kept = kept.select(F.col("kept.doc").alias("_doc"), F.col("kept.h").alias("_h"))
     again = materialise(groups.groupBy("doc", "h").count().filter("count > 1").select(

@@ -88,3 +88,16 @@ def test_crowded_group_of_texts_that_are_no_copies(docs, monkeypatch):
     rows = list(enumerate(texts))
     kept = sorted(r.doc_id for r in near_copies.keep_first(docs(rows)).collect())
     assert kept == plain_kept(rows)
+
+
+def test_fingerprints_link_as_op7_does(docs):
+    """Texts that are mostly one line, many times, have one fingerprint, though
+    their sets of shingles share less than four fifths."""
+    from symptia.llm import simhash
+
+    rows = awkward_rows()
+    by_op7 = {r.doc_id for r in simhash.near_duplicates(docs(rows)).collect() if r.component_id != r.doc_id}
+    plain = {r.doc_id for r in near_copies.keep_first(docs(rows)).collect()}
+    kept = {r.doc_id for r in near_copies.keep_first(docs(rows), fingerprints=True).collect()}
+    assert len(by_op7 & plain) >= 11
+    assert not kept & by_op7 and kept < plain
