@@ -4,7 +4,7 @@ Nearest neighbours never pair rows in a join. A task turns the vectors of its
 partitions into matrices, multiplies them with a block of queries and keeps a
 running top list, so it emits ``tasks x queries x k`` rows, not one row per
 pair. The number of tasks is bounded, however many partitions there are. Few
-queries are broadcast; many are spread over a grid of blocks.
+queries are broadcast; many are spread over blocks that the rows stream past.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +30,7 @@ SEARCH_TASKS = 4
 # Similarities are compared after rounding, so equal vectors tie exactly
 # whatever order a matrix product added them in; ties go to the smaller id.
 DIGITS = 9
+# Queries of a task where they are too many to broadcast.
 GRID_ROWS = 50_000
 
 
@@ -49,12 +49,22 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) else np.asarray(column.to_pylist())
+
+
 def _similarity(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return np.round(np.maximum(0.0, (1.0 + queries @ rows.T) / 2.0), DIGITS)
+    """In one array, as a tile is the largest thing a search holds."""
+    out = queries @ rows.T
+    out += 1.0
+    out /= 2.0
+    np.maximum(out, 0.0, out=out)
+    return np.round(out, DIGITS, out=out)
 
 
-# One similarity block: 1,024 queries by 4,096 rows of doubles are 32 MB.
-TILE_QUERIES, TILE_ROWS = 1024, 4096
+# One similarity block: 512 queries by 2,048 rows of doubles are 8 MB, of which
+# a tile needs up to four at a time.
+TILE_QUERIES, TILE_ROWS = 512, 2048
 
 
 class _Tiles:
@@ -70,12 +80,15 @@ class _Tiles:
             for top in self.tops:
                 top.add(rows[part], ids[part])
 
-    def columns(self, query_ids: list) -> tuple[list, list, list]:
-        out: tuple[list, list, list] = ([], [], [])
+    def batches(self, query_ids: pa.Array, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """The lists of one tile of queries at a time, from arrays."""
         for i, top in enumerate(self.tops):
-            for column, values in zip(out, top.columns(query_ids[i * TILE_QUERIES : (i + 1) * TILE_QUERIES])):
-                column.extend(values)
-        return out
+            if top.scores is not None:
+                own = query_ids.slice(i * TILE_QUERIES, len(top.scores))
+                places = pa.array(np.repeat(np.arange(len(own)), top.scores.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [own.take(places), pa.array(top.ids.reshape(-1), id_type), pa.array(top.scores.reshape(-1))],
+                    names=["query_id", "id", "vector_score"])
 
 
 class _Top:
@@ -109,12 +122,6 @@ class _Top:
         order = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
         self.scores, self.ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
-    def columns(self, query_ids: list) -> tuple[list, list, list]:
-        if self.scores is None:
-            return [], [], []
-        k = self.scores.shape[1]
-        return [q for q in query_ids for _ in range(k)], self.ids.reshape(-1).tolist(), self.scores.reshape(-1).tolist()
-
 
 def _candidates_schema(queries: DataFrame, collection: DataFrame) -> str:
     q, c = queries.schema["query_id"].dataType.simpleString(), collection.schema["id"].dataType.simpleString()
@@ -123,9 +130,9 @@ def _candidates_schema(queries: DataFrame, collection: DataFrame) -> str:
 
 def _broadcast_top(collection: DataFrame, queries: pa.Table, k: int, schema: str) -> DataFrame:
     spark = collection.sparkSession
-    query_ids, vectors = queries["query_id"].to_pylist(), queries["embedding"].combine_chunks()
+    query_ids, vectors = queries["query_id"].combine_chunks(), queries["embedding"].combine_chunks()
     block = _matrix(vectors, len(vectors[0]))
-    query_type, id_type = queries.schema.field("query_id").type, to_arrow_type(collection.schema["id"].dataType)
+    id_type = to_arrow_type(collection.schema["id"].dataType)
     shared = spark.sparkContext.broadcast((query_ids, block))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,38 +140,59 @@ def _broadcast_top(collection: DataFrame, queries: pa.Table, k: int, schema: str
         top = _Tiles(matrix, k)
         for b in batches:
             if b.num_rows:
-                top.add(_matrix(b.column("embedding"), matrix.shape[1]), np.asarray(b.column("id").to_pylist()))
-        q, i, s = top.columns(ids)
-        if q:
-            yield pa.RecordBatch.from_arrays([pa.array(q, query_type), pa.array(i, id_type), pa.array(s, pa.float64())],
-                                             names=["query_id", "id", "vector_score"])
+                top.add(_matrix(b.column("embedding"), matrix.shape[1]), _ids(b.column("id")))
+        yield from top.batches(ids, id_type)
 
     tasks = SEARCH_TASKS * spark.sparkContext.defaultParallelism
     return collection.select("id", "embedding").coalesce(tasks).mapInArrow(task, schema)
 
 
-def _grid_top(collection: DataFrame, queries: DataFrame, k: int, schema: str, n_rows: int, n_queries: int) -> DataFrame:
-    """Blocks of queries against blocks of rows, each pair one bounded task.
-    Block numbers come from hashed ids, so no block grows with a hot value."""
-    q_blocks, c_blocks = -(-n_queries // GRID_ROWS), -(-n_rows // GRID_ROWS)
+def _grid_top(collection: DataFrame, queries: DataFrame, k: int, schema: str, n_queries: int) -> DataFrame:
+    """Blocks of queries against slices of the rows. A task holds one block of
+    queries with its top lists; its rows follow in Arrow batches and are not
+    held, however many there are. There are as many slices as make a task for
+    every core. Blocks come from hashed ids, so none grows with a hot value."""
+    cores = collection.sparkSession.sparkContext.defaultParallelism
+    blocks = -(-n_queries // GRID_ROWS)
+    slices = max(1, -(-SEARCH_TASKS * cores // blocks))
 
-    def blocks(n: int) -> Column:
+    def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb")) \
-        .withColumn("cb", blocks(c_blocks))
-    right = collection.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(c_blocks)).cast("int").alias("cb")) \
-        .withColumn("qb", blocks(q_blocks))
-
-    def pair(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": q["query_id"][:0], "id": c["id"][:0], "vector_score": pd.Series(dtype="float64")})
-        dim = len(q["embedding"].iloc[0])
-        top = _Tiles(_matrix(pa.array(list(q["embedding"])), dim), k)
-        top.add(_matrix(pa.array(list(c["embedding"])), dim), np.asarray(c["id"].tolist()))
-        return pd.DataFrame(dict(zip(["query_id", "id", "vector_score"], top.columns(list(q["query_id"])))))
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(pair, schema)
+    def part(name: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(name, F.lit(n)), F.lit(n)).cast("int")
+
+    none = {n: F.lit(None).cast(df.schema[c].dataType) for n, df, c in (("query_id", queries, "query_id"), ("id", collection, "id"))}
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    left = queries.select("query_id", none["id"].alias("id"), vector, part("query_id", blocks).alias("qb")).withColumn("cb", every(slices))
+    right = collection.select(none["query_id"].alias("query_id"), "id", vector, part("id", slices).alias("cb")).withColumn("qb", every(blocks))
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).withColumn("task", F.col("qb") * slices + F.col("cb"))
+    id_type = to_arrow_type(collection.schema["id"].dataType)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tasks one after the other, each with its queries first."""
+        task, held, top = None, [], None
+        for batch in batches:
+            marks = batch.column("task").to_numpy() * 2 + batch.column("side").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)] if len(marks) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if marks[a] // 2 != task:
+                    if top is not None:
+                        yield from top.batches(ids, id_type)
+                    task, held, top = marks[a] // 2, [], None
+                piece = batch.slice(a, b - a)
+                if marks[a] % 2 == 0:
+                    held.append((piece.column("query_id"), _matrix(piece.column("embedding"), len(piece.column("embedding")[0]))))
+                elif held or top is not None:
+                    if top is None:
+                        ids, block = pa.concat_arrays([i for i, _ in held]), np.concatenate([m for _, m in held])
+                        top, held = _Tiles(block, k), []
+                    top.add(_matrix(piece.column("embedding"), block.shape[1]), _ids(piece.column("id")))
+        if top is not None:
+            yield from top.batches(ids, id_type)
+
+    placed = both.repartition(blocks * slices, "task").sortWithinPartitions("task", "side")
+    return placed.select("task", "side", "query_id", "id", "embedding").mapInArrow(search, schema)
 
 
 def nearest(
@@ -188,7 +216,7 @@ def nearest(
     if first.num_rows <= broadcast_queries:
         partial = _broadcast_top(collection, first, k, schema)
     else:
-        partial = _grid_top(collection, queries, k, schema, collection.count(), queries.count())
+        partial = _grid_top(collection, queries, k, schema, queries.count())
     return top_k(partial, "query_id", k, "vector_score", "id")
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,19 @@ def test_partitions_do_not_multiply_the_candidates(spark):
     queries = collection.limit(5).withColumnRenamed("id", "query_id")
     partial = retrieval._broadcast_top(collection, queries.select("query_id", "embedding").toArrow(), 2, "query_id long, id long, vector_score double")
     assert partial.count() <= retrieval.SEARCH_TASKS * spark.sparkContext.defaultParallelism * 5 * 2
+
+
+def test_many_queries_hold_no_block_of_rows(spark, monkeypatch):
+    """Rows stream past a block of queries, results leave tile by tile."""
+    monkeypatch.setattr(retrieval, "GRID_ROWS", 30)
+    monkeypatch.setattr(retrieval, "TILE_QUERIES", 8)
+    rows = [(i, [float(i % 7), float(i % 11), 1.0]) for i in range(100)]
+    collection = spark.createDataFrame(rows, "id long, embedding array<double>")
+    queries = collection.withColumnRenamed("id", "query_id")
+    many = retrieval.nearest(queries, collection, 3, broadcast_queries=10)
+    assert "CoGroups" not in many._jdf.queryExecution().executedPlan().toString()
+    few = retrieval.nearest(queries, collection, 3)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    top = retrieval._Tiles(np.eye(3)[[0, 1, 2] * 7], 2)
+    top.add(np.eye(3), np.arange(3))
+    assert [b.num_rows for b in top.batches(pa.array(range(21)), pa.int64())] == [16, 16, 10]
