@@ -12,7 +12,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +34,26 @@ def batched(fn: Callable[[list[str]], list], texts: list[str], size: int) -> lis
     return out
 
 
+def in_slices(fn: Callable[[list[str]], list], column: pa.Array, size: int, kind: pa.DataType) -> pa.Array:
+    """``fn`` over slices of a column, NULL as ''. The strings and results of a
+    slice are let go before the next: Python objects take many times the room
+    of an array, and an Arrow batch may hold 10,000 long texts."""
+    parts = [
+        pa.array(batched(fn, [t or "" for t in column.slice(at, size).to_pylist()], size), kind)
+        for at in range(0, len(column), size)
+    ]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def embed(df: DataFrame, text_col: str, fn: Embedder | None = None, out: str = "embedding",
           batch: int = fv.EMBED_BATCH) -> DataFrame:
     """Adds a vector column; ``fn`` sees at most ``batch`` texts per call."""
     fn = fn or hashed_features
 
-    @F.pandas_udf("array<double>")
-    def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield pd.Series(batched(fn, series.fillna("").tolist(), batch), dtype=object)
+    @F.arrow_udf("array<double>")
+    def vectors(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            yield in_slices(fn, column, batch, pa.list_(pa.float64()))
 
     return df.withColumn(out, vectors(text_col))
 
@@ -51,10 +62,10 @@ def score(df: DataFrame, prompt_col: str, fn: Scorer, out: str = "answer", batch
     """Adds the raw answer of a scorer or judge; parse it with
     :mod:`symptia.functions.parsing`. A NULL answer is a failed call."""
 
-    @F.pandas_udf("string")
-    def answers(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in prompts:
-            yield pd.Series(batched(fn, series.fillna("").tolist(), batch), dtype=object)
+    @F.arrow_udf("string")
+    def answers(prompts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in prompts:
+            yield in_slices(fn, column, batch, pa.string())
 
     return df.withColumn(out, answers(prompt_col))
 

@@ -79,6 +79,23 @@ def test_context(spark):
     assert parts == [f"[{i}] {'x' * 400} (source: s{i})" for i in range(1, 5)]
 
 
+def test_hooks_let_go_of_vectors(spark):
+    """Of a large Arrow batch only the vectors of a slice are Python objects."""
+    class Vector(list):
+        live = 0
+
+        def __init__(self):
+            Vector.live += 1
+            super().__init__([float(Vector.live)])
+
+        def __del__(self):
+            Vector.live -= 1
+
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id").cast("string").alias("t"))
+    most = hooks.embed(texts, "t", lambda ts: [Vector() for _ in ts]).agg(F.max(F.col("embedding")[0])).first()[0]
+    assert most <= 200
+
+
 def test_hooks_batch(spark):
     sizes = []
     assert hooks.batched(lambda t: sizes.append(len(t)) or t, list("abcdefg"), 3) == list("abcdefg") and sizes == [3, 3, 1]
