@@ -105,7 +105,8 @@ def _arabic_windows(tokens: Column, whole: Column) -> Column:
         F.struct(F.lit(2).alias("pass_no"), F.lit(0).alias("n"), F.lit(0).alias("pos"), whole.alias("w"))
     )
     every = F.concat(*[of(n) for n in range(1, MAX_WINDOW + 1)], last)
-    readable = F.filter(every, lambda s: text.detect_language(s["w"]).isin("arabic", "franco_arab"))
+    # most windows of a mixed text are plain Latin: the cheap test spares them the full one
+    readable = F.filter(every, lambda s: _may_be_arabic(s["w"]) & text.detect_language(s["w"]).isin("arabic", "franco_arab"))
     return F.when(_may_be_arabic(whole), readable)
 
 

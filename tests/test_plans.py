@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import inputs
-from symptia.operators import chunking, collection, guardrails, retrieval
+from symptia.operators import chunking, collection, guardrails, lexicon, retrieval
 from symptia.plans import triage
 from symptia.sources import corpus
 
@@ -56,3 +56,20 @@ def test_small_batches_do_not_shuffle_the_collection(spark):
     got = plan(collection.upsert(docs, docs.limit(3)))
     # only the batch is shuffled, to one row per id
     assert "BroadcastHashJoin" in got and got.count("Exchange hashpartitioning") <= 2 and "SortMergeJoin" not in got
+
+
+def test_rules_need_not_read_invalid_messages(spark):
+    entries = spark.createDataFrame([(0, "سعال", "so3al", "سعال", "cough", "x", "y", "z")], "entry_no int, " + ", ".join(
+        f"{c} string" for c in lexicon.FIELDS))
+    said = ["i want to die", "i want to die " + "x" * 2000, "so3al", "عندي سعال", "", None, "chest pain"]
+    rows = spark.createDataFrame(list(enumerate(said)), "id int, text string")
+
+    def run(**options):
+        return triage.triage_rules(rows, entries, ["id"], F.lit("english"), **options).orderBy("id").collect()
+
+    full, lean = run(), run(judge_invalid=False)
+    assert [r.step for r in lean][:2] == ["blocked", "invalid"] and full[1].rule == "suicidal" and lean[1].rule is None
+    valid = [i for i, r in enumerate(full) if r.step != "invalid"]
+    assert [full[i] for i in valid] == [lean[i] for i in valid]
+    same = ["step", "level", "reply", "conditions", "actions", "needs_clarification", "used_fallback"]
+    assert [[r[c] for c in same] for r in full] == [[r[c] for c in same] for r in lean]
