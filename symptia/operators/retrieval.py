@@ -20,7 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from symptia.functions import fixed_values as fv
 from symptia.functions import messages, parsing, text
-from symptia.functions.rows import explode_rows
+from symptia.functions.rows import explode_rows, join_on
+from symptia.session import materialise
 
 # Queries sent to every task: 20,000 vectors of 768 doubles are about 120 MB.
 BROADCAST_QUERIES = 20_000
@@ -229,13 +230,32 @@ def top_k(df: DataFrame, by: str, k: int, score: str, tiebreak: str) -> DataFram
 
 # ------------------------------------------------------------ keyword scoring
 def term_frequencies(docs: DataFrame, id_col: str) -> DataFrame:
-    """Count of each keyword over the number of keywords of its document."""
-    tokens = docs.select(id_col, text.keyword_tokens("text").alias("_t"))
-    return (
+    """Count of each keyword over the number of keywords of its document.
+
+    Counted inside the row, along its sorted keywords, so that no keyword is
+    shuffled. Ids are, to find those of several rows; only these rows are grouped.
+    """
+    again = materialise(docs.groupBy(id_col).agg(F.count("*").alias("_n")).filter("_n > 1").select(id_col), "again")
+    if again.isEmpty():
+        return _row_frequencies(docs, id_col)
+    tokens = join_on(docs, again, [id_col], "left_semi").select(id_col, text.keyword_tokens("text").alias("_t"))
+    grouped = (
         explode_rows(tokens, [id_col, F.greatest(F.size("_t"), F.lit(1)).alias("_len")], F.col("_t"), "term")
         .groupBy(id_col, "term")
         .agg((F.count("*") / F.first("_len")).alias("tf"))
     )
+    return _row_frequencies(join_on(docs, again, [id_col], "left_anti"), id_col).unionByName(grouped)
+
+
+def _row_frequencies(docs: DataFrame, id_col: str) -> DataFrame:
+    tokens, n = docs.select(id_col, F.sort_array(text.keyword_tokens("text")).alias("_t")), F.size("_t")
+    # where the sorted keywords change; a term's count reaches to the next place
+    starts = F.when(n > 0, F.filter(
+        F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))))
+    terms = F.transform("_at", lambda at, i: F.struct(
+        F.get("_t", at).alias("term"), (F.coalesce(F.get("_at", i + 1), n) - at).alias("n")))
+    runs = explode_rows(tokens.select("*", starts.alias("_at")), [id_col, n.alias("_len")], terms, "_run")
+    return runs.select(id_col, "_run.term", (F.col("_run.n") / F.col("_len")).alias("tf"))
 
 
 def pool_idf(terms: DataFrame, pool: DataFrame) -> DataFrame:

@@ -163,3 +163,16 @@ def test_many_queries_hold_no_block_of_rows(spark, monkeypatch):
     top = retrieval._Tiles(np.eye(3)[[0, 1, 2] * 7], 2)
     top.add(np.eye(3), np.arange(3))
     assert [b.num_rows for b in top.batches(pa.array(range(21)), pa.int64())] == [16, 16, 10]
+
+
+def test_term_frequencies_shuffle_no_keywords(spark):
+    docs = spark.createDataFrame(
+        [(1, "Fever and cough, fever"), (2, None), (3, ""), (4, "rash")], "doc_id int, text string")
+    got = retrieval.term_frequencies(docs, "doc_id")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(1, "fever"): 2 / 3, (1, "cough"): 1 / 3, (4, "rash"): 1.0}
+    assert {(r.doc_id, r.term): r.tf for r in got.collect()} == pytest.approx(want)
+    # an id of several rows is one document, a null id too
+    more = docs.union(spark.createDataFrame([(1, "fever fever cough"), (None, "rash"), (None, "rash")], docs.schema))
+    want |= {(1, "fever"): 4 / 3, (1, "cough"): 2 / 3, (None, "rash"): 2.0}
+    assert {(r.doc_id, r.term): r.tf for r in retrieval.term_frequencies(more, "doc_id").collect()} == pytest.approx(want)
