@@ -35,7 +35,7 @@ from symptia.llm import simhash
 from symptia.llm.common import byte_values, documents, materialise, pieces_of, release
 from symptia.llm.components import Forest, components, edge_batch
 from symptia.llm.simhash import BATCH_BYTES, fingerprint, shingle_hashes
-from symptia.session import broadcast_if_small
+from symptia.session import broadcast_if_small, fits
 
 SHINGLE = 5
 WIDE = 16  # 64-bit words of a sketch
@@ -50,8 +50,8 @@ HOT = 1 << 18
 #: Forests of a tile in a round, times the round before.
 MORE = 4
 
-PRINTS = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()),
-                    ("wide", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+PRINTS = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()),
+                    ("n", pa.int32()), ("wide", pa.list_(pa.int64())), ("fine", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -73,8 +73,8 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def fine_sketch(shingles: np.ndarray) -> bytes:
-    """A sketch of at least four bits a shingle."""
-    size = 1 << max(8, (4 * len(shingles) - 1).bit_length())
+    """A sketch of at least two bits a shingle."""
+    size = 1 << max(8, (2 * len(shingles) - 1).bit_length())
     spots = ((shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) & np.uint64(size - 1)
     return np.packbits((np.bincount(spots.astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
@@ -99,8 +99,9 @@ def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def outlines(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc, h, node, fp, n, wide, prefix) of every row of a keyed table; ``fp``
-    is the fingerprint that op7 gives the text."""
+    """(row, doc, h, node, fp, n, wide, fine, prefix) of every row of a keyed
+    table; ``row`` numbers the rows, and ``fp`` is the fingerprint that op7
+    gives the text."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,24 +110,56 @@ def outlines(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             sets = [shingle_set(t) for t in texts]
             marks = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("h"), pa.array([name_of(s) for s in sets], pa.int64()), pa.array(marks),
-                 pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], PRINTS.field("wide").type),
+                [batch.column("row"), batch.column("doc"), batch.column("h"), pa.array([name_of(s) for s in sets], pa.int64()),
+                 pa.array(marks), pa.array([len(s) for s in sets], pa.int32()),
+                 pa.array([sketch(s) for s in sets], PRINTS.field("wide").type), pa.array([fine_sketch(s) for s in sets], pa.binary()),
                  pa.array([prefix(s, shared.value).view(np.int64) for s in sets], PRINTS.field("prefix").type)], schema=PRINTS)
 
-    return docs.mapInArrow(run, "doc long, h long, node long, fp long, n int, wide array<long>, prefix array<long>")
+    return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        run, "row long, doc long, h long, node long, fp long, n int, wide array<long>, fine binary, prefix array<long>")
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """(node, shingles, fine) of every row of a keyed table."""
+def one_each(prints: DataFrame) -> DataFrame:
+    """Of the written outlines one row of each node. Rows beyond the first are
+    few and left out where the outlines are read; only if they are many is the
+    rest written."""
+    first = prints.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    more = materialise(prints.select("node", "row").join(first, "node").filter("row > first").select("row"), "copies")
+    if fits(more):
+        return prints.join(F.broadcast(more), "row", "left_anti")
+    return materialise(prints.join(more, "row", "left_anti"), "nodes")
+
+
+def shingles_of(docs: DataFrame) -> DataFrame:
+    """(key), the different shingles of every row of a keyed table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, BATCH_BYTES):
-            sets = [shingle_set(t) for t in byte_values(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                 pa.array([fine_sketch(s) for s in sets], pa.binary())], ["node", "shingles", "fine"])
-
-    return docs.select("text").mapInArrow(run, "node long, shingles array<long>, fine binary")
+            for text in byte_values(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], ["key"])
+
+    return docs.select("text").mapInArrow(run, "key long")
+
+
+def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts sorted by the pair (a, b) they stand for, the pairs that share
+    four fifths of their shingles. Rows alike in id and text come more than once."""
+    pair, sets = None, {}
+    for batch in pieces_of(batches, BATCH_BYTES):
+        found = []
+        for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), byte_values(batch.column("text"))):
+            if (a, b) != pair:
+                pair, sets = (a, b), {}
+            if len(sets) < 2:
+                shingles = shingle_set(text)
+                node = name_of(shingles)
+                if node not in sets:
+                    sets[node] = shingles
+                    if len(sets) == 2:
+                        x, y = sets.values()
+                        if 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)):
+                            found.append(pair)
+        yield edge_batch(found)
 
 
 def hot_shingles(docs: DataFrame) -> np.ndarray:
@@ -134,8 +167,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
     counted in one text of ``PART``, chosen by its hash: this settles the order
     of the shingles, and any order misses no pair."""
     some = docs.filter(F.pmod(F.xxhash64("h", F.lit(2)), F.lit(PART)) == 0)
-    every = sets_of(some).select(F.explode("shingles").alias("key"))
-    found = every.groupBy("key").count().filter(F.col("count") > max(1, GROUP // PART))
+    found = shingles_of(some).groupBy("key").count().filter(F.col("count") > max(1, GROUP // PART))
     found = found.orderBy(F.desc("count"), "key").limit(HOT).select("key").toArrow()
     return np.sort(found.column(0).to_numpy().view(np.uint64))
 
@@ -167,9 +199,9 @@ def _cuts(keys: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts that follow each other in a group."""
-    for (key, node), _ in _runs(batches, ["key", "node"]):
-        same = key[1:] == key[:-1]
+    """Pairs of texts of different components that follow each other in a group."""
+    for (key, node, own), _ in _runs(batches, ["key", "node", "own"]):
+        same = (key[1:] == key[:-1]) & (own[1:] != own[:-1])
         a, b = node[:-1][same], node[1:][same]
         yield edge_batch(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
 
@@ -241,30 +273,36 @@ def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array([9 * d <= size for d, size in zip(apart, sizes)], pa.bool_()))
 
 
-def near(pairs: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
+def near(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of the written pairs (a, b) those that share four fifths of their
-    shingles."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    owner = prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "h")).alias("o"))
-    owners = materialise(owner.select("o.doc", "o.h").distinct(), "owners")
-    sets = materialise(sets_of(docs.join(broadcast_if_small(owners), ["doc", "h"], "left_semi")), "sets")
-    # whole sets travel only with pairs that their fine sketches do not refuse
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.size("shingles").alias("n"), F.col("fine").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.size("shingles").alias("m"), F.col("fine").alias("y")), "b")
+    shingles. ``nodes`` has an outline of each text."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sizes = nodes.select("node", "n", "fine").join(broadcast_if_small(ends), "node", "left_semi")
+    both = pairs.join(sizes.select(F.col("node").alias("a"), "n", F.col("fine").alias("x")), "a").join(
+        sizes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("fine").alias("y")), "b")
     fine = materialise(both.mapInArrow(_finely, "a long, b long").distinct(), "pairs")
-    both = fine.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    close = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
-    found = materialise(both.filter(close).select("a", "b").distinct(), "near")
-    release(owners, sets, fine)
+    if fine.isEmpty():
+        return fine
+    # texts travel, once for each pair that the fine sketches do not refuse:
+    # they are smaller than their shingles
+    sides = fine.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    sides = materialise(sides.join(nodes.select("node", "doc", "h"), "node").select("doc", "h", "a", "b"), "sides")
+    texts = docs.join(broadcast_if_small(sides), ["doc", "h"]).select("a", "b", "text")
+    found = materialise(texts.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_verdicts, "a long, b long"), "near")
+    release(sides, fine)
     return found
 
 
-def first_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """A few pairs (a, b) of each text, with those that share most with it."""
+def first_pairs(members: DataFrame, sketches: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """A few pairs (a, b) of each text, with those that share most with it.
+    Texts of one root are held together already and make no pair."""
     # a large group is dealt out; what it misses here is left to later rounds
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / GROUP))
-    first = members.select(F.xxhash64("key", part).alias("key"), "node")
+    if roots is None:
+        first = members.withColumn("own", F.col("node"))
+    else:
+        first = members.join(roots, "node", "left").withColumn("own", F.coalesce("root", "node"))
+    first = first.select(F.xxhash64("key", part).alias("key"), "node", "own")
     first = first.repartition("key").sortWithinPartitions("key", F.xxhash64("node", "key")).mapInArrow(_neighbours, "a long, b long")
     first = materialise(first.groupBy("a", "b").count(), "pairs")
     ends = first.select("a", "b", "count", F.explode(F.array("a", "b")).alias("end"))
@@ -309,18 +347,19 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 def links(docs: DataFrame, prints: DataFrame, given: DataFrame | None = None) -> DataFrame:
     """Edges that hold together the components of near copies, as a written
     table; ``given`` edges are among them."""
-    nodes = materialise(prints.select("node", "n", "wide", "prefix").dropDuplicates(["node"]), "nodes")
+    nodes = one_each(prints)
     sketches = nodes.select("node", "n", "wide")
     keys = nodes.select("node", F.explode("prefix").alias("key"))
     counts = keys.groupBy("key").count().filter(F.col("count") > 1)
     members = materialise(keys.join(counts, "key"), "members")
-    tried = first_pairs(members, sketches)
-    joined = near(tried, docs, prints)
+    roots = materialise(components(given), "roots") if given is not None else None
+    tried = first_pairs(members, sketches, roots)
+    joined = near(tried, docs, nodes)
     refused = materialise(tried.join(joined, ["a", "b"], "left_anti").select(F.lit(None).cast("long").alias("tile"), "a", "b"), "refused")
     release(tried)
     if given is not None:
         found, joined = joined, materialise(joined.unionByName(given), "links")
-        release(found, given)
+        release(found, given, roots)
     live = None
     for number in count():
         roots = materialise(components(joined), "roots")
@@ -335,12 +374,12 @@ def links(docs: DataFrame, prints: DataFrame, given: DataFrame | None = None) ->
         offered = materialise(offered, "offered")
         release(roots, *([live] if live is not None else []))
         if offered.isEmpty():
-            release(offered, refused, members, nodes)
+            release(offered, refused, members)
             return joined
         live = materialise(offered.select("tile").distinct(), "live")
         fresh = materialise(offered.select("a", "b").distinct().join(
             refused.select("a", "b").distinct(), ["a", "b"], "left_anti"), "pairs")
-        found = near(fresh, docs, prints)
+        found = near(fresh, docs, nodes)
         every = materialise(joined.unionByName(found), "links")
         known = materialise(refused.unionByName(offered.join(found, ["a", "b"], "left_anti")), "refused")
         release(fresh, found, joined, refused, offered)

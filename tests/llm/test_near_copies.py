@@ -101,3 +101,16 @@ def test_fingerprints_link_as_op7_does(docs):
     kept = {r.doc_id for r in near_copies.keep_first(docs(rows), fingerprints=True).collect()}
     assert len(by_op7 & plain) >= 11
     assert not kept & by_op7 and kept < plain
+
+
+def test_texts_held_together_by_fingerprints_are_not_compared(docs, monkeypatch):
+    """No text travels for a pair that op7 has linked already."""
+    rng = np.random.default_rng(5)
+    bases = [" ".join("w%d" % n for n in rng.integers(0, 1 << 30, 300)) for _ in range(8)]
+    texts = [t for b in bases for t in (b, b + " more", b + " or less")]
+    of = {near_copies.name_of(near_copies.shingle_set(t.encode())): near_copies.fingerprint(t.encode()) for t in texts}
+    tried, near = [], near_copies.near
+    monkeypatch.setattr(near_copies, "near", lambda pairs, *more: (tried.extend(pairs.collect()), near(pairs, *more))[1])
+    kept = [r.doc_id for r in near_copies.keep_first(docs(list(enumerate(texts))), fingerprints=True).collect()]
+    assert sorted(kept) == list(range(0, 24, 3))
+    assert all((of[r.a] ^ of[r.b]).bit_count() > near_copies.simhash.DISTANCE for r in tried)
