@@ -39,11 +39,11 @@ def _words(df):
         F.transform(text.words("text"), lambda w, i: F.struct(
             i.cast("bigint").alias("seq"), F.concat(w, F.lit(" ")).alias("content"), F.lit(False).alias("last"))),
         F.array(F.struct(F.size(text.words("text")).cast("bigint").alias("seq"), F.lit("").alias("content"), F.lit(True).alias("last"))))
-    return df.select(*ID, F.explode(chunks).alias("c")).select(*ID, "c.*")
+    return df.select(*ID, chunks.alias("chunks"))
 
 
 QUERIES["stream_sentence_segments"] = lambda spark, sf: runner.append(
-    jobs.sentence_stream(_words(replies(spark, sf)), ID), "stream_sentences", idle=False)
+    jobs.sentence_stream(_words(replies(spark, sf)), ID, packed="chunks"), "stream_sentences", idle=False)
 SQL["stream_sentence_segments"] = flow_rules.SQL["sentence_segments"]
 
 
@@ -63,8 +63,8 @@ def stream_fold(spark, sf):
         F.transform(text.words("text"), lambda w, i: event(i, F.lit("chunk"), F.concat(w, F.lit(" ")))),
         F.array(event(n, F.when(k == 2, "blocked").when(k == 3, "error").otherwise("complete"), level=F.when(k == 4, "RED"),
                       message=F.when(k == 2, "stopped"), red=(k == 2) & (F.col("turn") % 2 == 0))))
-    rows = df.select(*ID, F.explode(every).alias("e")).select(*ID, "e.*")
-    return runner.latest(jobs.message_state_stream(rows, ID), "stream_fold", ID, "n_events", idle=False)
+    rows = df.select(*ID, every.alias("events"))
+    return runner.latest(jobs.message_state_stream(rows, ID, packed="events"), "stream_fold", ID, "n_events", idle=False)
 
 
 QUERIES["stream_event_fold"] = stream_fold

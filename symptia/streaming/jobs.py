@@ -28,25 +28,36 @@ def triage_stream(messages: DataFrame, entries: DataFrame, id_cols: list[str], s
 KEEP_MS = 24 * 3600 * 1000
 
 
-def sentence_stream(chunks: DataFrame, id_cols: list[str], keep_ms: int = KEEP_MS) -> DataFrame:
+def _deliveries(events: DataFrame, id_cols: list[str], payload: list[str], packed: str | None) -> DataFrame:
+    """Events as rows of arrays. What came in one row stays one row on its way
+    to the state: a row for each event costs far more than the event."""
+    names = ["seq", *payload]
+    if packed:
+        return events.filter(F.col(packed).isNotNull()).select(*id_cols, *[F.col(packed)[n].alias(n) for n in names])
+    return events.select(*id_cols, *[F.array(n).alias(n) for n in names])
+
+
+def sentence_stream(chunks: DataFrame, id_cols: list[str], keep_ms: int = KEEP_MS, packed: str | None = None) -> DataFrame:
     """Chunks (ids, seq, content, last) to redacted sentence segments (ids,
     segment, content). Redaction waits for the sentence, so a dose split over
     two chunks is still seen. Redelivered chunks change nothing for
-    ``keep_ms`` after the last new one."""
+    ``keep_ms`` after the last new one. With ``packed`` a row holds an array of
+    chunks of that name instead of one."""
     use_rocksdb(chunks.sparkSession)
     columns = [*id_cols, "segment", "content"]
-    out = chunks.groupBy(*id_cols).transformWithStateInPandas(
+    out = _deliveries(chunks, id_cols, SentenceBuffer.payload, packed).groupBy(*id_cols).transformWithState(
         SentenceBuffer(columns, keep_ms), _fields(chunks, id_cols) + ", segment bigint, content string", "Append", "ProcessingTime")
     return out.withColumn("content", replies.redact(F.col("content")))
 
 
-def message_state_stream(events: DataFrame, id_cols: list[str], keep_ms: int = KEEP_MS) -> DataFrame:
+def message_state_stream(events: DataFrame, id_cols: list[str], keep_ms: int = KEEP_MS, packed: str | None = None) -> DataFrame:
     """Events (ids, seq, type, ...) to the running state of their message.
-    Redelivered events change nothing for ``keep_ms`` after the last new one."""
+    Redelivered events change nothing for ``keep_ms`` after the last new one.
+    With ``packed`` a row holds an array of events of that name instead of one."""
     use_rocksdb(events.sparkSession)
     state = "content string, triage_level string, is_blocked boolean, is_error boolean, is_finished boolean, n_events bigint"
     columns = [*id_cols, *[c.strip().split(" ")[0] for c in state.split(",")]]
-    return events.groupBy(*id_cols).transformWithStateInPandas(
+    return _deliveries(events, id_cols, MessageState.payload, packed).groupBy(*id_cols).transformWithState(
         MessageState(columns, keep_ms), _fields(events, id_cols) + ", " + state, "Update", "ProcessingTime")
 
 

@@ -11,6 +11,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from symptia.functions import fixed_values as fv
@@ -19,7 +20,8 @@ from symptia.operators.admission import step
 
 class InOrder(StatefulProcessor):
     """Hands the events of a key to :meth:`event` in ``seq`` order, starting
-    at ``first``, each once.
+    at ``first``, each once. A row brings any number of events: ``seq`` and
+    every field of ``payload`` are arrays with an entry for each.
 
     State: the next ``seq`` with what the events so far came to, and a map of
     the events ahead of a gap, of which a batch touches only those it closes or
@@ -42,13 +44,13 @@ class InOrder(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "seq bigint", self.waiting_schema, self.keep_ms)
         self.state = handle.getValueState("state", "next_seq bigint, n_waiting bigint, " + self.state_schema, self.keep_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         arrived: dict[int, tuple] = {}
-        for pdf in rows:
-            for seq, *event in zip(*[pdf[f] for f in ["seq", *self.payload]]):
-                if not pd.isna(seq):
-                    arrived.setdefault(int(seq), tuple(None if isinstance(v, float) and pd.isna(v) else v for v in event))
-        current = self.state.get() if self.state.exists() else None
+        for row in rows:
+            for seq, *event in zip(*[row[f] for f in ["seq", *self.payload]]):
+                if seq is not None:
+                    arrived.setdefault(seq, tuple(event))
+        current = self.state.get()  # None for a new key
         seq, n_waiting, state = (current[0], current[1], tuple(current[2:])) if current else (self.first, 0, self.start())
         before, out = seq, []
         while True:
@@ -67,8 +69,9 @@ class InOrder(StatefulProcessor):
                 n_waiting += 1
         self.state.update((seq, n_waiting, *state))
         out += self.after(state, seq, seq - before)
-        if out:
-            yield pd.DataFrame([(*key, *r) for r in out], columns=self.columns)
+        named = Row(*self.columns)
+        for values in out:
+            yield named(*key, *values)
 
     def start(self) -> tuple:
         raise NotImplementedError

@@ -58,6 +58,19 @@ def test_fold_stream_over_several_batches_out_of_order(spark, tmp_path):
     assert states(out.collect()) == FOLDED
 
 
+def test_packed_streams_are_those_of_single_events(spark, tmp_path):
+    """Rows with arrays of events: with a gap, overlaps, a null and no array at all."""
+    fields = EVENT.split(", ", 1)[1]
+    of = lambda m, a, b: (m, sorted((r[1:] for r in FOLD_ROWS if r[0] == m), key=lambda e: e[0])[a:b])
+    keys = sorted({r[0] for r in FOLD_ROWS})
+    nothing = (None,) * (fields.count(",") + 1)
+    parts = [[of(m, 2, 4) for m in keys] + [(keys[0], None)], [(keys[0], [nothing])] + [of(m, 0, 3) for m in keys], [of(m, 1, None) for m in keys]]
+    schema = f"{EVENT.split(', ', 1)[0]}, events array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>"
+    stream = stream_files(spark, tmp_path / "in", parts, schema)
+    out = runner.latest(jobs.message_state_stream(stream, ["m"], packed="events"), "p", ["m"], "n_events", str(tmp_path / "out"), idle=False)
+    assert states(out.collect()) == FOLDED
+
+
 def test_sentence_stream_over_several_batches(spark, tmp_path):
     reply = "You have flu. Take 500 mg of x.y twice, then rest"
     words = [w + " " for w in reply.split()]
