@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 import symptia  # noqa: E402
 from symptia.llm import exact_dedup, langid, near_copies, packing, pii  # noqa: E402
-from symptia.llm.common import materialise, read, small_batches  # noqa: E402
+from symptia.llm.common import materialise, read, small_batches, tidy_shuffles  # noqa: E402
 
 # functions that run in tasks travel with the job, so executors need no
 # installed copy of this repository
@@ -35,6 +35,7 @@ def near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies the document with the smallest id: those whose SimHash
     fingerprints op7 links, and those that share four fifths of their shingles."""
     small_batches(spark)
+    tidy_shuffles(spark)
     return near_copies.keep_first(docs, fingerprints=True)
 
 

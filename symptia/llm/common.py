@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from symptia.session import materialise, shared_dir
 
 __all__ = ["Vocabulary", "byte_values", "documents", "materialise", "pieces_of", "read", "release", "shared_dir",
-           "small_batches", "text_values"]
+           "small_batches", "text_values", "tidy_shuffles"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -20,6 +20,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
 
 
+def tidy_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the query that wrote them ends, and not when the
+    driver collects its garbage. For jobs of many written tables."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a folder, as its files are split."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

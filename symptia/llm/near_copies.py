@@ -7,6 +7,9 @@ texts and those of the copy have one in common. The order is that of the
 hashes, with shingles of very many texts last, so that a passage in very many
 texts brings together those only that hold little else.
 
+Shingles that the same texts hold bring together the same texts, so only one of
+them is kept, with their number as its weight.
+
 Texts that meet are compared by sketches: bit i is the parity of the number of
 shingles that fall on it. Two sketches never differ in more bits than the sets
 differ in shingles, so a sketch refuses no near copy, whatever its length. What
@@ -51,7 +54,7 @@ HOT = 1 << 18
 MORE = 4
 
 PRINTS = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()),
-                    ("n", pa.int32()), ("wide", pa.list_(pa.int64())), ("fine", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+                    ("n", pa.int32()), ("wide", pa.list_(pa.int64())), ("middle", pa.binary()), ("fine", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -73,18 +76,29 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def fine_sketch(shingles: np.ndarray) -> bytes:
-    """A sketch of at least two bits a shingle."""
-    size = 1 << max(8, (2 * len(shingles) - 1).bit_length())
+    """A sketch of at least four bits a shingle."""
+    size = 1 << max(8, (4 * len(shingles) - 1).bit_length())
     spots = ((shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) & np.uint64(size - 1)
     return np.packbits((np.bincount(spots.astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(fine: np.ndarray, size: int) -> np.ndarray:
+    """The bytes of a fine sketch as one of at most ``size`` bytes."""
+    while len(fine) > size:
+        fine = fine[: len(fine) // 2] ^ fine[len(fine) // 2 :]
+    return fine
+
+
+def middle_sketch(fine: bytes, n: int) -> bytes:
+    """A sketch of at least one bit a shingle, for texts of so many that the
+    one of fixed size hardly tells them apart."""
+    return folded(np.frombuffer(fine, np.uint8), 1 << (n - 1).bit_length() - 3).tobytes() if n > 64 * WIDE else b""
+
+
 def fine_apart(x: bytes, y: bytes) -> int:
     """Bits in which two fine sketches differ, the longer one folded."""
     a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    return int(np.bitwise_count(a ^ folded(b, len(a))).sum())
 
 
 def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -99,7 +113,7 @@ def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def outlines(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(row, doc, h, node, fp, n, wide, fine, prefix) of every row of a keyed
+    """(row, doc, h, node, fp, n, wide, middle, fine, prefix) of every row of a keyed
     table; ``row`` numbers the rows, and ``fp`` is the fingerprint that op7
     gives the text."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
@@ -108,15 +122,17 @@ def outlines(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         for batch in pieces_of(batches, BATCH_BYTES):
             texts = byte_values(batch.column("text"))
             sets = [shingle_set(t) for t in texts]
+            fine = [fine_sketch(s) for s in sets]
             marks = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc"), batch.column("h"), pa.array([name_of(s) for s in sets], pa.int64()),
                  pa.array(marks), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array([sketch(s) for s in sets], PRINTS.field("wide").type), pa.array([fine_sketch(s) for s in sets], pa.binary()),
+                 pa.array([sketch(s) for s in sets], PRINTS.field("wide").type),
+                 pa.array([middle_sketch(f, len(s)) for f, s in zip(fine, sets)], pa.binary()), pa.array(fine, pa.binary()),
                  pa.array([prefix(s, shared.value).view(np.int64) for s in sets], PRINTS.field("prefix").type)], schema=PRINTS)
 
     return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        run, "row long, doc long, h long, node long, fp long, n int, wide array<long>, fine binary, prefix array<long>")
+        run, "row long, doc long, h long, node long, fp long, n int, wide array<long>, middle binary, fine binary, prefix array<long>")
 
 
 def one_each(prints: DataFrame) -> DataFrame:
@@ -189,6 +205,8 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple
 
 
 def _column(values: pa.Array) -> np.ndarray:
+    if pa.types.is_binary(values.type):
+        return np.array([*values.to_pylist(), None], object)[:-1]
     if pa.types.is_list(values.type):
         return values.flatten().to_numpy().reshape(-1, WIDE).view(np.uint64)
     return values.to_numpy()
@@ -199,20 +217,22 @@ def _cuts(keys: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts of different components that follow each other in a group."""
-    for (key, node, own), _ in _runs(batches, ["key", "node", "own"]):
+    """Pairs of texts of different components that follow each other in a
+    group, and the weight of the group."""
+    for (key, node, own, weight), _ in _runs(batches, ["key", "node", "own", "weight"]):
         same = (key[1:] == key[:-1]) & (own[1:] != own[:-1])
         a, b = node[:-1][same], node[1:][same]
-        yield edge_batch(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(weight[:-1][same])], ["a", "b", "weight"])
 
 
-def close_pairs(node: np.ndarray, own: np.ndarray, n: np.ndarray, wide: np.ndarray, side: np.ndarray,
+def close_pairs(node: np.ndarray, own: np.ndarray, n: np.ndarray, wide: np.ndarray, middle: np.ndarray, side: np.ndarray,
                 crossed: bool) -> Iterator[tuple[float, int, int, int, int]]:
     """Pairs of a tile in different components whose sketches let them be near
     copies, as (share of bits apart, both nodes, both components); in a
     ``crossed`` tile only pairs of its two sides."""
     order = np.argsort(n, kind="stable")
-    node, own, n, wide, side = node[order], own[order], n[order].astype(np.int64), wide[order], side[order]
+    node, own, n, wide, middle, side = node[order], own[order], n[order].astype(np.int64), wide[order], middle[order], side[order]
     ends = np.searchsorted(n, 5 * n // 4, side="right")
     for i, end in enumerate(ends.tolist()):
         later = np.flatnonzero((own[i + 1 : end] != own[i]) & (not crossed or side[i + 1 : end] != side[i])) + i + 1
@@ -220,6 +240,8 @@ def close_pairs(node: np.ndarray, own: np.ndarray, n: np.ndarray, wide: np.ndarr
             apart = np.bitwise_count(wide[later] ^ wide[i]).sum(axis=1, dtype=np.int64)
             close = 9 * apart <= n[i] + n[later]
             for k, d in zip(later[close].tolist(), apart[close].tolist()):
+                if middle[i] and 9 * fine_apart(middle[i], middle[k]) > n[i] + n[k]:
+                    continue
                 yield d / max(1, int(n[i] + n[k])), *sorted((int(node[i]), int(node[k]))), int(own[i]), int(own[k])
 
 
@@ -238,7 +260,7 @@ def forests(pairs: Iterator[tuple[float, int, int, int, int]], refused: set[tupl
     return chosen
 
 
-TILE = ["tile", "node", "own", "n", "wide", "side", "crossed"]
+TILE = ["tile", "node", "own", "n", "wide", "middle", "side", "crossed"]
 #: Rows with this size stand for a refused pair of the tile: node and own.
 REFUSED = -1
 
@@ -247,12 +269,12 @@ def _tiles(most: int):
     """(tile, a, b): pairs to try in each tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (tile, node, own, n, wide, side, crossed), cuts in _runs(batches, TILE):
+        for (tile, node, own, n, wide, middle, side, crossed), cuts in _runs(batches, TILE):
             found = []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 here, gone = a + np.flatnonzero(n[a:b] != REFUSED), a + np.flatnonzero(n[a:b] == REFUSED)
                 refused = set(zip(node[gone].tolist(), own[gone].tolist()))
-                pairs = close_pairs(node[here], own[here], n[here], wide[here], side[here], bool(crossed[a]))
+                pairs = close_pairs(node[here], own[here], n[here], wide[here], middle[here], side[here], bool(crossed[a]))
                 found += [(int(tile[a]), x, y) for x, y in forests(pairs, refused, most)]
             flat = np.array(found, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in flat.T], ["tile", "a", "b"])
@@ -293,6 +315,18 @@ def near(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found
 
 
+def distinct_groups(members: DataFrame) -> DataFrame:
+    """Of the written groups (key, node, count) that hold the same nodes one
+    each, with their number as ``weight``."""
+    alike = members.groupBy("key").agg(
+        F.first("count").alias("count"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    kept = materialise(alike.groupBy("count", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")).select(
+        "key", "weight"), "kept")
+    groups = materialise(members.join(broadcast_if_small(kept), "key"), "groups")
+    release(members, kept)
+    return groups
+
+
 def first_pairs(members: DataFrame, sketches: DataFrame, roots: DataFrame | None) -> DataFrame:
     """A few pairs (a, b) of each text, with those that share most with it.
     Texts of one root are held together already and make no pair."""
@@ -302,9 +336,10 @@ def first_pairs(members: DataFrame, sketches: DataFrame, roots: DataFrame | None
         first = members.withColumn("own", F.col("node"))
     else:
         first = members.join(roots, "node", "left").withColumn("own", F.coalesce("root", "node"))
-    first = first.select(F.xxhash64("key", part).alias("key"), "node", "own")
-    first = first.repartition("key").sortWithinPartitions("key", F.xxhash64("node", "key")).mapInArrow(_neighbours, "a long, b long")
-    first = materialise(first.groupBy("a", "b").count(), "pairs")
+    first = first.select(F.xxhash64("key", part).alias("key"), "node", "own", "weight")
+    first = first.repartition("key").sortWithinPartitions("key", F.xxhash64("node", "key")).mapInArrow(
+        _neighbours, "a long, b long, weight long")
+    first = materialise(first.groupBy("a", "b").agg(F.sum("weight").alias("count")), "pairs")
     ends = first.select("a", "b", "count", F.explode(F.array("a", "b")).alias("end"))
     best = Window.partitionBy("end").orderBy(F.desc("count"), "a", "b")
     chosen = ends.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= FIRST).select("a", "b").distinct()
@@ -348,10 +383,12 @@ def links(docs: DataFrame, prints: DataFrame, given: DataFrame | None = None) ->
     """Edges that hold together the components of near copies, as a written
     table; ``given`` edges are among them."""
     nodes = one_each(prints)
-    sketches = nodes.select("node", "n", "wide")
+    sketches = nodes.select("node", "n", "wide", "middle")
     keys = nodes.select("node", F.explode("prefix").alias("key"))
-    counts = keys.groupBy("key").count().filter(F.col("count") > 1)
+    counts = materialise(keys.groupBy("key").count().filter(F.col("count") > 1), "counts")
     members = materialise(keys.join(counts, "key"), "members")
+    release(counts)
+    members = distinct_groups(members)
     roots = materialise(components(given), "roots") if given is not None else None
     tried = first_pairs(members, sketches, roots)
     joined = near(tried, docs, nodes)
@@ -367,7 +404,7 @@ def links(docs: DataFrame, prints: DataFrame, given: DataFrame | None = None) ->
         # a refused pair takes part in every tile that has offered it
         gone = refused.filter("tile IS NOT NULL").select(
             "tile", F.col("a").alias("node"), F.col("b").alias("own"), F.lit(REFUSED).alias("n"),
-            F.array_repeat(F.lit(0).cast("long"), WIDE).alias("wide"), F.lit(0).cast("long").alias("side"),
+            F.array_repeat(F.lit(0).cast("long"), WIDE).alias("wide"), F.lit(b"").alias("middle"), F.lit(0).cast("long").alias("side"),
             F.lit(0).alias("crossed"))
         offered = tiles.unionByName(gone).repartition("tile").sortWithinPartitions("tile", F.desc("n")).mapInArrow(
             _tiles(MORE**number), "tile long, a long, b long")

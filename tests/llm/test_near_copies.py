@@ -114,3 +114,25 @@ def test_texts_held_together_by_fingerprints_are_not_compared(docs, monkeypatch)
     kept = [r.doc_id for r in near_copies.keep_first(docs(list(enumerate(texts))), fingerprints=True).collect()]
     assert sorted(kept) == list(range(0, 24, 3))
     assert all((of[r.a] ^ of[r.b]).bit_count() > near_copies.simhash.DISTANCE for r in tried)
+
+
+def test_groups_of_the_same_texts_are_one(spark):
+    groups = {1: (10, 11), 2: (10, 11), 3: (10, 12), 4: (10, 11, 12), 5: (11, 10)}
+    rows = [(key, node, len(nodes)) for key, nodes in groups.items() for node in nodes]
+    members = near_copies.materialise(spark.createDataFrame(rows, "key long, node long, count long"), "members")
+    found = sorted((r.key, r.node, r["count"], r.weight) for r in near_copies.distinct_groups(members).collect())
+    assert found == [(1, 10, 2, 3), (1, 11, 2, 3), (3, 10, 2, 1), (3, 12, 2, 1), (4, 10, 3, 1), (4, 11, 3, 1), (4, 12, 3, 1)]
+
+
+def test_long_texts_with_a_common_passage_are_told_apart_in_tiles(docs, monkeypatch):
+    """After the first round no sketch of theirs travels by pair."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join("w%d" % x for x in rng.integers(0, 1 << 30, n))
+    passage = words(60)
+    texts = [f"{words(2000)} {passage} {words(1000)}" for _ in range(24)]
+    texts += [f"{t} {words(300)}" for t in texts[:3]]
+    tried, near = [], near_copies.near
+    monkeypatch.setattr(near_copies, "near", lambda pairs, *more: (tried.append(pairs.count()), near(pairs, *more))[1])
+    rows = list(enumerate(texts))
+    assert sorted(r.doc_id for r in near_copies.keep_first(docs(rows)).collect()) == plain_kept(rows) == list(range(24))
+    assert sum(tried[1:]) <= 3
