@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 from symptia.functions import fixed_values as fv
 from symptia.functions import text
+from symptia.session import shared_dir
+from symptia.sources import listing
 
 SUFFIXES = ["txt", "md"]
+# Entries a folder may have and still be listed by the driver.
+LISTED = 10_000
+# Bytes of files that a task reads, by and large, in a larger folder.
+TASK_BYTES = 32 << 20
 CHUNK_SCHEMA = (
     "chunk_id string, source_name string, page_number int, section_title string, "
     "medical_category string, text string, token_count int, char_start int, char_end int"
@@ -30,17 +36,30 @@ SCENARIO_SCHEMA = (
 def scan_corpus(spark: SparkSession, folder: str, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """One page per file of a folder with one of the suffixes, not those of its
     subfolders; bytes that are not UTF-8 become replacement characters. A folder
-    without such files has no pages."""
+    without such files has no pages. In a folder of more than ``LISTED`` entries
+    tasks list and read the files, as the driver's listing would grow with them."""
+    uri = listing.task_uri(spark, folder)
+    if uri and listing.holds_more(spark, uri, LISTED):
+        return _scan_listed(spark, uri, suffixes)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(folder)
     return files.select(*file_page())
 
 
-def file_page() -> list[Column]:
+def _scan_listed(spark: SparkSession, uri: str, suffixes: Sequence[str]) -> DataFrame:
+    to = shared_dir(spark, "listing")
+    listing.write_listing(spark, uri, suffixes, to, TASK_BYTES)
+    names = spark.read.schema(f"{listing.SCHEMA}, parcel int").parquet(to)
+    parcels = names.agg(F.coalesce(F.max("parcel") + 1, F.lit(0)).alias("n")).first().n
+    dealt = names.repartition(max(parcels, spark.sparkContext.defaultParallelism), "name")
+    return listing.read_contents(dealt, uri).select(*file_page(F.col("source_name")))
+
+
+def file_page(name: Column | None = None) -> list[Column]:
     """The page of a file that was read whole as bytes. The text reader takes
     about six times as long to open a small file, and opens it for its name
     alone; the name of a file read as bytes needs no content."""
     return [
-        F.col("_metadata.file_name").alias("source_name"),
+        (F.col("_metadata.file_name") if name is None else name).alias("source_name"),
         F.lit(0).alias("page_number"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
     ]
