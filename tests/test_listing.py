@@ -43,6 +43,22 @@ def test_names_of_a_large_folder(spark, tmp_path, monkeypatch):
     assert "ArrowEvalPython" not in names._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pages_of_a_large_folder(spark, tmp_path, monkeypatch):
+    odd_files(tmp_path)
+    for i in range(3):
+        (tmp_path / f"large{i}.txt").write_text(f"{i}" * (9 << 20))
+    (tmp_path / "huge.md").write_text("h" * (20 << 20))
+    want = rows(corpus.scan_corpus(spark, str(tmp_path)))
+    monkeypatch.setattr(corpus, "LISTED", 3, raising=False)
+    found = corpus.scan_corpus(spark, str(tmp_path))
+    assert rows(found) == want and found.dtypes == [("source_name", "string"), ("page_number", "int"), ("text", "string")]
+    assert len(found.inputFiles()) == 2
+    # a condition on the text does not read the files a second time
+    short = found.filter("length(text) < 100")
+    assert short._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert rows(short) == [r for r in want if len(r[2]) < 100]
+
+
 def test_large_folders_without_pages(spark, tmp_path, listed):
     (tmp_path / "c.pdf").write_text("x")
     found = corpus.scan_corpus(spark, str(tmp_path))
