@@ -106,7 +106,9 @@ SQL["stream_repeat_suppression"] = flow_rules.SQL["repeat_prompt_suppression"]
 
 def stream_ingest(spark, sf):
     chunks = jobs.ingest_stream(runner.read_corpus(spark, inputs.corpus_files(spark, sf)))
-    return runner.append(chunks, "stream_ingest", settings=runner.SMALL_FILES).select(*corpus_rules.COLUMNS, F.md5("text").alias("text_md5"))
+    # the files and the texts of the chunks lie on disk together
+    settings = runner.SMALL_FILES | {"spark.sql.parquet.compression.codec": "zstd"}
+    return runner.append(chunks, "stream_ingest", settings=settings).select(*corpus_rules.COLUMNS, F.md5("text").alias("text_md5"))
 
 
 QUERIES["stream_ingest"] = stream_ingest

@@ -5,6 +5,7 @@ import string
 import pytest
 
 from symptia.sources import corpus, listing
+from symptia.streaming import jobs, runner
 
 
 @pytest.fixture
@@ -82,3 +83,57 @@ def test_parcels(spark, tmp_path):
     # a file over the bound has a parcel of its own
     listing.write_listing(spark, uri, ["txt"], str(tmp_path / "each"), 1)
     assert spark.read.parquet(str(tmp_path / "each")).select("parcel").distinct().count() == 100
+
+
+def batches(folder):
+    return len(list((folder / "checkpoint" / "commits").glob("[0-9]*")))
+
+
+def test_a_stream_keeps_no_names_in_the_driver(spark, tmp_path):
+    """The file source, which lives in the driver, sees parcels."""
+    source = tmp_path / "in"
+    odd_files(source)
+    for i in range(300):
+        (source / f"f{i}.txt").write_text(f"text {i}")
+    want = rows(corpus.scan_corpus(spark, str(source)))
+    out = runner.append(runner.read_corpus(spark, str(source)), "driver", str(tmp_path / "out"))
+    assert rows(out) == want
+    seen = [line for log in (tmp_path / "out" / "checkpoint" / "sources").rglob("[0-9]*") if log.is_file()
+            for line in log.read_text().splitlines()[1:]]
+    assert len(seen) == 1
+
+
+def test_a_stream_takes_a_file_once(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    each = 100 + 1024
+
+    def put(names):
+        for n in names:
+            (source / n).write_text("x" * 100)
+
+    def run(stream):
+        return sorted(r.source_name for r in runner.append(stream, "once", str(tmp_path / "out")).collect())
+
+    put(["a.txt", "b.md", "c.pdf"])
+    first = runner.read_corpus(spark, str(source), each, str(tmp_path / "listings"))
+    assert run(first) == ["a.txt", "b.md"] and batches(tmp_path / "out") == 2
+    # a later call with the checkpoint
+    put(["d.txt"])
+    (source / "a.txt").write_text("changed")
+    assert run(runner.read_corpus(spark, str(source))) == ["a.txt", "b.md", "d.txt"]
+    # a later listing of the same stream, after a file went
+    (source / "b.md").unlink()
+    put(["e.md"])
+    runner.list_corpus(spark, str(source), str(tmp_path / "listings"))
+    assert run(first) == ["a.txt", "b.md", "d.txt", "e.md"]
+
+
+def test_an_empty_folder_streams_no_pages(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = runner.read_corpus(spark, str(source), listings=str(tmp_path / "listings"))
+    assert runner.append(jobs.ingest_stream(stream), "empty", str(tmp_path / "out")).count() == 0
+    (source / "a.txt").write_text("one two")
+    runner.list_corpus(spark, str(source), str(tmp_path / "listings"))
+    assert [r.chunk_id for r in runner.append(jobs.ingest_stream(stream), "empty", str(tmp_path / "out")).collect()] == ["a_0_0"]
